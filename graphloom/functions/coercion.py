@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that stand for a missing value.
 NULL_WORDS = ("n/a", "na", "null", "-", "none", "#n/a", "nan", "undefined", "없음", "해당없음")
@@ -71,7 +72,7 @@ def local_name(iri: Column) -> Column:
     return F.when(iri.contains("#"), F.substring_index(iri, "#", -1)).when(iri.contains("/"), F.substring_index(iri, "/", -1)).otherwise(iri)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
