@@ -141,11 +141,12 @@ def learn_quality(docs: DataFrame, labels: DataFrame, metadata: list[str] | None
     chosen_rows = [(r.doc_id, int(r.label)) for r in chosen.collect()]  # max_train rows at most
     picked = spark.createDataFrame(chosen_rows, "doc_id long, label int")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), *meta).join(F.broadcast(picked), "doc_id")
-    ready = texts.select("doc_id", "text", "label", *[f"meta_{k}" for k in range(len(meta))])
+    n_meta = len(meta)
+    ready = texts.select("doc_id", "text", "label", *[f"meta_{k}" for k in range(n_meta)])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            (row, col, val), n = _sparse(batch, len(meta))
+            (row, col, val), n = _sparse(batch, n_meta)
             stops = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(stops), pa.array(x)) for x in (col.astype(np.int32), val)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["doc_id", "label", "cols", "vals"])
@@ -169,11 +170,11 @@ def with_quality(docs: DataFrame, model: FactorisationMachine, metadata: list[st
     held = spark.sparkContext.broadcast(model)  # fixed size: FEATURES x (FACTORS + 1)
     docs = docs.drop("score")
     meta = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_meta_{k}") for k, c in enumerate(metadata or [])]
-    names = docs.columns
+    names, n_meta = docs.columns, len(meta)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            sparse, n = _sparse(batch.select([0, names.index("text"), *range(len(names), batch.num_columns)]), len(meta))
+            sparse, n = _sparse(batch.select([0, names.index("text"), *range(len(names), batch.num_columns)]), n_meta)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(held.value.scores(*sparse, n))], [*names, "score"])
 
     return docs.select("*", *meta).mapInArrow(batches, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))

@@ -75,12 +75,13 @@ def section_token_counts(docs: DataFrame, sections: str | None = None, rule: str
         raise ValueError(f"rule must be one of {RULES}")
     prepared(docs.sparkSession)
     text = F.col("text").cast("string")
+    cuts = sections is not None  # a plain value: tasks can't hold columns
     given = [] if sections is None else [F.col(sections).cast("array<struct<name:string,start:long,stop:long>>").alias("sections")]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, lengths = encoder(vocabulary, pattern)
         for batch in it:
-            cut = batch.column(2).to_pylist() if given else [None] * batch.num_rows
+            cut = batch.column(2).to_pylist() if cuts else [None] * batch.num_rows
             ids, number, names, start, stop, count, crossing = ([] for _ in range(7))
             for doc_id, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cut, strict=True):
                 if not text:
@@ -88,7 +89,7 @@ def section_token_counts(docs: DataFrame, sections: str | None = None, rule: str
                 data = np.frombuffer(text.encode(), dtype=np.uint8)
                 ascii_only = len(data) == len(text)
                 places = None if ascii_only else np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-                if own is None and not given:
+                if not cuts:
                     breaks = np.flatnonzero(data == 10) + 1
                     begin, end = np.concatenate([[0], breaks]), np.concatenate([breaks, [len(data)]])
                     if begin[-1] == len(data):
