@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import WORD_BREAK, SPACES, written
 
 BLOCK_TOKENS = 32
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
 MAX_PASSES = 3
 
 
