@@ -55,26 +55,23 @@ def read_back(conversation: str) -> tuple[list[tuple[str, str]], list[tuple[int,
 def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
     """All root-to-leaf paths of messages (id, parent): leaf, root, path (ids from root to leaf).
 
-    A message whose parent is null or absent is a root. Each round joins the table with itself and doubles the
-    length of every path that doesn't begin at a root yet, so depth d takes log2(d) rounds. Messages on a cycle, or
-    below one, have no root and are left out.
+    A message whose parent is null or absent is a root. Each round joins the paths that don't begin at a root yet
+    with all paths and so doubles their length; depth d takes log2(d) rounds, and a message takes part in as many as
+    its own depth asks for. Messages on a cycle, or below one, have no root and are left out.
     """
     nodes = messages.select("id", "parent").where("id is not null").dropDuplicates(["id"])
     known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
     linked = nodes.join(known, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent"))
-    leaf = linked.join(linked.select(F.col("parent").alias("id")).where("id is not null").distinct(), "id", "left_anti")
-    paths = written(linked.select("id", F.col("parent").alias("up"), F.array("id").alias("path")), "paths")
-    open_ = paths.where("up is not null").count()
-    while open_:
-        above = paths.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"))
-        paths = paths.join(above, "up", "left")
-        paths = written(paths.select("id", F.col("next").alias("up"), F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path")).where("size(path) = size(array_distinct(path))"), "paths")
-        left = paths.where("up is not null").count()
-        if left == open_ and paths.where("up is not null").join(paths.where("up is null").select(F.col("id").alias("up")), "up", "left_semi").isEmpty():
-            break  # only what hangs on a cycle is left
-        open_ = left
-    done = paths.where("up is null").join(leaf.select("id"), "id", "left_semi")
-    return done.select(F.col("id").alias("leaf"), F.get("path", F.lit(0)).alias("root"), "path")
+    linked = written(linked, "linked")
+    leaf = linked.join(linked.select(F.col("parent").alias("id")).where("id is not null").distinct(), "id", "left_anti").select("id")
+    paths = linked.select("id", F.col("parent").alias("up"), F.array("id").alias("path"))
+    done, open_ = paths.where("up is null"), paths.where("up is not null")
+    while not open_.isEmpty():
+        above = done.union(open_).select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"))
+        met = open_.join(above, "up").where(~F.array_contains("before", F.col("id")))
+        longer = written(met.select("id", F.col("next").alias("up"), F.concat("before", "path").alias("path")), "paths")
+        done, open_ = done.union(longer.where("up is null")), longer.where("up is not null")
+    return done.join(leaf, "id").select(F.col("id").alias("leaf"), F.get("path", F.lit(0)).alias("root"), "path")
 
 
 def format_reply_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
