@@ -118,9 +118,13 @@ def _has_letter(text: str) -> bool:
 
 def learn_languages(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel | None:
     """A model of (doc_id, text, lang) from at most max_train rows by hash of doc_id; None without any labelled text."""
+    spark = labelled.sparkSession
     usable = labelled.where("lang is not null and text is not null and doc_id is not null")
-    chosen = usable.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(max_train)
-    rows = [(r.text.encode(), r.lang) for r in chosen.toLocalIterator() if _has_letter(r.text)]
+    ids = usable.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    picked = spark.createDataFrame([(r.doc_id,) for r in ids.collect()], "doc_id long")  # max_train ids at most
+    chosen = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(F.broadcast(picked), "doc_id")
+    held = sorted((r.doc_id, r.lang, r.text) for r in chosen.toLocalIterator())
+    rows = [(text.encode(), lang) for _, lang, text in held if _has_letter(text)]
     return train([t for t, _ in rows], [x for _, x in rows]) if rows else None
 
 
