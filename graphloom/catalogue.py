@@ -16,6 +16,7 @@ from graphloom.operators import reasoning as rs
 from graphloom.operators import rules as ru
 from graphloom.plans import star_graph as sg
 from graphloom.sources.tables import table
+from graphloom.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,9 +35,21 @@ def query(sql: str) -> Callable[[Query], Query]:
     return add
 
 
+#: Queries that read the graph several times; it is stored once for them, and their filters are pushed into that table.
+SEVERAL_READS = {
+    "justify_rules", "classify_triples", "delta", "rl_fixpoint", "rl_domain_range", "inverse_complete", "lpg_inverse_dedup", "type_pollution", "check_range", "check_domain", "check_cardinality",
+    "check_inference", "check_bidirectional", "check_report_score", "check_relationship_outliers", "mutation_sensitivity", "sparql_bgp", "sparql_orders_per_nation", "class_links", "two_hop_paths", "graph_diff", "instance_quality", "swrl_rule",
+}
+
+
 def on_graph(name: str, sql: str, plan: Callable[[DataFrame, dict[str, DataFrame]], DataFrame]) -> None:
     """Register a plan over the graph's triples and its schema tables; sql follows the common table expressions g, ty and e."""
-    QUERIES[name] = lambda spark, sf_dir: plan(sg.graph(spark, sf_dir), sg.schema_rows(spark))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        triples = sg.graph(spark, sf_dir)
+        return plan(stored(triples, "graph") if name in SEVERAL_READS else triples, sg.schema_rows(spark))
+
+    QUERIES[name] = run
     ORACLES[name] = f"{G}{sql}"
 
 
