@@ -14,6 +14,7 @@ from graphloom.operators import graph as gr
 from graphloom.operators import profile as pr
 from graphloom.operators import reasoning as rs
 from graphloom.operators import rules as ru
+from graphloom.operators import schema_lint as sl
 from graphloom.plans import star_graph as sg
 from graphloom.sources.tables import table
 from graphloom.storage import stored
@@ -82,7 +83,7 @@ def profile_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.dominant_types(_holed(spark, sf_dir), PROFILED, ["o_orderkey"])
 
 
-@query(f"SELECT 100.0::DOUBLE - (count(*) - count(o_orderstatus)) * 100.0 / count(*) / 4 AS score FROM {HOLED_SQL}")
+@query(f"SELECT round(100.0::DOUBLE - (count(*) - count(o_orderstatus)) * 100.0 / count(*) / 4, 6) AS score FROM {HOLED_SQL}")
 def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _holed(spark, sf_dir)
     return pr.quality_score(pr.profile(df, PROFILED), pr.dominant_types(df, PROFILED, ["o_orderkey"]))
@@ -369,7 +370,30 @@ on_graph(
     "swrl_rule", " SELECT DISTINCT a.s, 'competesWith' AS p, b.s AS o FROM e a JOIN e b ON a.o = b.o AND a.s <> b.s JOIN g x ON x.s = a.s AND x.p = 'supplierBalance' AND x.o_num > 5000 WHERE a.p = 'basedIn' AND b.p = 'basedIn'",
     lambda t, _: rs.rule_body(gr.match(t, "?a", "basedIn", "?n"), gr.match(t, "?b", "basedIn", "?n"), gr.match(t, "?a", "supplierBalance", "?v", number="x"), where=(F.col("x") > 5000) & (F.col("a") != F.col("b")), head=("?a", "competesWith", "?b")),
 )
-on_graph("same_as", " SELECT DISTINCT min(o) OVER (PARTITION BY s) AS a, o AS b FROM e WHERE p = 'placedBy' AND false", lambda t, _: rs.same_as(t, ["placedBy"]))
+on_graph(
+    "same_as", " SELECT a, b FROM (SELECT DISTINCT min(s) OVER (PARTITION BY o) AS a, s AS b FROM e WHERE p = 'inRegion') WHERE a < b",
+    lambda t, _: rs.same_as(t.where("p = 'inRegion'").select(F.col("o").alias("s"), F.lit("onlyNation").alias("p"), F.col("s").alias("o"), "o_kind"), ["onlyNation"]),
+)
+
+
+LINT_FOUND = [
+    ("missing_label", "Ghost"), ("duplicate_label", "part"), ("class_naming", "old_class"), ("property_naming", "HasPart"), ("missing_domain_range", "loose"), ("multiple_domain_range", "inNation"), ("isolated_class", "Ghost"),
+    ("self_subclass", "Loop"), ("subclass_cycle", "A"), ("subclass_cycle", "B"), ("subproperty_cycle", "p1"), ("subproperty_cycle", "p2"), ("self_inverse", "inNation"), ("transitive_self_loop", "placedBy"), ("deprecated_reference", "HasPart"), ("siblings_not_disjoint", "Customer"),
+]
+
+
+@query(f"SELECT rule, subject FROM (VALUES {_values(LINT_FOUND)}) AS x(rule, subject)")
+def schema_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small schema with one violation of each rule or more; it doesn't depend on the tables."""
+    own = lambda rows, names: spark.createDataFrame(rows, names)
+    classes = own([("Customer", "customer", False), ("Supplier", "supplier", False), ("Party", "party", False), ("Nation", "nation", False), ("Ghost", None, False), ("old_class", "old", True), ("Part", "part", False)], "c string, label string, deprecated boolean")
+    properties = own([("inNation", "Customer", "Nation", "in nation"), ("inNation", "Supplier", "Nation", "in nation"), ("HasPart", "old_class", "Part", "part"), ("loose", "Party", None, "loose"), ("placedBy", "Party", "Customer", "placed by")], "p string, domain string, range string, label string")
+    pairs = lambda *rows: own(list(rows), "a string, b string")
+    return sl.lint(
+        classes, properties, pairs(("Customer", "Party"), ("Supplier", "Party"), ("Loop", "Loop"), ("A", "B"), ("B", "A")), pairs(("p1", "p2"), ("p2", "p1")),
+        own([("inNation", "inNation"), ("x", "y")], "p string, q string"), own([("placedBy",)], "p string"), pairs(("Part", "Nation")),
+    )
+
 
 # --- checks -------------------------------------------------------------------------------------------------------------------------
 
@@ -439,13 +463,13 @@ on_graph(
 check("master_orphan", "SELECT node NOT IN (SELECT o FROM e) AS bad FROM ty WHERE c IN ('Customer', 'Part')", lambda t, _: ck.master_orphan(t, ["Customer", "Part"]), "cw_master_orphan")
 check("fk_unresolved", f"SELECT o {NOT_TYPED} AND o <> 'Customer_-97' AS bad FROM e", lambda t, _: ck.fk_unresolved(t, _local(t, [("Customer_-97",)], "node string")), "cw_fk_unresolved")
 on_graph(
-    "check_report_score", f" SELECT (SELECT count(*) FILTER (n = 0) FROM (SELECT count(*) FILTER (o {NOT_TYPED}) AS n FROM e UNION ALL SELECT count(*) FROM (SELECT s FROM g WHERE p = 'placedBy' GROUP BY s HAVING count(DISTINCT o) > 1))) AS passed, 2 AS total, 50.0::DOUBLE AS score, 50.0::DOUBLE AS measured_score",
+    "check_report_score", f" SELECT (SELECT count(*) FILTER (n = 0) FROM (SELECT count(*) FILTER (o {NOT_TYPED}) AS n FROM e UNION ALL SELECT count(*) FROM (SELECT s FROM g WHERE p = 'placedBy' GROUP BY s HAVING count(DISTINCT o) > 1))) AS passed, 2::BIGINT AS total, 50.0::DOUBLE AS score, 50.0::DOUBLE AS measured_score",
     lambda t, _: ck.scored(ck.report(ck.fk_ref(t), ck.functional(t, ["placedBy"]))),
 )
 
 # --- dictionary, drift, topology, property graph, history ---------------------------------------------------------------------------
 
-on_graph("dict_numeric_stats", " SELECT p, count(*) AS n, min(o_num) AS low, max(o_num) AS high, avg(o_num) AS mean, quantile_cont(o_num, 0.1) AS p10, quantile_cont(o_num, 0.5) AS p50, quantile_cont(o_num, 0.9) AS p90 FROM g WHERE o_num IS NOT NULL GROUP BY p", lambda t, _: an.numeric_stats(t))
+on_graph("dict_numeric_stats", " SELECT p, count(*) AS n, min(o_num) AS low, max(o_num) AS high, round(avg(o_num), 6) AS mean, round(quantile_cont(o_num, 0.1), 6) AS p10, round(quantile_cont(o_num, 0.5), 6) AS p50, round(quantile_cont(o_num, 0.9), 6) AS p90 FROM g WHERE o_num IS NOT NULL GROUP BY p", lambda t, _: an.numeric_stats(t))
 on_graph(
     "dict_distinct", ", d AS (SELECT DISTINCT p, o FROM g WHERE o_kind = 'lit' AND o_num IS NULL), n AS (SELECT p, count(*) AS n_distinct FROM d GROUP BY p), r AS (SELECT p, o, row_number() OVER (PARTITION BY p ORDER BY o) AS r FROM d) SELECT p, n_distinct, string_agg(o, '|' ORDER BY o) AS listed FROM r JOIN n USING (p) WHERE r <= CASE WHEN n_distinct <= 20 THEN 20 ELSE 5 END GROUP BY p, n_distinct",
     lambda t, _: an.distinct_values(t),

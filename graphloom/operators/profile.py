@@ -46,10 +46,10 @@ def dominant_types(df: DataFrame, columns: list[str], order: list[str]) -> DataF
 
 
 def quality_score(profiled: DataFrame, types: DataFrame) -> DataFrame:
-    """One row: score = max(0, 100 - mean null percent - 5 * mixed columns / columns)."""
+    """One row: score = max(0, 100 - mean null percent - 5 * mixed columns / columns), to six places."""
     joined = profiled.join(types, "column", "left")
     rate = F.avg(F.col("n_null") * 100.0 / F.greatest("n_rows", F.lit(1)))
-    return joined.agg(F.greatest(F.lit(0.0), F.lit(100.0) - rate - F.lit(5.0) * F.count_if(F.coalesce("mixed", F.lit(False))) / F.count("*")).alias("score"))
+    return joined.agg(F.round(F.greatest(F.lit(0.0), F.lit(100.0) - rate - F.lit(5.0) * F.count_if(F.coalesce("mixed", F.lit(False))) / F.count("*")), 6).alias("score"))
 
 
 def fk_validity(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
