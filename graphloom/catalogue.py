@@ -39,7 +39,7 @@ def query(sql: str) -> Callable[[Query], Query]:
 #: Queries that read the graph several times; it is stored once for them, and their filters are pushed into that table.
 SEVERAL_READS = {
     "justify_rules", "classify_triples", "delta", "rl_fixpoint", "rl_domain_range", "inverse_complete", "lpg_inverse_dedup", "type_pollution", "check_range", "check_domain", "check_cardinality",
-    "check_inference", "check_bidirectional", "check_report_score", "check_relationship_outliers", "mutation_sensitivity", "sparql_bgp", "sparql_orders_per_nation", "class_links", "two_hop_paths", "graph_diff", "instance_quality", "swrl_rule",
+    "check_inference", "check_bidirectional", "check_report_score", "check_relationship_outliers", "mutation_sensitivity", "sparql_bgp", "sparql_orders_per_nation", "class_links", "two_hop_paths", "graph_diff", "instance_quality", "swrl_rule", "merged_terms", "intersection_of",
 }
 
 
@@ -374,6 +374,19 @@ on_graph(
     "same_as", " SELECT a, b FROM (SELECT DISTINCT min(s) OVER (PARTITION BY o) AS a, s AS b FROM e WHERE p = 'inRegion') WHERE a < b",
     lambda t, _: rs.same_as(t.where("p = 'inRegion'").select(F.col("o").alias("s"), F.lit("onlyNation").alias("p"), F.col("s").alias("o"), "o_kind"), ["onlyNation"]),
 )
+on_graph(
+    "has_key", " SELECT DISTINCT a, s AS b FROM (SELECT x.s, min(x.s) OVER (PARTITION BY y.o, z.o) AS a FROM g x JOIN g y ON y.s = x.s AND y.p = 'brand' JOIN g z ON z.s = x.s AND z.p = 'size' WHERE x.p = 'type' AND x.o = 'Part') WHERE a < s",
+    lambda t, _: rs.has_key(t, "Part", ["brand", "size"]),
+)
+on_graph(
+    "merged_terms", ", m AS (SELECT s, min(s) OVER (PARTITION BY o) AS least FROM e WHERE p = 'inRegion') SELECT DISTINCT coalesce(a.least, g.s) AS s, p, coalesce(b.least, g.o) AS o FROM g LEFT JOIN m a ON a.s = g.s LEFT JOIN m b ON b.s = g.o WHERE p IN ('type', 'inNation', 'basedIn', 'nationName')",
+    lambda t, _: rs.merged_terms(t.where(F.col("p").isin("type", "inNation", "basedIn", "nationName")), rs.same_as(t.where("p = 'inRegion'").select(F.col("o").alias("s"), F.lit("onlyNation").alias("p"), F.col("s").alias("o"), "o_kind"), ["onlyNation"])).select("s", "p", "o"),
+)
+on_graph("union_of", " SELECT DISTINCT node AS s, 'Trader' AS c FROM ty WHERE c IN ('Customer', 'Supplier')", lambda t, _: rs.union_of(t, "Trader", ["Customer", "Supplier"]))
+on_graph(
+    "intersection_of", " SELECT DISTINCT s, 'RichParty' AS c FROM g WHERE p = 'balance' AND o_num > 5000",
+    lambda t, _: rs.intersection_of(t.select("s", "p", "o").union(t.where("p = 'balance' AND o_num > 5000").select("s", F.lit("type"), F.lit("Rich"))), "RichParty", ["Customer", "Rich"]),
+)
 
 
 LINT_FOUND = [
@@ -394,6 +407,40 @@ def schema_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
         own([("inNation", "inNation"), ("x", "y")], "p string, q string"), own([("placedBy",)], "p string"), pairs(("Part", "Nation")),
     )
 
+AXIOMS_FOUND = [
+    ("circular_property", "partOf"), ("disjoint_style", "Part"), ("self_referencing_restriction", "Customer"), ("asymmetric_annotation", "Nation"), ("equivalent_class_cycle", "Customer"), ("equivalent_class_cycle", "Part"), ("disjoint_presence", "groups missing: 3"),
+]
+
+
+@query(f"SELECT rule, subject FROM (VALUES {_values(AXIOMS_FOUND)}) AS x(rule, subject)")
+def schema_lint_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small schema with one violation of each rule among axioms; it doesn't depend on the tables."""
+    own = spark.createDataFrame
+    classes = own([("Customer", "customer", "buys"), ("Part", "part", "is sold"), ("Nation", "nation", None)], "c string, label string, comment string")
+    properties = own([("segment", "Customer"), ("size", "Part")], "p string, domain string")
+    wanted = own([(g, c) for g in ("x", "y", "z") for c in ("Customer", "Part")] + [("w", "Customer"), ("w", "Ghost")], "g string, c string")
+    return sl.lint_axioms(
+        classes, properties, own([("partOf", "hasPart")], "p string, q string"), own([("partOf",), ("near",)], "p string"), own([("Customer", "segment"), ("Customer", "size")], "c string, p string"),
+        own([("Customer", "Part"), ("Part", "Customer"), ("Nation", "Nation")], "a string, b string"), own([("Part", "Nation")], "a string, b string"), own([], "g string, c string"), wanted,
+    )
+
+
+@query(f"""
+WITH c(c) AS (VALUES {_values([(c,) for c in sorted({x for pair in sg.SUBCLASSES for x in pair} | {"Part"})])}), b(a, b) AS (VALUES {_values(sg.SUBCLASSES)}),
+d(p, c) AS (VALUES {_values(sg.DATA_PROPERTIES)}), o(p, d, r) AS (VALUES {_values(sg.OBJECT_PROPERTIES)}),
+k AS (SELECT c, (SELECT count(*) FROM b WHERE b.b = c.c) AS children, (SELECT count(*) FROM b WHERE b.a = c.c) AS parents, (SELECT count(*) FROM d WHERE d.c = c.c) AS n_data FROM c)
+SELECT 'inheritance_depth' AS metric, 2.0::DOUBLE AS value UNION ALL SELECT 'children_mean', round(avg(children), 6) FROM k UNION ALL SELECT 'children_most', max(children)::DOUBLE FROM k
+UNION ALL SELECT 'relationship_richness', round((SELECT count(DISTINCT p) FROM o) / ((SELECT count(DISTINCT p) FROM o) + (SELECT count(DISTINCT p) FROM d))::DOUBLE, 6)
+UNION ALL SELECT 'attribute_richness', round(sum(n_data) / (count(*) FILTER (n_data > 0))::DOUBLE, 6) FROM k UNION ALL SELECT 'annotation', 0.5::DOUBLE
+UNION ALL SELECT 'multi_parent_share', round((count(*) FILTER (parents > 1)) / count(*)::DOUBLE, 6) FROM k""")
+def schema_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the mapping's schema, in which half of the terms are given a comment."""
+    classes = sorted({x for pair in sg.SUBCLASSES for x in pair} | {"Part"})
+    terms = [("c", c, None) for c in classes] + [("o", p, None) for p, _, _ in sg.OBJECT_PROPERTIES] + [("d", p, c) for p, c in sg.DATA_PROPERTIES]
+    told = [(kind, t, d, t, t if k < len(terms) // 2 else None) for k, (kind, t, d) in enumerate(terms)]
+    of = lambda kind: spark.createDataFrame([r[1:] for r in told if r[0] == kind], "p string, domain string, label string, comment string")
+    return sl.schema_metrics(of("c").select(F.col("p").alias("c"), "label", "comment"), spark.createDataFrame(sg.SUBCLASSES, "a string, b string"), of("o"), of("d"))
+
 
 # --- checks -------------------------------------------------------------------------------------------------------------------------
 

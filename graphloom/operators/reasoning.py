@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import transitive
+from graphloom.operators.graph import components, transitive
 from graphloom.storage import stored
 
 SPO = ["s", "p", "o", "o_kind"]
@@ -70,6 +70,44 @@ def same_as(triples: DataFrame, functional: list[str]) -> DataFrame:
     return of.join(least, ["s", "p"]).where("a < o").select("a", F.col("o").alias("b")).distinct()
 
 
+def has_key(triples: DataFrame, c: str, keys: list[str]) -> DataFrame:
+    """(a, b), a < b: instances of the class that share a value of every key property; a is the least of those with one combination.
+
+    Instances are grouped by combination, so a common value makes one row an instance, not all pairs.
+    """
+    own = triples.where((F.col("p") == "type") & (F.col("o") == c)).select("s").distinct()
+    for k, p in enumerate(keys):
+        own = own.join(triples.where(F.col("p") == p).select("s", F.col("o").alias(f"key_{k}")).distinct(), "s")
+    names = [f"key_{k}" for k in range(len(keys))]
+    least = own.groupBy(*names).agg(F.min("s").alias("a"))
+    return own.join(least, names).where("a < s").select("a", F.col("s").alias("b")).distinct()
+
+
+def merged_terms(triples: DataFrame, same: DataFrame) -> DataFrame:
+    """The triples with every subject and object IRI replaced by the least term that pairs (a, b) of same terms lead to."""
+    if same.isEmpty():
+        return triples
+    to = stored(components(same.select("a", "b")), "same")
+    named = lambda c: to.select(F.col("node").alias(c), F.col("component").alias(f"{c}_to"))
+    out = triples.join(named("s"), "s", "left").join(named("o"), "o", "left")
+    out = out.withColumns({"s": F.coalesce("s_to", "s"), "o": F.when(F.col("o_kind") == "iri", F.coalesce("o_to", "o")).otherwise(F.col("o"))})
+    return out.select(*triples.columns).dropDuplicates(["s", "p", "o"])
+
+
+def intersection_of(triples: DataFrame, c: str, members: list[str]) -> DataFrame:
+    """(s, c) that an intersection adds: what is of all members is of c, what is of c is of each member."""
+    ty = triples.where(F.col("p") == "type").select("s", F.col("o").alias("c")).distinct()
+    of_all = ty.where(F.col("c").isin(members)).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") == len(set(members))).select("s", F.lit(c).alias("c"))
+    of_each = ty.where(F.col("c") == c).select("s", F.explode(F.array(*[F.lit(m) for m in members])).alias("c"))
+    return of_all.unionByName(of_each).distinct().join(ty, ["s", "c"], "left_anti")
+
+
+def union_of(triples: DataFrame, c: str, members: list[str]) -> DataFrame:
+    """(s, c) that a union adds: what is of a member is of c."""
+    ty = triples.where(F.col("p") == "type").select("s", F.col("o").alias("c")).distinct()
+    return ty.where(F.col("c").isin(members)).select("s", F.lit(c).alias("c")).distinct().join(ty, ["s", "c"], "left_anti")
+
+
 def delta(after: DataFrame, before: DataFrame) -> DataFrame:
     return after.join(before.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
 
