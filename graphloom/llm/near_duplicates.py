@@ -244,14 +244,15 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
     members = written(keyed.join(shared, "key").distinct(), "members")
     order = Window.partitionBy("key").orderBy("doc_id")
-    firsts = members.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < PIVOTS[-1])
+    # the bare rank is compared, so that Spark keeps the first members of a bucket before it shuffles
+    firsts = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS[-1])
     firsts = written(firsts, "firsts")
     wanted = members.select("doc_id").distinct()
     sets = written(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_set_batches, "doc_id long, shingles array<long>"), "sets")
 
     roots, begin = None, 0
     for end in PIVOTS:
-        left = firsts.where((F.col("rank") >= begin) & (F.col("rank") < end)).select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"))
+        left = firsts.where((F.col("rank") > begin) & (F.col("rank") <= end)).select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"))
         right = members.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"))
         met = _rooted(left, "a", roots).join(_rooted(right, "b", roots), "key").where("a < b and root_a <> root_b")
         met = met.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
