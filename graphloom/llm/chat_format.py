@@ -1,7 +1,7 @@
 """Chat formatting of reply trees.
 
 Messages form trees by parent. Paths from roots to leaves are enumerated by self-joins that double
-the known part of every path in each round; branches are ranked by score and each chosen path becomes
+the distance of known ancestors in each round; branches are ranked by score and each chosen path becomes
 one conversation in a template. Control strings inside texts are escaped, reversibly.
 """
 
@@ -52,26 +52,38 @@ def read_back(conversation: str) -> tuple[list[tuple[str, str]], list[tuple[int,
     return turns, mask
 
 
-def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
-    """All root-to-leaf paths of messages (id, parent): leaf, root, path (ids from root to leaf).
+def root_to_leaf_steps(messages: DataFrame) -> DataFrame:
+    """All root-to-leaf paths of messages (id, parent), a row for each message on them: leaf, id, height (0 at the leaf).
 
-    A message whose parent is null or absent is a root. Each round joins the paths that don't begin at a root yet
-    with all paths and so doubles their length; depth d takes log2(d) rounds, and a message takes part in as many as
-    its own depth asks for. Messages on a cycle, or below one, have no root and are left out.
+    A message whose parent is null or absent is a root. Self-joins first find every message's ancestor at
+    distance 1, 2, 4 and so on, as far as one has any; then the leaves climb, the farthest jump first, so that each round adds the
+    ancestors whose distance has that binary digit. Depth d takes log2(d) rounds of each kind, and only what lies on a
+    leaf's path becomes a row. Messages on a cycle, or below one, have no root and are left out; of repeated ids one row is used.
     """
     nodes = messages.select("id", "parent").where("id is not null").dropDuplicates(["id"])
     known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
     linked = nodes.join(known, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent"))
     linked = written(linked, "linked")
-    leaf = linked.join(linked.select(F.col("parent").alias("id")).where("id is not null").distinct(), "id", "left_anti").select("id")
-    paths = linked.select("id", F.col("parent").alias("up"), F.array("id").alias("path"))
-    done, open_ = paths.where("up is null"), paths.where("up is not null")
-    while not open_.isEmpty():
-        above = done.union(open_).select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"))
-        met = open_.join(above, "up").where(~F.array_contains("before", F.col("id")))
-        longer = written(met.select("id", F.col("next").alias("up"), F.concat("before", "path").alias("path")), "paths")
-        done, open_ = done.union(longer.where("up is null")), longer.where("up is not null")
-    return done.join(leaf, "id").select(F.col("id").alias("leaf"), F.get("path", F.lit(0)).alias("root"), "path")
+    jumps = [linked.where("parent is not null").select("id", F.col("parent").alias("up"))]
+    n_links = jumps[0].count()
+    while 2 ** (len(jumps) - 1) <= n_links and not jumps[-1].isEmpty():
+        further = jumps[-1].select(F.col("id").alias("up"), F.col("up").alias("next"))
+        jumps.append(written(jumps[-1].join(further, "up").select("id", F.col("next").alias("up")), "jumps"))
+    endless = jumps.pop().select("id")  # further from a root than there are links
+    inner = linked.select(F.col("parent").alias("id")).where("id is not null").distinct()
+    leaves = linked.join(inner, "id", "left_anti").join(endless, "id", "left_anti")
+    steps = written(leaves.select(F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("height")), "leaves")
+    for k in reversed(range(len(jumps))):
+        climbed = steps.join(jumps[k], "id").select("leaf", F.col("up").alias("id"), (F.col("height") + 2**k).alias("height"))
+        steps = steps.union(written(climbed, "climbed"))
+    return steps
+
+
+def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
+    """The paths of root_to_leaf_steps as one row each: leaf, root, path (ids from root to leaf)."""
+    whole = root_to_leaf_steps(messages).groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("height", "id")), asc=False).alias("steps"))
+    path = F.transform("steps", lambda x: x["id"])
+    return whole.select("leaf", F.get(path, F.lit(0)).alias("root"), path.alias("path"))
 
 
 def format_reply_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
@@ -84,12 +96,12 @@ def format_reply_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
     prepared(messages.sparkSession)
     own = messages.select("id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     own = own.where("id is not null").dropDuplicates(["id"])
-    steps = root_to_leaf_paths(messages).select("leaf", "root", F.posexplode("path").alias("step", "id"))
-    branches = steps.join(own.select("id", "score"), "id").groupBy("root", "leaf").agg(F.sum("score").alias("score"))
-    ranked = branches.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(F.col("score").desc(), "leaf")))
+    steps = root_to_leaf_steps(messages)
+    branches = steps.join(own.select("id", "score"), "id").groupBy("leaf").agg(F.max_by("id", "height").alias("root"), F.sum("score").alias("total"))
+    ranked = branches.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(F.col("total").desc(), "leaf")))
     chosen = ranked if best is None else ranked.where(F.col("rank") <= best)
-    turns = steps.join(chosen.select("leaf", "rank", F.col("score").alias("total")), "leaf").join(own.select("id", "role", "text"), "id")
-    whole = turns.groupBy("root", "leaf", "rank", "total").agg(F.sort_array(F.collect_list(F.struct("step", "role", "text"))).alias("turns"))
+    turns = steps.join(chosen, "leaf").join(own.select("id", "role", "text"), "id")
+    whole = turns.groupBy("root", "leaf", "rank", "total").agg(F.sort_array(F.collect_list(F.struct((-F.col("height")).alias("step"), "role", "text"))).alias("turns"))
 
     def write(frames):
         for frame in frames:
