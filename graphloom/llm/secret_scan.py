@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -94,9 +96,12 @@ def secret_spans(text: str) -> list[tuple[int, int, str]]:
     spans += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     base = sorted((a, b) for a, b, _ in spans)
+    begins, furthest = [a for a, _ in base], list(accumulate((b for _, b in base), max))
     for m in CONTEXT.finditer(text):
         start, stop = m.span(1)
-        if stop - start >= MIN_VALUE and not any(a < stop and start < b for a, b in base) and guess_bits(m[1]) >= MIN_BITS:
+        before = bisect_left(begins, stop)  # base spans that begin before the value ends
+        met = before > 0 and furthest[before - 1] > start
+        if stop - start >= MIN_VALUE and not met and guess_bits(m[1]) >= MIN_BITS:
             spans.append((start, stop, "guess"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
