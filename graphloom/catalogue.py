@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import coercion as co
 from graphloom.operators import analytics as an
 from graphloom.operators import checks as ck
+from graphloom.operators import dimensions as dm
 from graphloom.operators import graph as gr
 from graphloom.operators import profile as pr
 from graphloom.operators import reasoning as rs
@@ -40,6 +41,7 @@ def query(sql: str) -> Callable[[Query], Query]:
 SEVERAL_READS = {
     "justify_rules", "classify_triples", "delta", "rl_fixpoint", "rl_domain_range", "inverse_complete", "lpg_inverse_dedup", "type_pollution", "check_range", "check_domain", "check_cardinality",
     "check_inference", "check_bidirectional", "check_report_score", "check_relationship_outliers", "mutation_sensitivity", "sparql_bgp", "sparql_orders_per_nation", "class_links", "two_hop_paths", "graph_diff", "instance_quality", "swrl_rule", "merged_terms", "intersection_of",
+    "quality_dimensions", "approx_diameter",
 }
 
 
@@ -643,3 +645,83 @@ def _sensitivity(t: DataFrame, _: dict[str, DataFrame]) -> DataFrame:
 
 
 on_graph("mutation_sensitivity", f" {SENSITIVE}", _sensitivity)
+
+# --- quality dimensions, distances, cell provenance ---------------------------------------------------------------------------------
+
+SOURCES_OF = "CASE WHEN o_kind = 'lit' OR p = 'type' THEN 'csv' ELSE 'fk_verified' END"
+FULL = "SELECT 'http://a.example/' || split_part(s, '_', 1) || '#' || s AS s, 'http://a.example/schema#' || p AS p, o, o_kind, CASE WHEN p LIKE 's%' AND o IN ('X', '1.00') THEN 'other' WHEN o_num IS NULL THEN 'string' ELSE 'decimal' END AS dt FROM g"
+
+
+def _full_iris(t: DataFrame) -> DataFrame:
+    """The graph with full IRIs and data types, of which some statuses and sizes differ from their property's others."""
+    kind = F.when(F.col("p").startswith("s") & F.col("o").isin("X", "1.00"), "other").when(F.col("o_num").isNull(), "string").otherwise("decimal")
+    return t.select(F.concat(F.lit("http://a.example/"), F.substring_index("s", "_", 1), F.lit("#"), "s").alias("s"), F.concat(F.lit("http://a.example/schema#"), "p").alias("p"), "o", "o_kind", F.when(F.col("o_kind") == "lit", kind).alias("o_dt"))
+
+
+def _dimensions(t: DataFrame, _: dict[str, DataFrame]) -> DataFrame:
+    statements = t.select(F.when((F.col("o_kind") == "lit") | (F.col("p") == "type"), "csv").otherwise("fk_verified").alias("source"))
+    statements = statements.select("source", F.when(F.col("source") == "csv", 1.0).otherwise(0.95).alias("confidence"))
+    return dm.dimensions(dm.amount(t), dm.trust(statements), dm.verifiability(t.where("p = 'inRegion'")), dm.representation(_full_iris(t)))
+
+
+on_graph(
+    "quality_dimensions",
+    f""", f AS ({FULL}), n AS (SELECT count(DISTINCT regexp_extract(i, '^(.*#)', 1)) AS n FROM (SELECT s AS i FROM f UNION ALL SELECT p FROM f)),
+    k AS (SELECT count(*) AS props, count(*) FILTER (kinds > 1) AS mixed FROM (SELECT p, count(DISTINCT dt) AS kinds FROM f WHERE o_kind = 'lit' GROUP BY p)),
+    d AS (SELECT 'amount' AS dimension, floor(least(100.0, 10 + 10 * log10(count(*))))::DOUBLE AS score FROM g
+    UNION ALL SELECT 'trust', round(round(avg(CASE {SOURCES_OF} WHEN 'csv' THEN 1.0 ELSE 0.95 END::DOUBLE), 3) * 100 * least(1.0, 0.5 + count(DISTINCT {SOURCES_OF}) * 0.15))::DOUBLE FROM g
+    UNION ALL SELECT 'verifiability', floor(least(100.0, 20 + 30 * log10(count(*) + 1)))::DOUBLE FROM e WHERE p = 'inRegion'
+    UNION ALL SELECT 'representation', round((CASE WHEN n < 3 THEN 50.0 WHEN n <= 15 THEN 100.0 ELSE greatest(0.0, 100.0 - (n - 15) * 5) END::DOUBLE + round((1 - mixed / props::DOUBLE) * 100, 1)) / 2, 1)::DOUBLE FROM n, k)
+    SELECT * FROM d UNION ALL SELECT 'overall', round(avg(score), 1) FROM d""",
+    _dimensions,
+)
+on_graph(
+    "approx_diameter",
+    """, k AS (SELECT s AS a, o AS b FROM e WHERE p IN ('inNation', 'inRegion', 'basedIn')), x AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+    src AS (SELECT a AS source FROM (SELECT DISTINCT a FROM x) ORDER BY md5(a), a LIMIT 50),
+    walk AS (SELECT source, source AS node, 0 AS d FROM src UNION SELECT w.source, x.b, w.d + 1 FROM walk w JOIN x ON x.a = w.node WHERE w.d < 8),
+    ecc AS (SELECT source, max(d) AS d FROM (SELECT source, node, min(d) AS d FROM walk GROUP BY ALL) GROUP BY source)
+    SELECT count(*) AS sampled_sources, max(d) AS approx_diameter, list_sort(list(d))[count(*) // 2 + 1] AS median_eccentricity FROM ecc""",
+    lambda t, _: dm.approximate_diameter(t.where("p in ('inNation', 'inRegion', 'basedIn')").select(F.col("s").alias("a"), F.col("o").alias("b"))),
+)
+
+
+@query("""WITH a AS (SELECT event_type AS metric, count(*) AS v FROM events WHERE event_id % 2 = 0 AND event_type <> 'error' GROUP BY 1), b AS (SELECT event_type AS metric, count(*) AS v FROM events WHERE event_id % 2 = 1 AND event_type <> 'click' GROUP BY 1)
+SELECT metric, a.v AS before, b.v AS after, b.v - a.v AS delta, CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' WHEN b.v > a.v THEN 'up' WHEN b.v < a.v THEN 'down' ELSE 'same' END AS status FROM a FULL JOIN b USING (metric)""")
+def metrics_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda where: table(spark, sf_dir, "events").where(where).groupBy(F.col("event_type").alias("metric")).agg(F.count("*").alias("value"))
+    return dm.metrics_diff(of("event_id % 2 = 0 and event_type <> 'error'"), of("event_id % 2 = 1 and event_type <> 'click'"))
+
+
+CELLS = {"segment": "c_mktsegment", "balance": "c_acctbal"}
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dm.cell_provenance(table(spark, sf_dir, "customer"), "customer", F.concat(F.lit("Customer_"), F.col("c_custkey").cast("string")), "c_custkey", CELLS)
+
+
+@query(
+    "WITH r AS (SELECT c_custkey::VARCHAR AS n, 'prov://customer#row=' || c_custkey AS r FROM customer), c AS (SELECT n, r, r || '&col=' || col AS c, prop, col FROM r, (VALUES " + _values(list(CELLS.items())) + ") AS v(prop, col)), "
+    "w AS (SELECT n, r AS x FROM r UNION ALL SELECT n, c FROM c) SELECT 'Customer_' || n AS s, 'wasDerivedFrom' AS p, r AS o FROM r UNION ALL SELECT x, 'type', 'Entity' FROM w UNION ALL SELECT x, 'csvTable', 'customer' FROM w UNION ALL SELECT x, 'rowNumber', n FROM w "
+    "UNION ALL SELECT c, 'column', col FROM c UNION ALL SELECT c, 'property', prop FROM c UNION ALL SELECT c, 'wasDerivedFrom', r FROM c"
+)
+def cell_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir)
+
+
+@query("SELECT 'Customer_' || c_custkey AS instance, 'customer' AS source_table, c_custkey AS row_number, prop AS property, col AS \"column\" FROM customer, (VALUES " + _values(list(CELLS.items())) + ") AS v(prop, col)")
+def trace_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dm.traced_cells(_cells(spark, sf_dir))
+
+
+LABELLED = [(c, lang) for c, _ in sg.SUBCLASSES for lang in ("en", "ko") if (c, lang) != ("Order", "ko")]
+
+
+@query(f"""WITH t AS (SELECT a AS term FROM (VALUES {_values(sg.SUBCLASSES)}) AS s(a, b) UNION SELECT b FROM (VALUES {_values(sg.SUBCLASSES)}) AS s(a, b)), l AS (SELECT * FROM (VALUES {_values(LABELLED)}) AS l(term, lang)),
+x AS (SELECT term IN (SELECT term FROM l) AS a, term LIKE '%r' AS b, term IN (SELECT term FROM l WHERE lang = 'en') AND term IN (SELECT term FROM l WHERE lang = 'ko') AS c FROM t),
+y AS (SELECT count(*) FILTER (a) * 100.0::DOUBLE / count(*) AS a, count(*) FILTER (b) * 100.0::DOUBLE / count(*) AS b, count(*) FILTER (c) * 100.0::DOUBLE / count(*) AS c FROM x)
+SELECT round(a, 6) AS label_pct, round(b, 6) AS comment_pct, round(c, 6) AS bilingual_pct, round(a * 0.4 + b * 0.3 + c * 0.3, 6) AS score FROM y""")
+def understandability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and comments of the mapping's classes; it doesn't depend on the tables."""
+    terms = spark.createDataFrame([(c,) for pair in sg.SUBCLASSES for c in pair], "term string")
+    return dm.understandability(terms, spark.createDataFrame(LABELLED, "term string, lang string"), terms.where("term like '%r'"))

@@ -146,3 +146,32 @@ def test_streams(spark, tmp_path):
     q = drift_to(stream, "v", spark.createDataFrame([("old",)], "value string"), str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.processAllAvailable(), q.stop()
     assert [r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["new"]
+
+
+def test_dimensions_of_small_and_empty_graphs(spark):
+    from graphloom.operators import dimensions as dm
+
+    chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(6)] + [("x", "x")], "a string, b string")
+    got = dm.approximate_diameter(chain, 100).first()
+    assert (got.sampled_sources, got.approx_diameter) == (8, 6)
+    assert dm.approximate_diameter(chain.limit(0)).first().sampled_sources == 0
+    rows = [("http://a/x#1", "http://a/p", "v", "lit", "string"), ("http://a/x#2", "http://a/p", "1", "lit", "decimal"), ("http://b/y", "http://a/q", "http://c/z", "iri", None)]
+    full = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_dt string")
+    assert dm.representation(full).first().score == 50.0  # four namespaces, the one literal property is mixed
+    none = full.limit(0)
+    assert (dm.amount(none).first().score, dm.representation(none).first().score) == (0.0, 75.0)
+    said = spark.createDataFrame([(1.0, "a"), (0.5, "b")], "confidence double, source string")
+    assert (dm.trust(said).first().score, dm.trust(said.limit(0)).first().score) == (60.0, 0.0)
+    terms = spark.createDataFrame([("t",), ("u",)], "term string")
+    labels = spark.createDataFrame([("t", "en"), ("t", "ko"), ("u", None)], "term string, lang string")
+    assert tuple(dm.understandability(terms, labels, terms.where("term = 't'")).first()) == (100.0, 50.0, 50.0, 70.0)
+
+
+def test_cells_are_traced_back(spark):
+    from graphloom.operators import dimensions as dm
+
+    df = spark.createDataFrame([(1, "a", None), (2, None, "b")], "k int, x string, y string")
+    made = dm.cell_provenance(df, "tab", F.concat(F.lit("I_"), F.col("k").cast("string")), "k", {"p": "x", "q": "y"})
+    assert made.count() == 2 * (4 + 2 * 6)
+    got = sorted(map(tuple, dm.traced_cells(made).collect()))
+    assert got == [(f"I_{k}", "tab", k, p, c) for k in (1, 2) for p, c in (("p", "x"), ("q", "y"))]
