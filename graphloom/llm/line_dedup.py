@@ -19,13 +19,17 @@ def _has_word(line: Column) -> Column:
     return F.length(F.btrim(line, F.lit(SPACES))) > 0
 
 
-def boilerplate_lines(pages: DataFrame, host: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, host: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, each_row: bool = False) -> DataFrame:
     """The boilerplate lines of each host by hash: host, keys (array).
 
     A line is boilerplate if it stands on more than max_ratio of the host's pages and on min_pages of
-    them or more. A host has at most (lines a page) / max_ratio such lines, so keys is bounded however many pages it has.
+    them or more, where rows of equal text are one page in both counts (a copied document is no boilerplate), unless each_row.
+    A host has at most (lines a page) / max_ratio such lines, so keys is bounded however many pages it has.
     """
-    own = pages.select(F.col(host).alias("host"), F.array_distinct(F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), _has_word), _key)).alias("keys"))
+    text = F.coalesce("text", F.lit(""))
+    keys = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), _has_word), _key))
+    own = pages.select(F.col(host).alias("host"), keys.alias("keys"), F.md5(text).alias("digest"))
+    own = own if each_row else own.distinct()  # keys follows from the text: rows are told apart by host and digest
     # one aggregation for both counts: the null key stands for the page itself
     counted = own.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "keys")).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
     counted = written(counted.where((F.col("n") >= min_pages) | F.col("key").isNull()), "line-counts")
@@ -34,20 +38,25 @@ def boilerplate_lines(pages: DataFrame, host: str, max_ratio: float = MAX_RATIO,
     return joined.where(F.col("n") > F.col("n_pages") * max_ratio).groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
-def line_dedup(pages: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(pages: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, each_row: bool = False) -> DataFrame:
     """pages, all columns, with boilerplate lines dropped from text, and n_dropped (long).
 
     Lines are parted by \\n and compared without white space at their ends, by 64-bit hashes; lines
-    without a word stay. Each page counts once for a line, however often it repeats it; every row is a
-    page, also a repeated one. A null host is a host of its own. A null text stays null and an empty one empty; a
-    page of nothing but boilerplate keeps an empty text. An existing column n_dropped is replaced.
+    without a word stay. Each page counts once for a line, however often it repeats it, and rows of
+    equal text and host are one page. A null host is a host of its own. A null text stays null and an empty one empty.
+    A page that would lose all its words (a near copy of many, or a page of nothing but boilerplate)
+    keeps its whole text, n_dropped 0; to choose among such pages is the near deduplication's part. With
+    each_row, every row is a page, also a repeated one, and a page of nothing but boilerplate keeps an
+    empty text: the rule of op4's SQL. An existing column n_dropped is replaced.
     """
-    found = written(boilerplate_lines(pages, host, max_ratio, min_pages).select(F.col("host").alias("__host"), F.col("keys").alias("__keys")), "boilerplate")
+    found = written(boilerplate_lines(pages, host, max_ratio, min_pages, each_row).select(F.col("host").alias("__host"), F.col("keys").alias("__keys")), "boilerplate")
     kept_columns = [c for c in pages.columns if c.lower() not in ("text", "n_dropped")]
     joined = pages.join(found, F.col(host).eqNullSafe(F.col("__host")), "left")
     drops = lambda line: _has_word(line) & F.array_contains("__keys", _key(line))
     split = F.split(F.col("text"), "\n")
-    done = F.when(F.col("__keys").isNull() | F.col("text").isNull(), F.struct(F.col("text").alias("text"), F.lit(0).alias("n")))
-    done = done.otherwise(let(split, lambda all_: let(F.filter(all_, lambda x: ~drops(x)), lambda left: F.struct(F.array_join(left, "\n").alias("text"), (F.size(all_) - F.size(left)).alias("n")))))
+    whole = F.struct(F.col("text").alias("text"), F.lit(0).alias("n"))
+    cut = lambda all_, left: F.when(F.lit(each_row) | F.exists(left, _has_word), F.struct(F.array_join(left, "\n").alias("text"), (F.size(all_) - F.size(left)).alias("n"))).otherwise(whole)
+    done = F.when(F.col("__keys").isNull() | F.col("text").isNull(), whole)
+    done = done.otherwise(let(split, lambda all_: let(F.filter(all_, lambda x: ~drops(x)), lambda left: cut(all_, left))))
     out = joined.select(*kept_columns, done.alias("__done"))
     return out.select(*[F.col("__done.text").alias("text") if c == "text" else F.col(c) for c in pages.columns if c.lower() != "n_dropped"], F.col("__done.n").cast("long").alias("n_dropped"))

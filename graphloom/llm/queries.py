@@ -30,7 +30,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    done = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), each_row=True)
     return done.select("doc_id", "source", "text", "n_dropped")
 
 

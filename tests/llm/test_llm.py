@@ -140,6 +140,21 @@ def test_line_dedup_keeps_rare_lines_and_joins_back(spark):
     assert got[3].text == "own line 3\n\nown end 3" and got[3].n_dropped == 1 and got[30].n_dropped == 0 and got[40].text == "Follow us"
 
 
+def test_line_dedup_and_near_dedup_keep_one_of_a_copy_group(spark):
+    def lines(of):
+        return [" ".join(f"{of}{k}word{j}" for j in range(12)) for k in range(4)]
+
+    copied, near = "\n".join(lines("c")), "\n".join(lines("n"))
+    rows = [(i, copied if i < 12 else "\n".join([*lines(f"o{i}x"), "Follow us today"]), "copies") for i in range(36)]
+    rows += [(100 + i, near + "\n" * i if i < 12 else "\n".join(lines(f"p{i}x")), "near") for i in range(36)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars long")
+    cut = corpus_pipeline.lines(spark, docs, DATA)
+    texts = {r.doc_id: r.text for r in cut.collect()}
+    assert texts == {i: t.removesuffix("\nFollow us today") for i, t, _ in rows}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, cut, DATA).collect()}
+    assert set(kept) == {i for i in texts if i not in range(1, 12) and i not in range(101, 112)} and kept[0] == copied and kept[100] == near
+
+
 def near_brute(texts):
     sets = {i: shingle_set(t) for i, t in texts.items()}
     root = {i: i for i in texts}
