@@ -221,6 +221,21 @@ def test_secret_costs_and_spans():
     assert text[spans[3][0] : spans[3][1]] == "x9$Kq!7vRz2"
 
 
+def test_secret_costs_part_random_values_from_words_dates_and_walks():
+    rng = random.Random(5)
+    spans = lambda text: [text[a:b] for a, b, k in secret_scan.secret_spans(text) if k == "guess"]
+    for n, least in ((8, 475), (9, 495), (10, 495), (11, 495)):  # the others hold a chance walk or repeat, or one case alone
+        drawn = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n)) for _ in range(500)]
+        assert sum(spans(f"pwd = {v}") == [v] for v in drawn) >= least, n
+    made = [w.capitalize() + tail for w in ("password", "sunshine", "princess", "computer", "internet", "changeme") for tail in ("", "1", "12", "!", "2024")]
+    made += ["20240131", "31-12-1999", "2024-01-31", "qwertyuiop", "asdfghjkl", "zxcvbnm,", "1qaz2wsx", "12345678", "abcdefgh", "aaaaaaaaaa", "Holidays", "P@ssw0rd"]
+    assert [v for v in made if spans(f"pwd = {v}")] == []
+    assert spans("pwd = aB3xY9kQ") == ["aB3xY9kQ"]
+    for text in ("Authorization: Bearer aB3xY9kQ.z", "auth: bearer aB3xY9kQ.z", '"Authorization": "Bearer aB3xY9kQ.z"', "bearer token: aB3xY9kQ.z", "bearer = aB3xY9kQ.z"):
+        assert spans(text) == ["aB3xY9kQ.z"], text
+    assert spans("the bearer certificate of a bearer instrument") == []
+
+
 def test_secret_base_like_the_contract(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assign = re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
