@@ -38,12 +38,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """name, with underscores before it as long as df has such a column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def named(column: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one, which only a local master can use."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-shared-")
+    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
@@ -52,11 +68,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that written made, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "stored_at", None) if df is not None else None
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def prepared(spark: SparkSession, size: str = "32m") -> None:
-    """Once per session: ship this package to the Python workers, and bound Arrow batches by bytes.
+    """Once per session: ship this package to the Python workers, and bound Arrow batches by bytes where the user has set no bound.
 
     The bound keeps a run of long texts from filling a worker.
     """
@@ -64,5 +91,6 @@ def prepared(spark: SparkSession, size: str = "32m") -> None:
         package = Path(__file__).resolve().parent.parent
         archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-package-')}/{package.name}", "zip", package.parent, package.name)
         spark.sparkContext.addPyFile(archive)
-        spark.conf.set(ARROW_BYTES, size)
+        if ARROW_BYTES not in spark.conf.getAll:
+            spark.conf.set(ARROW_BYTES, size)
         spark.conf.set("spark.graphloom.prepared", "yes")

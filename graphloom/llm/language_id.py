@@ -9,6 +9,7 @@ as rejected. As mean and linear layer commute, prediction needs one row of label
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ BUCKETS = 1 << 15
 #: Labelled texts to learn from at most, taken by hash of their id; every text is scored.
 MAX_TRAIN = 3000
 UNKNOWN = "und"
+#: A longer text is scored and learnt from piece by piece.
+PIECE_BYTES = 1 << 20
 
 _FOLD = np.zeros(256, dtype=np.uint8)  # 0 parts words; letters A-Z are lower-cased; bytes of other letters stay
 _FOLD[128:] = np.arange(128, 256)
@@ -47,6 +50,30 @@ def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([b3, b4]), np.concatenate([owner[:-2][ok3], owner[:-3][ok4]])
 
 
+def pieces(texts: list[bytes], size: int = PIECE_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """Texts cut into pieces of at most size bytes, at a space where a piece has one, and the text of each piece: memory follows size, not the text."""
+    out, owner = [], []
+    for i, t in enumerate(texts):
+        start = 0
+        while len(t) - start > size:
+            cut = t.rfind(b" ", start + 1, start + size) + 1 or start + size
+            out.append(t[start:cut])
+            owner.append(i)
+            start = cut
+        out.append(t[start:])
+        owner.append(i)
+    return out, np.array(owner, dtype=np.int64)
+
+
+def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text's subwords, and the share of its subwords in each."""
+    count = np.zeros(BUCKETS, dtype=np.int64)
+    for piece in pieces([text])[0]:
+        count += np.bincount(subwords([piece])[0], minlength=BUCKETS)
+    found = np.flatnonzero(count)
+    return found.astype(np.int32), (count[found] / max(count.sum(), 1)).astype(np.float32)
+
+
 @dataclass
 class LanguageModel:
     """labels, and for each bucket the label scores that its embedding yields."""
@@ -59,13 +86,14 @@ class LanguageModel:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Calibrated probabilities, texts x labels."""
-        out = np.zeros((len(texts), len(self.labels)))
-        for a, b in chunks(texts):
-            buckets, owner = subwords(texts[a:b])
-            count = np.maximum(np.bincount(owner, minlength=b - a), 1)
+        out, count = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts), dtype=np.int64)
+        cut, of = pieces(texts)
+        for a, b in chunks(cut):
+            buckets, owner = subwords(cut[a:b])
+            count += np.bincount(of[a:b][owner], minlength=len(texts))
             for k in range(len(self.labels)):
-                out[a:b, k] = np.bincount(owner, weights=self.table[:, k][buckets], minlength=b - a) / count
-        return softmax((out + self.bias) / self.temperature)
+                out[:, k] += np.bincount(of[a:b][owner], weights=self.table[:, k][buckets], minlength=len(texts))
+        return softmax((out / np.maximum(count, 1)[:, None] + self.bias) / self.temperature)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -73,18 +101,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], langs: list[str], dim: int = 16, epochs: int = 8, rate: float = 4.0, seed: int = 11) -> LanguageModel:
-    """Fit the two layers by SGD on nine texts of ten, temperature and rejection on the tenth."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], dim: int = 16, epochs: int = 8, rate: float = 4.0, seed: int = 11) -> LanguageModel:
+    """Fit the two layers by SGD on nine texts of ten (as bags of subwords), temperature and rejection on the tenth."""
     labels = sorted(set(langs))
     y = np.array([labels.index(x) for x in langs], dtype=np.int64)
-    bags = []
-    for t in texts:
-        b, n = np.unique(subwords([t])[0], return_counts=True)
-        bags.append((b, (n / max(n.sum(), 1)).astype(np.float32)))
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, len(labels)), dtype=np.float32), np.zeros(len(labels), dtype=np.float32)
-    order = rng.permutation(len(texts))
+    order = rng.permutation(len(bags))
     held = order[: len(order) // 10] if len(order) >= 50 else order
     fit = order[len(order) // 10 :] if len(order) >= 50 else order
     steps, at = epochs * max(len(fit), 1), 0
@@ -117,23 +141,43 @@ def _has_letter(text: str) -> bool:
 
 
 def learn_languages(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel | None:
-    """A model of (doc_id, text, lang) from at most max_train rows by hash of doc_id; None without any labelled text."""
+    """A model of (doc_id, text, lang) from at most max_train texts, the first by hash of doc_id; None without any labelled text.
+
+    Rows without id, text or lang, and texts without a letter, are left out. Of rows that repeat a doc_id the one of least
+    language, then least digest of the text, is learnt from, so reruns agree. Only subword counts reach the driver, max_train rows of them at most.
+    """
     spark = labelled.sparkSession
+    prepared(spark)
     usable = labelled.where("lang is not null and text is not null and doc_id is not null")
-    ids = usable.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    ids = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     picked = spark.createDataFrame([(r.doc_id,) for r in ids.collect()], "doc_id long")  # max_train ids at most
-    chosen = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(F.broadcast(picked), "doc_id")
-    held = sorted((r.doc_id, r.lang, r.text) for r in chosen.toLocalIterator())
-    rows = [(text.encode(), lang) for _, lang, text in held if _has_letter(text)]
-    return train([t for t, _ in rows], [x for _, x in rows]) if rows else None
+    chosen = usable.join(F.broadcast(picked), "doc_id")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows: list[tuple] = []
+            for doc_id, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if _has_letter(text):
+                    data = text.encode()
+                    found, n = bag(data)
+                    rows.append((doc_id, lang, hashlib.sha256(data).digest(), found, n))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "lang", "digest", "buckets", "weights"])
+
+    bags = chosen.mapInArrow(batches, "doc_id long, lang string, digest binary, buckets array<int>, weights array<float>")
+    one_each = bags.groupBy("doc_id").agg(F.min_by(F.struct("lang", "buckets", "weights"), F.struct("lang", "digest")).alias("row"))
+    held = one_each.select("doc_id", "row.*").toArrow().to_pandas().sort_values("doc_id")
+    return train([(np.asarray(b), np.asarray(w)) for b, w in zip(held.buckets, held.weights, strict=True)], held.lang.to_list()) if len(held) else None
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """docs' doc_id with lang_pred (a learned label, or und), score (0 to 1) and accepted.
 
-    docs: doc_id and text; nothing else is read. A null text, or one without a letter, is und with score 0, and so is any
-    text without a model. accepted is false for und and for a calibrated score below the model's bound.
-    Repeated rows are scored each.
+    docs: doc_id and text; nothing else is read, so other columns may have any name. A null text, or one without a letter, is und
+    with score 0, and so is any text without a model. accepted is false for und and for a calibrated score below the model's bound.
+    Repeated rows are scored each; a very long text is scored whole, piece by piece; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepared(spark)

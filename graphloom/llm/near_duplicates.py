@@ -6,13 +6,14 @@ shingle to bin j, so every coordinate of a non-empty set fills after at most twi
 a set with many shingles fills after one or two. A coordinate agrees between two sets with the
 probability of their Jaccard similarity, with concentration as for independent permutations.
 
-Search: documents with equal sets form a class with one representative. Bands of the sketch key
-buckets. In a bucket all pairs are decided in the order of their smaller document, in a few
-rounds: pairs with the first members first, then, only between documents that the links so far leave
+Search: documents with equal sets form a class, a node of the graph of links. Bands of the sketch key
+buckets. In a bucket all pairs are decided in the order of their smaller node, in a few
+rounds: pairs with the first members first, then, only between nodes that the links so far leave
 in different components, with the next ones. So most of a bucket full of near copies is joined
-after a few comparisons a member. The pairs left, between texts outside a bucket's main component and
+after a few comparisons a member. Members of a large bucket are dealt over salts, and its first members copied to each,
+so that no bucket is one task's. The pairs left, between texts outside a bucket's main component and
 the rest, are decided block against block, each pair in the first band that it shares, so that no
-pair that could join two components is skipped and none becomes a row.
+pair that could join two components is skipped and none becomes a row. An id that several texts have links their classes.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import prepared, written
+from graphloom.llm.common import discard, prepared, written
 from graphloom.llm.vectext import U64, mix, shingle_sets
 
 ROWS_PER_BAND = 4
@@ -34,8 +35,11 @@ BANDS = 36
 COORDINATES = ROWS_PER_BAND * BANDS
 #: Members by order in their bucket whose pairs are decided in each round, before blocks take the others.
 PIVOTS = (2, 6)
+#: Members of a bucket that meet its first members in one task, about.
+SALT_DOCS = 128
 #: A block of the last round holds about so many documents and so many shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 400, 200_000
+OF_CLASS = ["n_shingles", "digest_a", "digest_b"]
 SKETCH_SCHEMA = "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>"
 
 
@@ -72,29 +76,37 @@ def _encoded(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _digests(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit digests of a set, as signed numbers; 0 for an empty one."""
+    both = [mix(shingles).sum(dtype=U64), mix(shingles ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)] if len(shingles) else [0, 0]
+    a, b = np.array(both, dtype=U64).view(np.int64).tolist()
+    return a, b
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sizes, a, b, keyed, sketches = batch.column(0), [], [], [], [], []
+        ids, sizes, digests, keyed, sketches = batch.column(0), [], [], [], []
         for s in shingle_sets(_encoded(batch.column(1))):
             sizes.append(len(s))
-            a.append(int(mix(s).sum(dtype=U64)) if len(s) else 0)
-            b.append(int(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)) if len(s) else 0)
+            digests.append(_digests(s))
             keyed.append(len(s) > 0)
             if len(s):
                 sketches.append(sketch(s))
         flat = band_keys(np.stack(sketches)).ravel() if sketches else np.zeros(0, dtype=np.int64)
         stops = np.concatenate([[0], np.cumsum(np.where(np.array(keyed, dtype=bool), BANDS, 0))]).astype(np.int32)
         bands = pa.ListArray.from_arrays(pa.array(stops), pa.array(flat))
-        two = [pa.array(np.array(x, dtype=U64).view(np.int64)) for x in (a, b)]
+        two = [pa.array([d[k] for d in digests], pa.int64()) for k in range(2)]
         yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *two, bands], ["doc_id", "n_shingles", "digest_a", "digest_b", "bands"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (node, text, digest_a, digest_b) the sets of texts with those digests: an id may have other texts too."""
     for batch in batches:
-        sets = list(shingle_sets(_encoded(batch.column(1))))
-        stops = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        flat = np.concatenate([*sets, np.zeros(0, dtype=U64)]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(stops), pa.array(flat))], ["doc_id", "shingles"])
+        wanted = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        sets = [(node, s) for node, s, own in zip(batch.column(0).to_pylist(), shingle_sets(_encoded(batch.column(1))), wanted, strict=True) if _digests(s) == own]
+        stops = np.concatenate([[0], np.cumsum([len(s) for _, s in sets])]).astype(np.int32)
+        flat = np.concatenate([*(s for _, s in sets), np.zeros(0, dtype=U64)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(stops), pa.array(flat))], ["node", "shingles"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -107,12 +119,13 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
     roots: DataFrame | None = None
-    k = 0
+    k, used = 0, [edges]
     while not edges.isEmpty():
         order = lambda c, k=k: F.struct((F.xxhash64(c, F.lit(k)) if k else c).alias("h"), c.alias("v"))
         step = edges.groupBy("a").agg(F.min(order(F.col("b"))).alias("least"))
         step = step.select("a", F.least("least", order(F.col("a")))["v"].alias("to"))
         step = written(step, "step")
+        used += [step, roots]
         if roots is None:
             roots = step.select(F.col("a").alias("node"), F.col("to").alias("root"))
         else:
@@ -120,24 +133,27 @@ def components(links: DataFrame) -> DataFrame:
             roots = written(roots, "roots")
         other = step.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
         edges = written(edges.join(step, "a").join(other, "b").select(F.col("to").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct(), "edges")
+        used.append(edges)
         k += 1
     if roots is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     least = roots.groupBy("root").agg(F.least(F.min("node"), F.col("root")).alias("least"))
-    return written(roots.join(least, "root").select("node", F.col("least").alias("root")), "components")
+    out = written(roots.join(least, "root").select("node", F.col("least").alias("root")), "components")
+    discard(*used, roots)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose full shingle sets share percent of their union."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")).cast("long"))
     union = F.size("of_a") + F.size("of_b") - F.col("shared")
     return both.where(F.col("shared") * 100 >= union * percent).select("a", "b")
 
 
 def _rooted(df: DataFrame, column: str, roots: DataFrame | None) -> DataFrame:
-    """df with the root of a column's documents as root_<column>."""
+    """df with the root of a column's nodes as root_<column>."""
     if roots is None:
         return df.withColumn(f"root_{column}", F.col(column))
     named = roots.select(F.col("node").alias(column), F.col("root").alias(f"root_{column}"))
@@ -157,28 +173,32 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return written(moved.union(fresh), "roots")
 
 
-def _block_links(rest: DataFrame, roots: DataFrame | None, sets: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+def _block_links(rest: DataFrame, roots: DataFrame | None, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between rest's bucket members of different components.
 
     Of any such pair one side is outside the bucket's most frequent component, so blocks of those meet
-    blocks of all members. A bucket has as many blocks as its members' number and size ask for.
+    blocks of all members. A bucket has as many blocks as its members' number and size ask for; pairs of blocks are
+    dealt by bucket and block, so a bucket's pairs spread over tasks.
     """
-    rest = _rooted(rest, "doc_id", roots).withColumnRenamed("root_doc_id", "root")
+    rest = _rooted(rest, "node", roots).withColumnRenamed("root_node", "root")
     by_root = rest.groupBy("key", "root").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    buckets = by_root.groupBy("key").agg(F.max_by("root", "docs").alias("main"), F.count("*").alias("roots"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles")).where("roots > 1")
+    buckets = by_root.groupBy("key").agg(F.max_by("root", F.struct("docs", "root")).alias("main"), F.count("*").alias("roots"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles")).where("roots > 1")
     count = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES))
-    mixed = written(rest.join(buckets.select("key", "main", count.alias("blocks")), "key"), "mixed")
-    bands = sketched.select("doc_id", "bands").join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    whole = mixed.join(bands, "doc_id").join(sets.dropDuplicates(["doc_id"]), "doc_id")
-    whole = whole.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    parts = [F.collect_list(c).alias(c) for c in ("doc_id", "root", "bands", "shingles")]
+    mixed = rest.join(buckets.select("key", "main", count.alias("blocks")), "key")
+    mixed = written(mixed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "mixed")
+    whole = mixed.join(classes.select("node", "bands"), "node").join(sets, "node")
+    parts = ("node", "root", "bands", "shingles")
 
     def blocks(df: DataFrame, side: str) -> DataFrame:
-        held = df.groupBy("key", "main", "block").agg(*parts)
-        return held.select("key", "main", *[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "root", "bands", "shingles")])
+        held = df.groupBy("key", "block").agg(*[F.collect_list(c).alias(f"{side}_{c}") for c in parts])
+        return held.withColumnRenamed("block", f"{side}_block")
 
-    met = blocks(whole.where("root <> main"), "l").join(blocks(whole, "r"), ["key", "main"])
-    return met.mapInPandas(_block_pairs(percent), "a long, b long").distinct()
+    pairs = mixed.where("root <> main").select("key", "main", F.col("block").alias("l_block"), "blocks").distinct()
+    pairs = pairs.select("key", "main", "l_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("r_block"))
+    met = pairs.join(blocks(whole.where("root <> main"), "l"), ["key", "l_block"]).join(blocks(whole, "r"), ["key", "r_block"])
+    links = written(met.mapInPandas(_block_pairs(percent), "a long, b long").distinct(), "links")
+    discard(mixed)
+    return links
 
 
 def _block_pairs(percent: int):
@@ -194,13 +214,13 @@ def _block_pairs(percent: int):
 
 def _links_of_blocks(row, percent: int) -> list[tuple[int, int]]:
     """The linked pairs of one block of documents outside the main component with a block of any."""
-    ids, roots = np.asarray(row.r_doc_id), np.asarray(row.r_root)
+    ids, roots = np.asarray(row.r_node), np.asarray(row.r_root)
     bands = np.stack(row.r_bands)
     sizes = np.array([len(s) for s in row.r_shingles])
     values = np.concatenate(row.r_shingles)
     owners = np.repeat(np.arange(len(ids)), sizes)
     found = []
-    for doc, root, own_bands, own in zip(row.l_doc_id, row.l_root, row.l_bands, row.l_shingles, strict=True):
+    for doc, root, own_bands, own in zip(row.l_node, row.l_root, row.l_bands, row.l_shingles, strict=True):
         able = (roots != root) & ((roots == row.main) | (ids > doc))
         able &= np.minimum(sizes, len(own)) * 100 >= np.maximum(sizes, len(own)) * percent
         same = bands == own_bands[None, :]
@@ -217,16 +237,36 @@ def _links_of_blocks(row, percent: int) -> list[tuple[int, int]]:
     return found
 
 
+def _shared_id_links(filled: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of ids that have texts in several."""
+    own = filled.join(repeated.select("doc_id"), "doc_id", "left_semi").select("doc_id", *OF_CLASS).distinct()
+    nodes = own.join(classes.select("node", *OF_CLASS), OF_CLASS).select("doc_id", "node")
+    least = nodes.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return nodes.join(least, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
+def _components_of_classes(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """classes with component_id, the least document of all classes linked with one."""
+    own = classes.select(*OF_CLASS, "node", "rep")
+    if roots is None:
+        return own.withColumn("component_id", F.col("rep"))
+    linked = roots.join(own.select("node", "rep"), "node")
+    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    moved = roots.join(least, "root").select("node", "component_id")
+    return own.join(moved, "node", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
+
+
 def near_duplicate_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Near-duplicate class of every document: doc_id, n_shingles, component_id, kept.
 
-    docs: doc_id (integer) and text; other columns are ignored. Texts are lower-cased (A-Z) and cut to
+    docs: doc_id (integer) and text; other columns are ignored, whatever their names. Texts are lower-cased (A-Z) and cut to
     words; a document's set holds its distinct 5-word shingles, its whole sequence if it has fewer
     words, and nothing for an empty or null text, which is linked with nothing. Two documents are linked
     if 100 * shared >= percent * union, confirmed on full sets (64-bit hashes of shingles);
     component_id is the least doc_id reachable, kept means doc_id = component_id. A row with a null
     doc_id is linked with nothing, has a null component_id and is kept. Rows that repeat a doc_id are
-    returned each; their texts count as texts of that one id. An empty table gives an empty result.
+    returned each, with their own n_shingles; their texts count as texts of that one id, whose component holds what any of them is linked with.
+    A very long text is taken whole. An empty table gives an empty result.
     percent must be 75 or more: the bands are laid out for that.
     """
     if percent < 75:
@@ -236,35 +276,53 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = written(texts.mapInArrow(_sketch_batches, SKETCH_SCHEMA), "sketches")
 
-    of_class = ["n_shingles", "digest_a", "digest_b"]
-    named = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = written(named.groupBy(*of_class).agg(F.min("doc_id").alias("rep")), "classes")
-    one_each = named.join(classes.select(F.col("rep").alias("doc_id"), *of_class), ["doc_id", *of_class], "left_semi")
-    keyed = one_each.select(F.explode("bands").alias("key"), "doc_id", F.col("n_shingles").cast("int").alias("n"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
-    members = written(keyed.join(shared, "key").distinct(), "members")
-    order = Window.partitionBy("key").orderBy("doc_id")
+    filled = sketched.where("n_shingles > 0 and doc_id is not null")
+    classes = filled.groupBy(*OF_CLASS).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))  # equal sets have equal bands
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    set_of = F.struct(*OF_CLASS)
+    repeated = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(set_of).alias("low"), F.max(set_of).alias("high"))
+    repeated = written(repeated.where("n > 1").select("doc_id", (F.col("low") != F.col("high")).alias("several")), "repeated")
+    unique = repeated.isEmpty()
+    several = repeated.where("several")
+
+    keyed = classes.select(F.explode("bands").alias("key"), "node", F.col("n_shingles").cast("int").alias("n"))
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("size")).where("least < most")
+    buckets = buckets.select("key", F.ceil(F.col("size") / SALT_DOCS).alias("salts"))
+    members = written(keyed.join(buckets, "key").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))), "members")
+    order = Window.partitionBy("key").orderBy("node")
     # the bare rank is compared, so that Spark keeps the first members of a bucket before it shuffles
     firsts = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS[-1])
     firsts = written(firsts, "firsts")
-    wanted = members.select("doc_id").distinct()
-    sets = written(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_set_batches, "doc_id long, shingles array<long>"), "sets")
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id"), "node", "digest_a", "digest_b")
+    sets = texts.join(wanted, "doc_id").select("node", "text", "digest_a", "digest_b").mapInArrow(_set_batches, "node long, shingles array<long>")
+    sets = written(sets if unique else sets.dropDuplicates(["node"]), "sets")
 
+    used = [members, firsts, sets, repeated, classes]
     roots, begin = None, 0
+    if not unique:
+        roots = _joined(roots, written(_shared_id_links(filled, classes, several), "links"))
     for end in PIVOTS:
-        left = firsts.where((F.col("rank") > begin) & (F.col("rank") <= end)).select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"))
-        right = members.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"))
-        met = _rooted(left, "a", roots).join(_rooted(right, "b", roots), "key").where("a < b and root_a <> root_b")
+        left = firsts.where((F.col("rank") > begin) & (F.col("rank") <= end)).select("key", "salts", F.col("node").alias("a"), F.col("n").alias("n_a"))
+        left = _rooted(left, "a", roots).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        right = members.select("key", "salt", F.col("node").alias("b"), F.col("n").alias("n_b"))
+        met = left.join(_rooted(right, "b", roots), ["key", "salt"]).where("a < b and root_a <> root_b")
         met = met.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         pairs = written(met.select("a", "b").distinct(), "pairs")
-        roots = _joined(roots, written(_verified(pairs, sets, percent), "links"))
+        links = written(_verified(pairs, sets, percent), "links")
+        used += [pairs, links, roots]
+        roots = _joined(roots, links)
         begin = end
-    rest = members.join(firsts.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
+    rest = members.join(firsts.select("key", "node"), ["key", "node"], "left_anti")
     if not rest.isEmpty():
-        roots = _joined(roots, written(_block_links(rest, roots, sets, sketched, percent), "links"))
-
-    out = sketched.select("doc_id", *of_class).join(classes, of_class, "left")
-    out = out.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    if roots is not None:
-        out = _rooted(out, "rep", roots).withColumn("rep", F.col("root_rep"))
-    return out.select("doc_id", "n_shingles", F.col("rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(True)).alias("kept"))
+        links = _block_links(rest, roots, sets, classes, percent)
+        used += [links, roots]
+        roots = _joined(roots, links)
+
+    placed = written(_components_of_classes(classes, roots), "placed")
+    out = sketched.select("doc_id", *OF_CLASS).join(placed.select(*OF_CLASS, "component_id"), OF_CLASS, "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    if not unique:
+        least = out.join(several.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        out = out.join(written(least, "least"), "doc_id", "left").withColumn("component_id", F.coalesce("least", "component_id"))
+    discard(*{id(t): t for t in [*used, roots] if t is not None}.values())
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

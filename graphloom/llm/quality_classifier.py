@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import prepared
+from graphloom.llm.common import named, prepared
 from graphloom.llm.vectext import U64, chunks, hashed_words, mix
 
 WORD_BUCKETS = 1 << 14
@@ -131,7 +131,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, metadata: list[str] | None
     """A machine for P(label = 1) from docs (doc_id, text, metadata) and labels (doc_id, label).
 
     At most max_train labels are used, the first by hash of doc_id; null ids and labels are left out, and an id
-    labelled both ways counts as the higher. Without any label the machine scores 0.5.
+    labelled both ways counts as the higher. Of rows of docs that repeat an id the one with the least digest of its text and
+    metadata is learnt from, so reruns agree; only features reach the driver, max_train rows of them at most. Without any label the machine scores 0.5.
     """
     spark = docs.sparkSession
     prepared(spark)
@@ -140,19 +141,20 @@ def learn_quality(docs: DataFrame, labels: DataFrame, metadata: list[str] | None
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     chosen_rows = [(r.doc_id, int(r.label)) for r in chosen.collect()]  # max_train rows at most
     picked = spark.createDataFrame(chosen_rows, "doc_id long, label int")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), *meta).join(F.broadcast(picked), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *meta).join(F.broadcast(picked), "doc_id")
     n_meta = len(meta)
-    ready = texts.select("doc_id", "text", "label", *[f"meta_{k}" for k in range(n_meta)])
+    ready = texts.select("doc_id", "text", "label", F.md5(F.to_json(F.struct("text", *[f"meta_{k}" for k in range(n_meta)]))).alias("digest"), *[f"meta_{k}" for k in range(n_meta)])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             (row, col, val), n = _sparse(batch, n_meta)
             stops = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(stops), pa.array(x)) for x in (col.astype(np.int32), val)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["doc_id", "label", "cols", "vals"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *lists], ["doc_id", "label", "digest", "cols", "vals"])
 
-    held = ready.mapInArrow(batches, "doc_id long, label int, cols array<int>, vals array<float>").toArrow().to_pandas()
-    held = held.drop_duplicates("doc_id").sort_values("doc_id")
+    each = ready.mapInArrow(batches, "doc_id long, label int, digest string, cols array<int>, vals array<float>")
+    one = each.groupBy("doc_id").agg(F.min_by(F.struct("label", "cols", "vals"), "digest").alias("row")).select("doc_id", "row.*")
+    held = one.toArrow().to_pandas().sort_values("doc_id")
     if not len(held):
         return train(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
     row = np.repeat(np.arange(len(held)), held.cols.map(len))
@@ -163,18 +165,19 @@ def with_quality(docs: DataFrame, model: FactorisationMachine, metadata: list[st
     """docs, all columns, with score (0 to 1) of every row; an existing column score is replaced.
 
     docs: text and the metadata columns. A null or empty text has no words and is scored by its structure alone;
-    repeated rows are scored each. Nothing is joined: rows pass through the scorer.
+    repeated rows are scored each, a very long text whole, and an empty table gives an empty result. Nothing is joined: rows pass through the scorer.
     """
     spark = docs.sparkSession
     prepared(spark)
     held = spark.sparkContext.broadcast(model)  # fixed size: FEATURES x (FACTORS + 1)
-    docs = docs.drop("score")
+    docs = docs.select(*[named(c) for c in docs.columns if c.lower() != "score"])
     meta = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_meta_{k}") for k, c in enumerate(metadata or [])]
     names, n_meta = docs.columns, len(meta)
+    at = [c.lower() for c in names].index("text")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            sparse, n = _sparse(batch.select([0, names.index("text"), *range(len(names), batch.num_columns)]), n_meta)
+            sparse, n = _sparse(batch.select([at, at, *range(len(names), batch.num_columns)]), n_meta)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(held.value.scores(*sparse, n))], [*names, "score"])
 
     return docs.select("*", *meta).mapInArrow(batches, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
