@@ -13,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower, let, words, written
+from graphloom.llm.common import ascii_lower, let, named, words, written
 
 WIDTH = 5
-#: (least set size of the partition, sketch size, sketched shingles to hold). The largest chance that a
-#: document with 75 % of an item fails is that of the last: fewer than 4 of 24, 1e-10; sets of
+#: (least set size of the partition, sketch size, sketched shingles to hold). Larger items have larger sketches and ask for more
+#: of them, so fewer documents become candidates by chance. A document with 75 % of an item holds fewer than
+#: 4 of 24, 6 of 32 or 12 of 48 sketched shingles with a probability of 2e-10, 3e-12 or 6e-14 at most; sets of
 #: up to 24 shingles are sketched whole and a document may then miss a quarter of them at most.
-PARTITIONS = ((1, 24, 1), (4, 24, 2), (16, 24, 3), (25, 24, 4))
+PARTITIONS = ((1, 24, 1), (4, 24, 2), (16, 24, 3), (25, 24, 4), (64, 32, 6), (256, 48, 12))
 
 
 def shingles(text: Column, hashed: bool) -> Column:
@@ -51,7 +52,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, percent: int = 75)
     docs: doc_id and text; benchmark: item_id and text; other columns are ignored. A pair is returned
     if 100 * n_shared >= percent * n_item, for the distinct 5-word shingles (A-Z lower-cased) of the
     item; an item of fewer words is one shingle, which only an equally short document holds. Null or
-    empty texts hold nothing and null ids are left out. Rows that repeat an id and text count once; texts that repeat a doc_id
+    empty texts hold nothing and null ids are left out; a very long text is searched whole, and an empty table gives an empty result. Rows that repeat an id and text count once; texts that repeat a doc_id
     count as one document, items that repeat an item_id as one item. The join with the sketches is
     broadcast by Spark while they are below spark.sql.autoBroadcastJoinThreshold, and is a shuffle beyond it.
     """
@@ -71,12 +72,14 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, percent: int = 75)
     ids = candidates.select("doc_id").distinct()
     again = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     whole = again.select("doc_id", F.explode(F.array_distinct(shingles(F.col("text"), False))).alias("shingle"))
-    shared = whole.join(items.select("item_id", "shingle", "n_item"), "shingle").join(candidates, ["doc_id", "item_id"], "left_semi")
+    # a document meets the shingles of its own candidates only, also where other items share them
+    asked = candidates.join(items.select("item_id", "shingle", "n_item"), "item_id")
+    shared = whole.join(asked, ["doc_id", "shingle"])
     counted = shared.groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("shingle").alias("n_shared"))
     return counted.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).select("doc_id", "item_id", "n_shared", "n_item")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents, all columns, that contain no benchmark item; those with a null doc_id or text stay."""
+    """The documents, all columns whatever their names, that contain no benchmark item; those with a null doc_id or text stay."""
     found = written(contaminated_pairs(docs, benchmark, percent).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    return docs.join(found, "doc_id", "left_anti").select(*[named(c) for c in docs.columns])

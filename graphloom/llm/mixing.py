@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD_BREAK, SPACES, written
+from graphloom.llm.common import SPACES, WORD_BREAK, words, written
 
 BLOCK_TOKENS = 32
 SHARD_TOKENS = 1_000_000
@@ -62,18 +62,31 @@ def sainte_lague(parties: DataFrame, votes: Column, seats: Column, most: Column,
     return open_.alias("p").join(won.alias("w"), on, "left").select(*[f"p.{c}" for c in names], (F.col("_low") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
-def mixed(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, max_passes: int = MAX_PASSES, seed: int = 7) -> DataFrame:
-    """What a mix of all documents takes of each: doc_id, source, size, source_size, target, shard, taken.
+def taken_text(text: Column, size: Column, taken: Column) -> Column:
+    """The words taken of a text: the text as often as it is taken whole, then its first words up to the rest, parted by \\n; empty if none is.
 
-    docs: doc_id, text, source; other columns are ignored. A source is split by a seeded hash into shards of about
+    A whole text stays as it is; in one that is cut, white space between words becomes a space.
+    """
+    passes, rest = F.floor(taken / F.greatest(size, F.lit(1))).cast("int"), (taken % F.greatest(size, F.lit(1))).cast("int")
+    first = F.when(rest > 0, F.array(F.array_join(F.slice(words(text), F.lit(1), rest), " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(taken > 0, F.array_join(F.concat(F.array_repeat(text, passes), first), "\n")).otherwise("")
+
+
+def mixed(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, max_passes: int = MAX_PASSES, seed: int = 7, texts: bool = False) -> DataFrame:
+    """What a mix of all documents takes of each: doc_id, source, size, source_size, target, shard, taken, and with texts the words taken, as text.
+
+    docs: doc_id, text, source; other columns are ignored, whatever their names. A source is split by a seeded hash into shards of about
     shard_tokens words, so that no task orders a whole hot source. The total is cut into blocks of
     block_tokens words: Sainte-Laguë deals them to the sources by target, then each source's to its
     shards by size, at most max_passes times what they hold. A shard takes all its documents as often as its quota has whole passes,
     and for the rest blocks in seeded order, the last cut where the quota ends; so no document is taken more
-    than max_passes times. Null or empty texts have size 0 and are not taken; a null source is a source; repeated rows count each.
-    An empty table gives an empty result. Reruns agree: all orders end with ids.
+    than max_passes times. Null or empty texts have size 0 and are not taken; a null source is a source; repeated rows count each, and of equal
+    ones any may be the cut one.
+    An empty table gives an empty result. Reruns agree: all orders end with ids. A very long text is one document: it is counted and, with
+    texts, cut whole in one task. With texts, each document's text moves once, to its shard.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), token_count(F.col("text")).alias("size"))
+    own_text = [F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")] if texts else []
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), token_count(F.col("text")).alias("size"), *own_text)
     sized = written(sized, "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources, max_passes)
@@ -94,4 +107,5 @@ def mixed(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int =
     size, whole = F.col("size"), F.greatest("shard_size", F.lit(1))
     rest = F.greatest(F.lit(0), F.least(size, F.col("take") % whole - (F.col("until") - size)))
     taken = F.floor(F.col("take") / whole) * size + rest
-    return ready.select("doc_id", "source", "size", "source_size", "target", "shard", taken.cast("long").alias("taken"))
+    chosen = ready.select("doc_id", "source", "size", "source_size", "target", "shard", taken.cast("long").alias("taken"), *(["text"] if texts else []))
+    return chosen.withColumn("text", taken_text(F.col("text"), F.col("size"), F.col("taken"))) if texts else chosen

@@ -27,12 +27,12 @@ def op1() -> str:
     marks, sentence, end, stock = (_quoted(x) for x in (quality_rules.MARKS, quality_rules.SENTENCE_MARKS, quality_rules.END_MARK, quality_rules.BOILERPLATE))
     upper, lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
     return f"""
-    WITH base AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
-    lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM base),
-    trimmed AS (SELECT doc_id, line, trim(line, {WS}) AS t FROM lines WHERE length(trim(line, {WS})) > 0),
+    WITH base AS (SELECT doc_id, text IS NULL AS missing, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+    lines AS (SELECT doc_id, missing, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM base),
+    trimmed AS (SELECT doc_id, place, line, trim(line, {WS}) AS t FROM lines WHERE length(trim(line, {WS})) > 0),
     counted AS (SELECT *, {lacks("t", WS)} + 1 AS n FROM trimmed),
     judged AS (
-        SELECT doc_id, line, length(line) AS chars,
+        SELECT doc_id, place, line, length(line) AS chars,
             (n >= 4 AND NOT regexp_matches(right(t, 4), {end}) AND {lacks("t", sentence)} * 40 < n)
             OR {lacks("t", marks)} >= n * 0.25
             OR (contains(t, '!!') AND {lacks("t", upper)} > {lacks("t", lower)} * 0.5)
@@ -42,6 +42,9 @@ def op1() -> str:
         SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup, count(*) FILTER (failed) AS n_failed,
             sum(chars) AS chars, coalesce(sum(chars) FILTER (failed), 0) AS lost
         FROM judged GROUP BY doc_id),
+    clean AS (
+        SELECT l.doc_id, CASE WHEN l.missing THEN NULL ELSE coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (NOT coalesce(j.failed, false)), '') END AS clean
+        FROM lines l LEFT JOIN judged j USING (doc_id, place) GROUP BY l.doc_id, l.missing),
     windows AS (SELECT doc_id, i, w[i:i + 4] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM base WHERE len(w) >= 5)),
     twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows) WHERE n > 1),
     covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
@@ -52,8 +55,9 @@ def op1() -> str:
             coalesce(d.chars, 0) AS chars, coalesce(d.lost, 0) AS lost
         FROM base b LEFT JOIN by_doc d USING (doc_id) LEFT JOIN covered c USING (doc_id))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost <= 0.3 * chars AS kept, n_lines::INT AS n_lines, n_failed_lines::INT AS n_failed_lines
-    FROM numbers"""
+        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost <= 0.3 * chars AS kept, n_lines::INT AS n_lines, n_failed_lines::INT AS n_failed_lines,
+        length(clean)::BIGINT AS clean_chars, md5(clean) AS clean_md5
+    FROM numbers JOIN clean USING (doc_id)"""
 
 
 def op4() -> str:

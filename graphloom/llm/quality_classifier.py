@@ -171,7 +171,7 @@ def with_quality(docs: DataFrame, model: FactorisationMachine, metadata: list[st
     prepared(spark)
     held = spark.sparkContext.broadcast(model)  # fixed size: FEATURES x (FACTORS + 1)
     docs = docs.select(*[named(c) for c in docs.columns if c.lower() != "score"])
-    meta = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_meta_{k}") for k, c in enumerate(metadata or [])]
+    meta = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"meta_{k}") for k, c in enumerate(metadata or [])]
     names, n_meta = docs.columns, len(meta)
     at = [c.lower() for c in names].index("text")
 
@@ -180,7 +180,8 @@ def with_quality(docs: DataFrame, model: FactorisationMachine, metadata: list[st
             sparse, n = _sparse(batch.select([at, at, *range(len(names), batch.num_columns)]), n_meta)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(held.value.scores(*sparse, n))], [*names, "score"])
 
-    return docs.select("*", *meta).mapInArrow(batches, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    by_place = docs.select(*[named(c).alias(f"column_{k}") for k, c in enumerate(names)], *meta)  # names may hold dots
+    return by_place.mapInArrow(batches, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine, metadata: list[str] | None = None) -> DataFrame:

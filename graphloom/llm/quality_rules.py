@@ -74,29 +74,34 @@ def quality_rules(docs: DataFrame, max_lost_share: float = 0.3) -> DataFrame:
     """Counts and verdict for every document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, n_lines, n_failed_lines, lost_share, clean_text.
 
-    docs: doc_id and text; other columns are ignored. Lines are parted by \\n; a line without a word is
-    neither judged nor counted. kept is false if base_failed or if failed lines hold more than
+    docs: doc_id and text; other columns are ignored, whatever their names. Lines are parted by \\n; a line without a word is
+    neither judged nor counted, and stays. kept is false if base_failed or if failed lines hold more than
     max_lost_share of the characters of all judged lines. A null text counts as empty: no words,
-    base_failed, not kept, null clean_text. Repeated rows are judged each.
+    base_failed, not kept, null clean_text. Repeated rows are judged each, a very long text whole; an empty table gives an empty result.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    judged = lambda all_: F.transform(all_, lambda x: F.struct(F.length(x).alias("chars"), line_fails(x).alias("failed")))
-    of_lines = lambda all_, each: F.struct(
-        F.size(all_).alias("n_lines"),
-        (F.size(all_) - F.size(F.array_distinct(all_))).alias("n_dup"),
-        F.size(F.filter(each, lambda x: x["failed"])).alias("n_failed"),
-        F.aggregate(each, F.lit(0).cast("long"), lambda s, x: s + x["chars"]).alias("chars"),
-        F.aggregate(each, F.lit(0).cast("long"), lambda s, x: s + F.when(x["failed"], x["chars"]).otherwise(0)).alias("lost"),
-    )
-    lines = let(F.filter(F.split(text, "\n"), has_word), lambda all_: let(judged(all_), lambda each: of_lines(all_, each)))
-    clean = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x: ~has_word(x) | ~line_fails(x)), "\n")
+    text = F.col("text").cast("string")
+    judged = lambda x: F.struct(x.alias("line"), has_word(x).alias("told"), F.length(x).alias("chars"), (has_word(x) & line_fails(x)).alias("failed"))
+    total = lambda each, n: F.aggregate(each, F.lit(0).cast("long"), lambda s, x: s + n(x))
+
+    def of_lines(each: Column, told: Column) -> Column:
+        lines = F.transform(told, lambda x: x["line"])
+        return F.struct(
+            F.size(told).alias("n_lines"),
+            (F.size(told) - F.size(F.array_distinct(lines))).alias("n_dup"),
+            F.size(F.filter(told, lambda x: x["failed"])).alias("n_failed"),
+            total(told, lambda x: x["chars"]).alias("chars"),
+            total(told, lambda x: F.when(x["failed"], x["chars"]).otherwise(0)).alias("lost"),
+            F.array_join(F.transform(F.filter(each, lambda x: ~x["failed"]), lambda x: x["line"]), "\n").alias("clean"),
+        )
+
+    lines = let(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), judged), lambda each: let(F.filter(each, lambda x: x["told"]), lambda told: of_lines(each, told)))
     counted = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        text.isNull().alias("_null"),
         let(words(text), lambda own: F.struct(F.size(own).alias("n"), repeated_words(own).alias("repeated"))).alias("_words"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        without(text, SYMBOLS).cast("long").alias("n_symbols"),
+        F.length(F.translate(F.coalesce(text, F.lit("")), SPACES, "")).cast("long").alias("word_chars"),
+        without(F.coalesce(text, F.lit("")), SYMBOLS).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
-        clean.alias("clean_text"),
     )
     n_words, repeated = F.col("_words.n").cast("long"), F.col("_words.repeated").cast("long")
     base_failed = (n_words < 10) | (repeated * 100 > n_words * 20)
@@ -113,5 +118,5 @@ def quality_rules(docs: DataFrame, max_lost_share: float = 0.3) -> DataFrame:
         F.col("_lines.n_lines").alias("n_lines"),
         F.col("_lines.n_failed").alias("n_failed_lines"),
         lost.alias("lost_share"),
-        "clean_text",
+        F.when(~F.col("_null"), F.col("_lines.clean")).alias("clean_text"),
     )

@@ -15,7 +15,8 @@ ACCEPT = 0.3
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines")
+    clean = [F.length("clean_text").cast("long").alias("clean_chars"), F.md5("clean_text").alias("clean_md5")]
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", *clean)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

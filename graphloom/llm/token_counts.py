@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import prepared
+from graphloom.llm.common import named, prepared
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which this vocabulary cuts text before merging.
@@ -28,12 +28,11 @@ SCHEMA = "doc_id long, section long, name string, char_start long, char_end long
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str):
-    """The tokenizer of a vocabulary file of ranks, and the byte length of each token."""
+def encoder(vocabulary: bytes, pattern: str):
+    """The tokenizer of the content of a vocabulary file of ranks, and the byte length of each token."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
     lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
     for token, rank in ranks.items():
         lengths[rank] = len(token)
@@ -63,23 +62,59 @@ def attributed(starts: np.ndarray, stops: np.ndarray, begins: np.ndarray, ends:
     return np.bincount(home[counted], minlength=n), np.bincount(home[crosses], minlength=n)
 
 
+def cut_sections(own: list | None, n_chars: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """Of sections (name, start, stop) of a text: given bounds within the text, the bounds that count, and names.
+
+    Sections are ordered by start, then as given; where one begins before those ahead of it end, it counts from there, so no character counts for
+    two. A null section, one with a null bound and one that ends before it begins are empty, at their start or 0.
+    """
+    rows = [(s["name"], s["start"], s["stop"]) if s is not None else (None, None, None) for s in own or []]
+    given = np.zeros((len(rows), 2), dtype=np.int64)
+    for i, (_, start, stop) in enumerate(rows):
+        begin = min(max(start or 0, 0), n_chars)
+        given[i] = begin, max(begin, min(stop, n_chars)) if start is not None and stop is not None else begin
+    order = np.lexsort((np.arange(len(rows)), given[:, 0]))
+    counted = given[order]
+    before = np.maximum.accumulate(np.concatenate([[0], counted[:, 1]]))[:-1]
+    counted[:, 0] = np.maximum(counted[:, 0], before)
+    counted[:, 1] = np.maximum(counted[:, 1], counted[:, 0])
+    out = np.zeros_like(given)
+    out[order] = counted
+    return given, out, [name for name, _, _ in rows]
+
+
+def count_in_sections(starts: np.ndarray, stops: np.ndarray, begins: np.ndarray, ends: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """attributed, for disjoint sections in any order, of which some may be empty and count nothing."""
+    filled = np.flatnonzero(ends > begins)
+    order = filled[np.argsort(begins[filled], kind="stable")]
+    tokens, over = np.zeros(len(begins), dtype=np.int64), np.zeros(len(begins), dtype=np.int64)
+    tokens[order], over[order] = attributed(starts, stops, begins[order], ends[order], rule)
+    return tokens, over
+
+
 def section_token_counts(docs: DataFrame, sections: str | None = None, rule: str = "start", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """Tokens of each section of each document: doc_id, section, name, char_start, char_end, n_tokens, n_crossing.
 
-    docs: doc_id, text, and by name a column of sections, array<struct<name, start, stop>> of disjoint code
-    point ranges in order; without one, sections are the text's lines with their line ends, which cover it, so their
-    counts add up to the document's tokens. n_crossing of a section's tokens reach beyond it. A null or empty
-    text has no sections; other columns are ignored; repeated rows are counted each.
+    docs: doc_id, text, and by name a column of sections, array<struct<name, start, stop>> of code point ranges; without one, sections
+    are the text's lines with their line ends, which cover it, so their counts add up to the document's tokens.
+    Bounds are cut to the text. Sections may come in any order; a character in several counts for the one of least start, the first
+    given on ties. Null sections, null bounds and ranges that end before they begin hold nothing. n_crossing of a section's tokens reach
+    beyond what counts for it. A null or empty text has no sections; other columns are ignored, whatever their names; repeated rows are
+    counted each; a very long text is encoded whole; an empty table gives an empty result. vocabulary is read on the driver and sent to the
+    workers (a file of fixed size).
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    prepared(docs.sparkSession)
+    spark = docs.sparkSession
+    prepared(spark)
+    with open(vocabulary, "rb") as file:
+        held = spark.sparkContext.broadcast(file.read())
     text = F.col("text").cast("string")
     cuts = sections is not None  # a plain value: tasks can't hold columns
-    given = [] if sections is None else [F.col(sections).cast("array<struct<name:string,start:long,stop:long>>").alias("sections")]
+    given = [] if sections is None else [named(sections).cast("array<struct<name:string,start:long,stop:long>>").alias("sections")]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, lengths = encoder(vocabulary, pattern)
+        encoding, lengths = encoder(held.value, pattern)
         for batch in it:
             cut = batch.column(2).to_pylist() if cuts else [None] * batch.num_rows
             ids, number, names, start, stop, count, crossing = ([] for _ in range(7))
@@ -97,11 +132,11 @@ def section_token_counts(docs: DataFrame, sections: str | None = None, rule: str
                     chars = (begin, end) if ascii_only else (np.searchsorted(places, begin), np.searchsorted(places, end))
                     labels = ["line"] * len(begin)
                 else:
-                    chars = np.clip(np.array([[s["start"], s["stop"]] for s in own or []], dtype=np.int64).reshape(-1, 2), 0, len(text)).T
-                    begin, end = (chars[0], chars[1]) if ascii_only else (places[chars[0]], places[chars[1]])
-                    labels = [s["name"] for s in own or []]
+                    told, counted, labels = cut_sections(own, len(text))
+                    chars = told.T
+                    begin, end = counted.T if ascii_only else places[counted.T]
                 ends = np.cumsum(lengths[np.fromiter(encoding.encode_ordinary(text), dtype=np.int64)])
-                tokens, over = attributed(np.concatenate([[0], ends[:-1]]), ends, begin, end, rule)
+                tokens, over = count_in_sections(np.concatenate([[0], ends[:-1]]), ends, begin, end, rule)
                 ids += [doc_id] * len(begin)
                 number.append(np.arange(len(begin)))
                 names += labels
