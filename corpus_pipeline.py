@@ -13,31 +13,31 @@ from graphloom.llm.queries import ACCEPT, quality_model
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; null and empty texts are scored too, repeated rows each, an empty table stays empty."""
     model = quality_model(spark, docs, sf_dir)
     return quality_classifier.with_quality(docs, model).where(F.col("score") >= ACCEPT).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; n_chars follows the text."""
+    """Boilerplate lines of a source go; n_chars follows the text. Null and empty texts, and pages that would lose all their words, stay as they are; a null source is one."""
     done = line_dedup.line_dedup(docs)
     return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least id stays."""
+    """Of each group of near duplicates the document of least id stays, with all its rows where they repeat; null ids and texts without words stay."""
     gone = near_duplicates.near_duplicate_classes(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; null ids and texts without words stay."""
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
-    return mixing.mixed(docs)
+    """What the mix takes of each document: counts, and the text of the words taken."""
+    return mixing.mixed(docs, texts=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -48,7 +48,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source_mixing", mix),
 ]
 
-#: The first stage is a learned model, which SQL can't express; the tests hold each stage against a brute-force version.
+#: The first stage is a learned model, which SQL can't express; the tests hold each of the five stages against a brute-force version.
 ORACLE_SQL = None
 
 
