@@ -184,7 +184,9 @@ def _block_links(rest: DataFrame, roots: DataFrame | None, sets: DataFrame, clas
     by_root = rest.groupBy("key", "root").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     buckets = by_root.groupBy("key").agg(F.max_by("root", F.struct("docs", "root")).alias("main"), F.count("*").alias("roots"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles")).where("roots > 1")
     count = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES))
-    mixed = rest.join(buckets.select("key", "main", count.alias("blocks")), "key")
+    # written, so that the join below reads both sides as they are and adaptive execution can split a hot bucket
+    buckets = written(buckets.select("key", "main", count.alias("blocks")), "buckets")
+    mixed = rest.join(buckets, "key")
     mixed = written(mixed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "mixed")
     whole = mixed.join(classes.select("node", "bands"), "node").join(sets, "node")
     parts = ("node", "root", "bands", "shingles")
@@ -197,7 +199,7 @@ def _block_links(rest: DataFrame, roots: DataFrame | None, sets: DataFrame, clas
     pairs = pairs.select("key", "main", "l_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("r_block"))
     met = pairs.join(blocks(whole.where("root <> main"), "l"), ["key", "l_block"]).join(blocks(whole, "r"), ["key", "r_block"])
     links = written(met.mapInPandas(_block_pairs(percent), "a long, b long").distinct(), "links")
-    discard(mixed)
+    discard(mixed, buckets)
     return links
 
 
@@ -287,7 +289,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     keyed = classes.select(F.explode("bands").alias("key"), "node", F.col("n_shingles").cast("int").alias("n"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("size")).where("least < most")
-    buckets = buckets.select("key", F.ceil(F.col("size") / SALT_DOCS).alias("salts"))
+    buckets = written(buckets.select("key", F.ceil(F.col("size") / SALT_DOCS).alias("salts")), "buckets")
     members = written(keyed.join(buckets, "key").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))), "members")
     order = Window.partitionBy("key").orderBy("node")
     # the bare rank is compared, so that Spark keeps the first members of a bucket before it shuffles
@@ -297,7 +299,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = texts.join(wanted, "doc_id").select("node", "text", "digest_a", "digest_b").mapInArrow(_set_batches, "node long, shingles array<long>")
     sets = written(sets if unique else sets.dropDuplicates(["node"]), "sets")
 
-    used = [members, firsts, sets, repeated, classes]
+    used = [buckets, members, firsts, sets, repeated, classes]
     roots, begin = None, 0
     if not unique:
         roots = _joined(roots, written(_shared_id_links(filled, classes, several), "links"))
