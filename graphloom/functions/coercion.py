@@ -5,16 +5,21 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Words that stand for a missing value.
-NULL_WORDS = ("n/a", "na", "null", "-", "none", "#n/a", "nan", "undefined", "없음", "해당없음")
+NULL_WORDS = ("n/a", "na", "null", "-", "none", "#n/a", "nan", "undefined", "미정", "해당없음")
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes"), ("false", "0", "no")
 NUMBER = r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$|^[+-]?(inf|infinity|nan)$"
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd")
-DAY_FIRST, MONTH_FIRST = ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy"), ("MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy")
+DATE_FORMATS = (
+    "yyyy-M-d'T'H:m:s[.SSSSSS]", "yyyy-M-d'T'H:m", "yyyy-M-d H:m:s[.SSSSSS]", "yyyy-M-d H:m", "yyyy-M-d", "yyyy/M/d H:m:s[.SSSSSS]", "yyyy/M/d H:m", "yyyy/M/d",
+    "yyyy.M.d H:m:s[.SSSSSS]", "yyyy.M.d", "yyyyMMdd", "yyyyMMddHHmmss",
+)
+TWO_PARTS = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$"
+#: Values that a column of few distinct ones holds as data though they stand for a missing value elsewhere, and how few.
+DASH, DASH_COLUMN_VALUES = "-", 4
 
 
 def without_sentinel(value: Column, keep_dash: bool = False) -> Column:
@@ -46,15 +51,38 @@ def to_boolean(value: Column) -> Column:
 
 
 def to_timestamp(value: Column, order: str | None = None) -> Column:
-    """First format that reads it. a/b/yyyy with both parts in 1..12 is ambiguous: null unless order is dmy or mdy (any other counts as unset)."""
-    text = F.regexp_replace(F.trim(value), "Z$", "")
-    read = lambda formats: F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
-    a, b = (F.regexp_extract(text, r"^(\d{1,2})/(\d{1,2})/\d{4}", k).try_cast("int") for k in (1, 2))
-    padded = F.regexp_replace(text, r"^(\d{1,2})/(\d{1,2})/", "")
-    text = F.when(a.isNotNull(), F.concat(F.lpad(a.cast("string"), 2, "0"), F.lit("/"), F.lpad(b.cast("string"), 2, "0"), F.lit("/"), padded)).otherwise(text)
-    day, month = read(DAY_FIRST), read(MONTH_FIRST)
-    slashed = F.when((a <= 12) & (b <= 12), day if order == "dmy" else month if order == "mdy" else F.lit(None).cast("timestamp")).when(a > 12, day).otherwise(month)
-    return F.coalesce(read(DATE_FORMATS), slashed).cast("timestamp_ntz")
+    """First format that reads it; an offset or Z after a T form is left out. Day and month before a year, parted by one of / . -, are
+    ambiguous with both in 1..12: null unless order is dmy or mdy (any other counts as unset), and then read by that order alone."""
+    text = F.regexp_replace(F.trim(value), r"^(\d{4}-\d\d-\d\dT.*?)(Z|[+-]\d\d:\d\d)$", "$1")
+    read = lambda of, form: F.try_to_timestamp(of, F.lit(form))
+    first, second, year = (F.regexp_extract(text, TWO_PARTS, k) for k in (1, 3, 4))
+    by_day, by_month = (read(F.concat_ws("-", year, month, day), "yyyy-M-d") for month, day in ((second, first), (first, second)))
+    both = first.try_cast("int").between(1, 12) & second.try_cast("int").between(1, 12)
+    parted = by_day if order == "dmy" else by_month if order == "mdy" else F.when(~both, F.coalesce(by_day, by_month))
+    return F.when(text.rlike(TWO_PARTS), parted).otherwise(F.coalesce(*[read(text, f) for f in DATE_FORMATS])).cast("timestamp_ntz")
+
+
+def normal_value(value: Column) -> Column:
+    """A value without a byte order mark, outer white space and runs of white space within."""
+    return F.trim(F.regexp_replace(F.regexp_replace(value, "\ufeff", ""), r"(?U)\s+", " "))
+
+
+def dash_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, n_distinct, keeps_dash: whether - is data there, that is it stands among at most DASH_COLUMN_VALUES distinct non-empty values.
+
+    All rows are read; distinct values are counted after a shuffle by column and value, so no task holds a column.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.trim(F.col(c).cast("string")).alias("value")) for c in columns]))
+    values = df.select(cells.alias("x")).select("x.column", "x.value").where("value <> ''").distinct()
+    counted = values.groupBy("column").agg(F.count("*").alias("n_distinct"), F.bool_or(F.col("value") == DASH).alias("dash"))
+    return counted.select("column", "n_distinct", (F.col("dash") & (F.col("n_distinct") <= DASH_COLUMN_VALUES)).alias("keeps_dash"))
+
+
+def canonical(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """df with value, the column's normal value or what names (alias, canon) call it, and unknown: whether names lack it. Null stays null and is not unknown."""
+    own = df.withColumn("value", normal_value(F.col(column)))
+    joined = own.join(names.select(F.col("alias").alias("value"), "canon"), "value", "left")
+    return joined.withColumn("unknown", F.col("canon").isNull() & F.col("value").isNotNull()).withColumn("value", F.coalesce("canon", "value")).drop("canon")
 
 
 def safe_local(value: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.coercion import jaccard, trigrams
+from graphloom.operators import quantiles as qu
+from graphloom.operators.reasoning import superclasses
 
 #: Confidence by source of a statement.
 CONFIDENCE = {"csv": 1.0, "fk_verified": 0.95, "rl": 0.85}
@@ -14,9 +18,9 @@ CONFIDENCE = {"csv": 1.0, "fk_verified": 0.95, "rl": 0.85}
 def numeric_stats(t: DataFrame) -> DataFrame:
     """p, n, low, high, mean, p10, p50, p90 of numeric properties, the last four to six places (sums of doubles depend on their order)."""
     own = t.where("o_num is not null and not isnan(o_num)")
-    q = F.percentile("o_num", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = own.groupBy("p").agg(F.count("*").alias("n"), F.min("o_num").alias("low"), F.max("o_num").alias("high"), F.avg("o_num").alias("mean"), q.alias("q"))
-    return out.select("p", "n", "low", "high", F.round("mean", 6).alias("mean"), *[F.round(F.get("q", F.lit(k)), 6).alias(f"p{d}") for k, d in enumerate((10, 50, 90))])
+    plain = own.groupBy("p").agg(F.count("*").alias("n"), F.min("o_num").alias("low"), F.max("o_num").alias("high"), F.round(F.avg("o_num"), 6).alias("mean"))
+    q = qu.cumulated(own, "p", "o_num").groupBy("p").agg(*[F.round(qu.quantile("o_num", d / 100), 6).alias(f"p{d}") for d in (10, 50, 90)])
+    return plain.join(q, "p")
 
 
 def distinct_values(t: DataFrame, most: int = 20, sample: int = 5) -> DataFrame:
@@ -70,20 +74,23 @@ def emerging(old: DataFrame, new: DataFrame, most: int = 20, below: float = 0.3)
 
 
 def roundtrip(source: DataFrame, rebuilt: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One row: row_recall and cell_recall in percent of a table rebuilt from the graph."""
-    a = source.select(key, *[F.col(c).cast("string").alias(f"a_{c}") for c in columns])
+    """One row of a table rebuilt from the graph: row_recall and cell_recall in percent of the source, and n_extra rows that it lacks."""
+    a = source.select(key, F.lit(True).alias("there"), *[F.col(c).cast("string").alias(f"a_{c}") for c in columns])
     b = rebuilt.select(key, F.lit(True).alias("hit"), *[F.col(c).cast("string").alias(f"b_{c}") for c in columns])
-    j = a.join(b, key, "left")
+    j = a.join(b, key, "full")
     cells = sum((F.count_if(F.col(f"a_{c}").isNotNull()) for c in columns), F.lit(0))
     right = sum((F.count_if(F.col(f"a_{c}") == F.col(f"b_{c}")) for c in columns), F.lit(0))
-    return j.agg((F.count_if("hit") * 100.0 / F.greatest(F.count("*"), F.lit(1))).alias("row_recall"), (right * 100.0 / F.greatest(cells, F.lit(1))).alias("cell_recall"))
+    rows = F.count_if("there")
+    pct = lambda x, of: x * 100.0 / F.greatest(of, F.lit(1))
+    return j.agg(pct(F.count_if(F.col("there") & F.col("hit")), rows).alias("row_recall"), pct(right, cells).alias("cell_recall"), F.count_if(F.col("there").isNull()).alias("n_extra"))
 
 
-def pivoted(t: DataFrame, c: str, properties: list[str]) -> DataFrame:
-    """One row for each instance of a class: node and its greatest value of each property."""
+def pivoted(t: DataFrame, c: str, properties: list[str], order: str | None = None) -> DataFrame:
+    """One row for each instance of a class: node and the last value of each property by a column of t that says their order; without one, the greatest."""
     members = t.where((F.col("p") == "type") & (F.col("o") == c)).select("s")
     own = t.where(F.col("p").isin(properties)).join(members, "s", "left_semi")
-    return own.groupBy(F.col("s").alias("node")).pivot("p", properties).agg(F.max("o"))
+    last = F.max("o") if order is None else F.max_by("o", F.struct(order, "o"))
+    return own.groupBy(F.col("s").alias("node")).pivot("p", properties).agg(last)
 
 
 def degrees(t: DataFrame) -> DataFrame:
@@ -120,9 +127,18 @@ def row_provenance(df: DataFrame, name: str, key: str, prefix: str) -> DataFrame
     return df.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("instance"), F.lit(name).alias("source_table"), F.col(key).cast("string").alias("source_key"))
 
 
-def lpg_nodes(t: DataFrame) -> DataFrame:
-    """uri, labels, props: labels by most specific class order, multi-valued properties as arrays in one map."""
-    labels = t.where("p = 'type'").groupBy(F.col("s").alias("uri")).agg(F.sort_array(F.collect_set("o")).alias("labels"))
+def most_specific(types: DataFrame, subclass: DataFrame) -> DataFrame:
+    """uri, label of types (uri, label) without those that are above another label of the same node; a node whose labels are all above each other keeps them."""
+    above = superclasses(subclass).select(F.col("a").alias("label"), F.col("b").alias("higher"))
+    higher = types.join(above, "label").select("uri", F.col("higher").alias("label")).distinct()
+    lowest = types.join(higher, ["uri", "label"], "left_anti")
+    return lowest.unionByName(types.join(lowest.select("uri"), "uri", "left_anti"))
+
+
+def lpg_nodes(t: DataFrame, subclass: DataFrame | None = None) -> DataFrame:
+    """uri, labels, props: labels in order, only the most specific ones if subclass pairs are given; multi-valued properties as arrays in one map."""
+    types = t.where("p = 'type'").select(F.col("s").alias("uri"), F.col("o").alias("label")).distinct()
+    labels = (types if subclass is None else most_specific(types, subclass)).groupBy("uri").agg(F.sort_array(F.collect_set("label")).alias("labels"))
     lists = t.where("o_kind = 'lit'").groupBy(F.col("s").alias("uri"), "p").agg(F.sort_array(F.collect_set("o")).alias("v"))
     props = lists.groupBy("uri").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("p", "v")))).alias("props"))
     return labels.join(props, "uri", "full")
@@ -151,9 +167,16 @@ def graph_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def graph_hash(t: DataFrame) -> DataFrame:
-    """One row: n and an order-free digest, the sum of 60-bit hashes of statements, so no task sorts the whole graph."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws("|", "s", "p", "o"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return t.select("s", "p", "o").distinct().agg(F.count("*").alias("n"), F.sum(h).cast("string").alias("digest"))
+    """One row: n and a digest of the graph, whatever its order: SHA-256 over the sorted SHA-256 of its statements, by chunks.
+
+    Statements are dealt to 16**6 chunks by the start of their hash, chunks to 16**3 groups, and each level hashes its sorted parts, so no task
+    sorts the whole graph. For graphs without blank nodes.
+    """
+    level = lambda df, keep, parts: df.groupBy(F.substring(parts, 1, keep).alias("at")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(parts)), ""), 256).alias("h"), F.sum("n").alias("n"))
+    own = t.select("s", "p", "o").distinct().select(F.sha2(F.concat_ws("|", "s", "p", "o"), 256).alias("h"), F.lit(1).alias("n"))
+    chunks = level(own, 6, "h").select(F.concat("at", "h").alias("h"), "n")
+    groups = level(chunks, 3, "h").select(F.concat("at", "h").alias("h"), "n")
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("digest"))
 
 
 def failure_patterns(events: DataFrame, kind: str, now: str, hours: int, least: int) -> DataFrame:
@@ -176,13 +199,31 @@ def cooccurrence(failures: DataFrame, least: int = 5, share: float = 0.9) -> Dat
     return met.join(n, "a").select("a", "b", "both", (F.col("both") / F.col("n")).alias("share")).where(F.col("share") >= share)
 
 
-def instance_quality(t: DataFrame, declared: DataFrame) -> DataFrame:
-    """c, population, completeness: instances of each class and the mean share of its declared properties (p, c) they have."""
-    ty = t.where("p = 'type'").select("s", F.col("o").alias("c"))
-    total = ty.groupBy("c").agg(F.count("*").alias("population"))
-    have = t.select("s", "p").distinct().join(ty, "s").join(declared, ["p", "c"], "left_semi").groupBy("c").agg(F.count("*").alias("filled"))
-    n = declared.groupBy("c").agg(F.count("*").alias("declared"))
-    return total.join(n, "c").join(have, "c", "left").select("c", "population", (F.coalesce("filled", F.lit(0)) / (F.col("population") * F.col("declared"))).alias("completeness"))
+def instance_quality(t: DataFrame, declared: DataFrame, links: list[str], sources: DataFrame, datatypes: DataFrame) -> DataFrame:
+    """metric, value (percent) of the five measures and their mean as overall, each to one place.
+
+    population: instances of the rows of their source (sources: c, rows), a mean over classes; completeness and richness: the share of
+    a class's declared properties (declared: p, c) that its instances have, and how many they have against those declared (100 at most), means over classes;
+    interlinking: instances with one of the link properties; datatypes: literals whose o_dt is the declared one (datatypes: p, dt). 0 where there is nothing.
+    """
+    ty = t.where("p = 'type'").select("s", F.col("o").alias("c")).join(declared.select("c").distinct(), "c", "left_semi")
+    n_declared = declared.groupBy("c").agg(F.count_distinct("p").alias("declared"))
+    total = ty.groupBy("c").agg(F.count("*").alias("instances")).join(n_declared, "c")
+    own = t.select("s", "p").where("p <> 'type'").distinct().join(ty, "s")
+    held = own.join(declared.select("p", "c", F.lit(1).alias("due")).distinct(), ["p", "c"], "left").groupBy("c").agg(F.count("due").alias("filled"), F.count("*").alias("actual"))
+    share = lambda c: F.coalesce(c, F.lit(0)) / (F.col("instances") * F.col("declared")) * 100
+    per_class = total.join(held, "c", "left").select(share(F.col("filled")).alias("completeness"), share(F.col("actual")).alias("richness"))
+    linked = t.where(F.col("p").isin(links)).select("s", F.lit(1).alias("hit")).distinct()
+    population = sources.where("rows > 0").join(ty.groupBy("c").agg(F.count("*").alias("k")), "c", "left").select((F.coalesce("k", F.lit(0)) / F.col("rows") * 100).alias("v"))
+    told = t.where("o_kind = 'lit'").join(datatypes, "p").select(F.coalesce(F.col("o_dt") == F.col("dt"), F.lit(False)).alias("hit"))
+    one = lambda df, metric, value: df.agg(F.round(F.coalesce(value, F.lit(0.0)), 1).alias("value")).select(F.lit(metric).alias("metric"), "value")
+    rows = [
+        one(population, "population", F.avg("v")), one(per_class, "completeness", F.avg("completeness")), one(per_class, "richness", F.least(F.avg("richness"), F.lit(100.0))),
+        one(ty.join(linked, "s", "left"), "interlinking", F.count("hit") * 100.0 / F.greatest(F.count("*"), F.lit(1))),
+        one(told, "datatypes", F.count_if("hit") * 100.0 / F.greatest(F.count("*"), F.lit(1))),
+    ]
+    each = reduce(DataFrame.unionByName, rows)
+    return each.unionByName(one(each, "overall", F.avg("value")))
 
 
 def timeliness(age_days, stale=None):

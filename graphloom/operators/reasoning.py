@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import components, transitive
-from graphloom.storage import stored
+from graphloom.storage import discard, stored
 
 SPO = ["s", "p", "o", "o_kind"]
 
@@ -21,46 +21,121 @@ def superclasses(subclass: DataFrame) -> DataFrame:
     return transitive(subclass.where("a <> b")).where("a <> b")
 
 
-def one_step(fresh: DataFrame, known: DataFrame, schema: dict[str, DataFrame]) -> DataFrame:
-    """What the rules derive from triples of which one at least is fresh. Rules whose schema table is absent don't fire.
+def derivations(fresh: DataFrame, known: DataFrame, schema: dict[str, DataFrame]) -> list[tuple[str, DataFrame]]:
+    """For each rule (rule, triples) that it derives from triples of which one at least is fresh. Rules whose schema table is absent don't fire.
 
-    schema: subclass (a, b), subproperty (a, b), domain and range (p, c), inverse (p, q), symmetric (p), transitive (p), chain (p, q, r: p then q gives r).
+    schema: subclass, equivalent_class, subproperty, equivalent_property (a, b), domain and range (p, c), inverse (p, q), symmetric (p), transitive (p),
+    chain (p, q, r: p then q gives r), has_value (c, p, o, o_kind; both ways), some_values and all_values (c, p, d: a value of d gives c; c's values are of d).
     """
     iri = fresh.where("o_kind = 'iri'")
-    links = iri.where("p <> 'type'")
-    made = []
+    links, types = iri.where("p <> 'type'"), iri.where("p = 'type'")
+    made: list[tuple[str, DataFrame]] = []
     typed = lambda df, who: df.select(F.col(who).alias("s"), F.lit("type").alias("p"), F.col("c").alias("o"), F.lit("iri").alias("o_kind"))
+    swap = lambda df, p: df.select(F.col("o").alias("s"), F.col(p).alias("p"), F.col("s").alias("o"), F.lit("iri").alias("o_kind"))
+    both_ways = lambda df: df.select("a", "b").union(df.select("b", "a")).distinct()
+
+    def above(name: str, pairs: DataFrame) -> None:
+        made.append((name, typed(types.join(pairs.select(F.col("a").alias("o"), F.col("b").alias("c")), "o"), "s")))
+
+    def renamed(name: str, pairs: DataFrame) -> None:
+        made.append((name, fresh.join(pairs.select(F.col("a").alias("p"), F.col("b").alias("q")), "p").select("s", F.col("q").alias("p"), "o", "o_kind")))
+
+    def chained(name: str, chain: DataFrame) -> None:
+        # where all is fresh, the two ways to have a fresh part are one
+        for first, second in ((fresh, known), (known, fresh))[: 1 if fresh is known else 2]:
+            a = first.where("o_kind = 'iri'").join(chain, "p").select("s", F.col("o").alias("m"), "q", "r")
+            b = second.where("o_kind = 'iri'").select(F.col("s").alias("m"), F.col("p").alias("q"), "o")
+            made.append((name, a.join(b, ["m", "q"]).select("s", F.col("r").alias("p"), "o", F.lit("iri").alias("o_kind"))))
+
+    def of_values(name: str, axioms: DataFrame, forward: bool) -> None:
+        """some_values (forward): a value of d gives c; else all_values: of what is of c, the values are of d."""
+        edge = ("o", "d") if forward else ("s", "c")  # where the type that the rule reads stands, and its class
+        for first, second in ((fresh, known), (known, fresh))[: 1 if fresh is known else 2]:
+            a = first.where("o_kind = 'iri' and p <> 'type'").join(axioms, "p").select("s", "o", "c", "d")
+            b = second.where("o_kind = 'iri' and p = 'type'").select(F.col("s").alias(edge[0]), F.col("o").alias(edge[1]))
+            given = a.join(b, list(edge))
+            made.append((name, typed(given, "s") if forward else typed(given.select("o", F.col("d").alias("c")), "o")))
+
     if "domain" in schema:
-        made.append(typed(fresh.join(schema["domain"], "p"), "s"))
+        made.append(("domain", typed(fresh.join(schema["domain"], "p"), "s")))
     if "range" in schema:
-        made.append(typed(links.join(schema["range"], "p"), "o"))
+        made.append(("range", typed(links.join(schema["range"], "p"), "o")))
     if "subclass" in schema:
-        made.append(typed(iri.where("p = 'type'").join(schema["subclass"].select(F.col("a").alias("o"), F.col("b").alias("c")), "o"), "s"))
+        above("subclass", schema["subclass"])
+    if "equivalent_class" in schema:
+        above("equivalent_class", both_ways(schema["equivalent_class"]))
     if "subproperty" in schema:
-        made.append(fresh.join(schema["subproperty"].select(F.col("a").alias("p"), F.col("b").alias("q")), "p").select("s", F.col("q").alias("p"), "o", "o_kind"))
-    swap = lambda df, p: df.select(F.col("o").alias("s"), F.col(p).alias("p"), F.col("s").alias("o"), F.lit("iri").alias("o_kind"))
+        renamed("subproperty", schema["subproperty"])
+    if "equivalent_property" in schema:
+        renamed("equivalent_property", both_ways(schema["equivalent_property"]))
     if "inverse" in schema:
-        both = schema["inverse"].unionByName(schema["inverse"].select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct()
-        made.append(swap(links.join(both, "p"), "q"))
+        pairs = schema["inverse"].select("p", "q")
+        made.append(("inverse", swap(links.join(pairs.unionByName(pairs.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct(), "p"), "q")))
     if "symmetric" in schema:
-        made.append(swap(links.join(schema["symmetric"], "p"), "p"))
-    chains = [schema["chain"]] if "chain" in schema else []
-    chains += [schema["transitive"].select("p", F.col("p").alias("q"), F.col("p").alias("r"))] if "transitive" in schema else []
-    for chain in chains:
-        for first, second in ((fresh, known), (known, fresh)):
-            a = first.where("o_kind = 'iri'").join(chain, "p").select("s", F.col("o").alias("m"), "q", "r")
-            b = second.where("o_kind = 'iri'").select(F.col("s").alias("m"), F.col("p").alias("q"), "o")
-            made.append(a.join(b, ["m", "q"]).select("s", F.col("r").alias("p"), "o", F.lit("iri").alias("o_kind")))
-    return reduce(DataFrame.unionByName, made).distinct()
+        made.append(("symmetric", swap(links.join(schema["symmetric"], "p"), "p")))
+    if "transitive" in schema:
+        chained("transitive", schema["transitive"].select("p", F.col("p").alias("q"), F.col("p").alias("r")))
+    if "chain" in schema:
+        chained("chain", schema["chain"])
+    if "has_value" in schema:
+        told = schema["has_value"].select("c", "p", "o", "o_kind")
+        made.append(("has_value", typed(fresh.join(told, ["p", "o", "o_kind"]), "s")))
+        made.append(("has_value", types.select("s", F.col("o").alias("c")).join(told, "c").select("s", "p", "o", "o_kind")))
+    if "some_values" in schema:
+        of_values("some_values", schema["some_values"], True)
+    if "all_values" in schema:
+        of_values("all_values", schema["all_values"], False)
+    return made
+
+
+def one_step(fresh: DataFrame, known: DataFrame, schema: dict[str, DataFrame]) -> DataFrame:
+    """What all rules derive, each triple once; see derivations."""
+    return reduce(DataFrame.unionByName, [df for _, df in derivations(fresh, known, schema)]).distinct()
 
 
 def fixpoint(triples: DataFrame, schema: dict[str, DataFrame]) -> DataFrame:
-    """Triples and all that the rules derive. Each round joins only what the last one added, and ends when nothing is new."""
-    known = fresh = stored(triples.select(*SPO).distinct(), "known")
-    while not fresh.isEmpty():
-        fresh = stored(one_step(fresh, known, schema).join(known, SPO, "left_anti"), "fresh")
-        known = stored(known.unionByName(fresh), "known")
-    return known
+    """Triples and all that the rules derive. Each round joins only what the last one added and writes only what is new; it ends when nothing is.
+
+    What is known is the union of the rounds' tables. The first round joins all with all in one way, not in two.
+    """
+    first = stored(triples.select(*SPO).distinct(), "known")
+    rounds = [first]
+    while not rounds[-1].isEmpty():
+        known = reduce(DataFrame.unionByName, rounds)
+        fresh = known if len(rounds) == 1 else rounds[-1]
+        rounds.append(stored(one_step(fresh, known, schema).join(known, SPO, "left_anti"), "fresh"))
+    discard(rounds.pop() if len(rounds) > 1 else None)
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def closure(triples: DataFrame, schema: dict[str, DataFrame], functional: list[str] | None = None, inverse_functional: list[str] | None = None, keys: dict[str, list[str]] | None = None) -> DataFrame:
+    """The fixpoint with equality: terms that functional properties, inverse functional ones, class keys or sameAs triples equate become one, the least of them, until nothing moves."""
+    known = fixpoint(triples, schema)
+    while True:
+        pairs = [known.where("p = 'sameAs' and s <> o").select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"))]
+        pairs += [same_as(known, functional)] if functional else []
+        turned = known.where("o_kind = 'iri'").select(F.col("o").alias("s"), "p", F.col("s").alias("o"), "o_kind")
+        pairs += [same_as(turned, inverse_functional)] if inverse_functional else []
+        pairs += [has_key(known, c, own) for c, own in (keys or {}).items()]
+        same = stored(reduce(DataFrame.unionByName, pairs).distinct(), "same")
+        if same.isEmpty():
+            return known
+        known = fixpoint(merged_terms(known, same).where("not (p = 'sameAs' and s = o)"), schema)
+
+
+def restriction_violations(triples: DataFrame, restrictions: DataFrame, subclass: DataFrame) -> DataFrame:
+    """s, c, p, target, kind of members that break restrictions (c, p, target, kind), those of subclasses included; each instance, property and target once.
+
+    kind has_value: no such value; some_values: no value of class target, subclasses counted.
+    """
+    up = superclasses(subclass)
+    ty = triples.where("p = 'type'").select("s", F.col("o").alias("c")).distinct()
+    closed = ty.join(up.select(F.col("a").alias("c"), F.col("b").alias("above")), "c").select("s", F.col("above").alias("c")).unionByName(ty).distinct()
+    due = closed.join(restrictions, "c").groupBy("s", "p", "target", "kind").agg(F.min("c").alias("c"))
+    own = triples.join(restrictions.select("p").distinct(), "p", "left_semi").where("p <> 'type'")
+    plain = own.select("s", "p", F.col("o").alias("target"), F.lit("has_value").alias("kind"))
+    of_class = own.where("o_kind = 'iri'").join(closed.select(F.col("s").alias("o"), F.col("c").alias("target")), "o").select("s", "p", "target", F.lit("some_values").alias("kind"))
+    return due.join(plain.unionByName(of_class).distinct(), ["s", "p", "target", "kind"], "left_anti").select("s", "c", "p", "target", "kind")
 
 
 def same_as(triples: DataFrame, functional: list[str]) -> DataFrame:
@@ -158,19 +233,26 @@ def type_pollution(before: DataFrame, added: DataFrame, disjoint: DataFrame) ->
     return new.join(both, "a").join(held, ["s", "b"], "left_semi").join(held, ["s", "b"]).select("s", F.col("a").alias("new"), F.col("b").alias("old")).distinct()
 
 
+def without_pollution(before: DataFrame, added: DataFrame, disjoint: DataFrame) -> DataFrame:
+    """added without the types that are disjoint with a type held before."""
+    bad = type_pollution(before, added, disjoint).select("s", F.lit("type").alias("p"), F.col("new").alias("o")).distinct()
+    return added.join(bad, ["s", "p", "o"], "left_anti")
+
+
 RULE_ORDER = ("already_exists", "domain", "range", "subclass", "inverse", "symmetric", "transitive")
 
 
 def justify(derived: DataFrame, before: DataFrame, schema: dict[str, DataFrame]) -> DataFrame:
-    """(s, p, o, rule): the first rule, in fixed order, that derives a triple from the ones before; unknown if none does in one step."""
-    parts = [derived.select("s", "p", "o").join(before.select("s", "p", "o"), ["s", "p", "o"], "left_semi").withColumn("rank", F.lit(0))]
-    for k, name in enumerate(RULE_ORDER[1:], 1):
-        if name in schema:
-            made = one_step(before, before, {name: schema[name]}).select("s", "p", "o")
-            parts.append(derived.select("s", "p", "o").join(made, ["s", "p", "o"], "left_semi").withColumn("rank", F.lit(k)))
-    best = reduce(DataFrame.unionByName, parts).groupBy("s", "p", "o").agg(F.min("rank").alias("rank"))
+    """(s, p, o, rule): the first rule, in fixed order, that derives a triple from the ones before; unknown if none does in one step.
+
+    Every rule tags what it derives, once; the tagged triples meet the derived ones in one join, which keeps the least rank.
+    """
+    key = ["s", "p", "o"]
+    made = derivations(before, before, {name: schema[name] for name in RULE_ORDER if name in schema})
+    tagged = [before.select(*key, F.lit(0).alias("rank")), *[df.select(*key, F.lit(RULE_ORDER.index(name)).alias("rank")) for name, df in made]]
+    best = reduce(DataFrame.unionByName, tagged).groupBy(*key).agg(F.min("rank").alias("rank"))
     names = F.array(*[F.lit(r) for r in RULE_ORDER])
-    return derived.select("s", "p", "o").join(best, ["s", "p", "o"], "left").select("s", "p", "o", F.coalesce(F.get(names, F.col("rank")), F.lit("unknown")).alias("rule"))
+    return derived.select(*key).join(best, key, "left").select(*key, F.coalesce(F.get(names, F.col("rank")), F.lit("unknown")).alias("rule"))
 
 
 def classified(added: DataFrame, trivial_classes: list[str], known_classes: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NT_LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*$'
@@ -28,29 +28,50 @@ def distinct_files(spark: SparkSession, path: str, preferred: list[str] | None =
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Triples s, p, o, o_kind, o_dt, o_lang of N-Triples files; comments and malformed lines are skipped."""
+    """Triples s, p, o, o_kind, o_dt, o_lang of N-Triples files, escapes decoded; comments and malformed lines are skipped."""
     part = lambda k: F.regexp_extract("value", NT_LINE, k)
     rows = spark.read.text(path).where(F.col("value").rlike(NT_LINE)).select(part(1).alias("s"), part(2).alias("p"), part(3).alias("raw"))
     literal = F.col("raw").startswith('"')
-    body = F.regexp_extract("raw", r'^"((?:[^"\\]|\\.)*)"', 1)
-    for code, char in (('\\\\"', '"'), ("\\\\n", "\n"), ("\\\\t", "\t"), ("\\\\\\\\", "\\\\")):
-        body = F.regexp_replace(body, code, char)
-    bare = F.regexp_replace("raw", "^<|>$", "")
+    body = _decoded(F.regexp_extract("raw", r'^"((?:[^"\\]|\\.)*)"', 1))
+    bare = lambda c: _decoded(F.regexp_replace(c, "^<|>$", ""))
     return rows.select(
-        F.regexp_replace("s", "^<|>$", "").alias("s"),
-        "p",
-        F.when(literal, body).otherwise(bare).alias("o"),
+        bare("s").alias("s"),
+        _decoded(F.col("p")).alias("p"),
+        F.when(literal, body).otherwise(bare("raw")).alias("o"),
         F.when(literal, "lit").when(F.col("raw").startswith("_:"), "bnode").otherwise("iri").alias("o_kind"),
         F.nullif(F.regexp_extract("raw", r"\^\^<([^>]*)>$", 1), F.lit("")).alias("o_dt"),
         F.nullif(F.regexp_extract("raw", r'"@([A-Za-z0-9-]+)$', 1), F.lit("")).alias("o_lang"),
     ).distinct()
 
 
+#: Escapes of N-Triples by their letter.
+ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+ESCAPE = r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"
+
+
+def _decoded(text: Column) -> Column:
+    """text with escapes read from left to right, in one pass; an unknown one stays as it is."""
+
+    def read(part: Column) -> Column:
+        letter = F.substring(part, 2, 1)
+        known = F.try_element_at(F.create_map(*[F.lit(x) for kv in ESCAPES.items() for x in kv]), letter)
+        code = F.when(F.length(part) > 2, F.decode(F.unhex(F.lpad(F.substring(part, 3, 8), 8, "0")), "UTF-32"))
+        return F.when(part.startswith("\\"), F.coalesce(F.when(letter.isin("u", "U"), code).otherwise(known), part)).otherwise(part)
+
+    return F.when(text.contains("\\"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(ESCAPE), F.lit(0)), read), "")).otherwise(text)
+
+
 def ntriples_lines(triples: DataFrame) -> DataFrame:
-    """One N-Triples line, column value, for each of triples (s, p, o, o_kind)."""
-    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
-    term = F.when(F.col("o_kind") == "lit", F.concat(F.lit('"'), escaped, F.lit('"'))).when(F.col("o_kind") == "bnode", F.col("o")).otherwise(F.concat(F.lit("<"), "o", F.lit(">")))
-    return triples.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), term, F.lit(" .")).alias("value"))
+    """One N-Triples line, column value, for each of triples (s, p, o, o_kind and, if there, o_dt and o_lang); a subject that starts with _: is a blank node."""
+    body = F.col("o")
+    for sign, code in (("\\", r"\\"), ('"', r"\""), ("\n", r"\n"), ("\r", r"\r"), ("\t", r"\t")):
+        body = F.replace(body, F.lit(sign), F.lit(code))
+    told = lambda c, text: F.coalesce(text(F.col(c)), F.lit("")) if c in triples.columns else F.lit("")
+    tag = told("o_lang", lambda x: F.concat(F.lit("@"), x))
+    kind = F.when(tag != "", tag).otherwise(told("o_dt", lambda x: F.concat(F.lit("^^<"), x, F.lit(">"))))
+    named = lambda c: F.when(F.col(c).startswith("_:"), F.col(c)).otherwise(F.concat(F.lit("<"), F.col(c), F.lit(">")))
+    term = F.when(F.col("o_kind") == "lit", F.concat(F.lit('"'), body, F.lit('"'), kind)).when(F.col("o_kind") == "bnode", F.col("o")).otherwise(named("o"))
+    return triples.select(F.concat(named("s"), F.lit(" <"), "p", F.lit("> "), term, F.lit(" .")).alias("value"))
 
 
 def write_ntriples(triples: DataFrame, path: str) -> None:

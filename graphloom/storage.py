@@ -9,16 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new local folder where it is unset (as in tests)."""
+    """spark.checkpoint.dir. Where it is unset (as in tests), a new local folder, which only a local master can use."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-shared-")
+    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written as a table in the shared folder and read again, in folders by a column if asked, so that its filters skip files."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that stored made, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "stored_at", None) if df is not None else None
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from graphloom.catalogue import ORACLES, QUERIES
+from graphloom.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -23,7 +23,7 @@ def plain(v):
     return ("nan" if math.isnan(v) else f"{v:.6g}") if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_has_the_rows_of_its_oracle(spark, con, name):
     df = QUERIES[name](spark, DATA)
     rel = con.sql(ORACLES[name])
