@@ -17,7 +17,7 @@ from graphloom.operators import reasoning as rs
 from graphloom.operators import rules as ru
 from graphloom.operators import schema_lint as sl
 from graphloom.plans import star_graph as sg
-from graphloom.sources.tables import table
+from graphloom.sources.tables import inline, table
 from graphloom.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,7 +119,7 @@ def pk_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'l_orderkey' AS "column", 0 AS place FROM n WHERE a > b AND a > c UNION ALL SELECT CASE WHEN ac >= ab THEN 'l_suppkey' ELSE 'l_partkey' END, 1 FROM n UNION ALL SELECT CASE WHEN ac >= ab THEN 'l_partkey' ELSE 'l_suppkey' END, 2 FROM n WHERE greatest(ab, ac) < t""")
 def pk_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = pr.composite_key(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"])
-    return spark.createDataFrame([(c, i) for i, c in enumerate(key)], "column string, place int")
+    return inline(spark, [(c, i) for i, c in enumerate(key)], "column string, place int")
 
 
 @query("SELECT 'Line_' || l_orderkey || '_' || l_linenumber AS iri, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
@@ -191,7 +191,7 @@ LOOSE = "CASE WHEN o_orderkey % 3 = 0 THEN '  ' || o_orderstatus WHEN o_orderkey
 
 @query(f"SELECT coalesce(canon, v) AS status, canon IS NULL AND v IS NOT NULL AS unknown, count(*) AS n FROM (SELECT trim({LOOSE}) AS v FROM orders) LEFT JOIN (VALUES {_values(SYNONYMS[:2])}) AS m(alias, canon) ON alias = v GROUP BY 1, 2")
 def enum_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame(SYNONYMS[:2], "alias string, canon string")
+    names = inline(spark, SYNONYMS[:2], "alias string, canon string")
     done = co.canonical(table(spark, sf_dir, "orders").select(F.expr(LOOSE).alias("status")), "status", names)
     return done.groupBy(F.col("value").alias("status"), "unknown").agg(F.count("*").alias("n"))
 
@@ -352,7 +352,7 @@ ENTAILED = f"""{UP}, b AS (SELECT s, p, o FROM g UNION SELECT e.o, i.q, e.s FROM
 
 
 def _entailed(t: DataFrame, k: dict[str, DataFrame]) -> DataFrame:
-    chain = t.sparkSession.createDataFrame(CHAIN, "p string, q string, r string")
+    chain = inline(t.sparkSession, CHAIN, "p string, q string, r string")
     return rs.fixpoint(t, k | {"chain": chain})
 
 
@@ -360,7 +360,7 @@ on_graph("rl_fixpoint", f"{ENTAILED} SELECT s, p, o FROM f", lambda t, k: _entai
 on_graph("rl_domain_range", f" SELECT s, c FROM g JOIN {DOM} USING (p) UNION SELECT o, c FROM e JOIN {RAN} USING (p)", lambda t, k: rs.one_step(t, t, {x: k[x] for x in ("domain", "range")}).select("s", F.col("o").alias("c")).distinct())
 on_graph(
     "rl_chain", " SELECT DISTINCT x.s, y.o FROM e x JOIN e y ON x.o = y.s WHERE x.p = 'inNation' AND y.p = 'inRegion'",
-    lambda t, _: rs.one_step(t, t, {"chain": t.sparkSession.createDataFrame(CHAIN, "p string, q string, r string")}).select("s", "o"),
+    lambda t, _: rs.one_step(t, t, {"chain": inline(t.sparkSession, CHAIN, "p string, q string, r string")}).select("s", "o"),
 )
 on_graph("restriction_has_value", " SELECT DISTINCT s, 'Building' AS c FROM g WHERE p = 'segment' AND o = 'BUILDING'", lambda t, _: rs.has_value(t, "segment", "BUILDING", "Building"))
 on_graph("restriction_some", " SELECT DISTINCT s, 'Placed' AS c FROM e WHERE p = 'placedBy' AND o IN (SELECT node FROM ty WHERE c = 'Customer')", lambda t, _: rs.some_values(t, "placedBy", "Customer", "Placed"))
@@ -373,7 +373,7 @@ on_graph(
 )
 on_graph(
     "type_pollution", " SELECT s, 'Place' AS new, 'Customer' AS old FROM (SELECT DISTINCT s FROM e WHERE p = 'inNation' AND s LIKE '%3')",
-    lambda t, _: rs.type_pollution(t, t.where("p = 'inNation' and s like '%3'").select("s", F.lit("type").alias("p"), F.lit("Place").alias("o")), t.sparkSession.createDataFrame([("Customer", "Place"), ("Order", "Place")], "a string, b string")),
+    lambda t, _: rs.type_pollution(t, t.where("p = 'inNation' and s like '%3'").select("s", F.lit("type").alias("p"), F.lit("Place").alias("o")), inline(t.sparkSession, [("Customer", "Place"), ("Order", "Place")], "a string, b string")),
 )
 on_graph(
     "justify_rules", f"{UP}, d AS (SELECT s, c AS o FROM g JOIN {DOM} USING (p)), r AS (SELECT o AS s, c AS o FROM e JOIN {RAN} USING (p)), b AS (SELECT node AS s, b AS o FROM ty JOIN {SUB} ON c = a), a AS (SELECT s, o FROM d UNION SELECT s, o FROM r UNION SELECT s, o FROM b UNION SELECT node, 'Agent' FROM ty) "
@@ -421,7 +421,7 @@ LINT_FOUND = [
 @query(f"SELECT rule, subject FROM (VALUES {_values(LINT_FOUND)}) AS x(rule, subject)")
 def schema_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small schema with one violation of each rule or more; it doesn't depend on the tables."""
-    own = lambda rows, names: spark.createDataFrame(rows, names)
+    own = lambda rows, names: inline(spark, rows, names)
     classes = own([("Customer", "customer", False), ("Supplier", "supplier", False), ("Party", "party", False), ("Nation", "nation", False), ("Ghost", None, False), ("old_class", "old", True), ("Part", "part", False)], "c string, label string, deprecated boolean")
     properties = own([("inNation", "Customer", "Nation", "in nation"), ("inNation", "Supplier", "Nation", "in nation"), ("HasPart", "old_class", "Part", "part"), ("loose", "Party", None, "loose"), ("placedBy", "Party", "Customer", "placed by")], "p string, domain string, range string, label string")
     pairs = lambda *rows: own(list(rows), "a string, b string")
@@ -438,7 +438,7 @@ AXIOMS_FOUND = [
 @query(f"SELECT rule, subject FROM (VALUES {_values(AXIOMS_FOUND)}) AS x(rule, subject)")
 def schema_lint_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small schema with one violation of each rule among axioms; it doesn't depend on the tables."""
-    own = spark.createDataFrame
+    own = lambda rows, names: inline(spark, rows, names)
     classes = own([("Customer", "customer", "buys"), ("Part", "part", "is sold"), ("Nation", "nation", None)], "c string, label string, comment string")
     properties = own([("segment", "Customer"), ("size", "Part")], "p string, domain string")
     wanted = own([(g, c) for g in ("x", "y", "z") for c in ("Customer", "Part")] + [("w", "Customer"), ("w", "Ghost")], "g string, c string")
@@ -461,8 +461,8 @@ def schema_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = sorted({x for pair in sg.SUBCLASSES for x in pair} | {"Part"})
     terms = [("c", c, None) for c in classes] + [("o", p, None) for p, _, _ in sg.OBJECT_PROPERTIES] + [("d", p, c) for p, c in sg.DATA_PROPERTIES]
     told = [(kind, t, d, t, t if k < len(terms) // 2 else None) for k, (kind, t, d) in enumerate(terms)]
-    of = lambda kind: spark.createDataFrame([r[1:] for r in told if r[0] == kind], "p string, domain string, label string, comment string")
-    return sl.schema_metrics(of("c").select(F.col("p").alias("c"), "label", "comment"), spark.createDataFrame(sg.SUBCLASSES, "a string, b string"), of("o"), of("d"))
+    of = lambda kind: inline(spark, [r[1:] for r in told if r[0] == kind], "p string, domain string, label string, comment string")
+    return sl.schema_metrics(of("c").select(F.col("p").alias("c"), "label", "comment"), inline(spark, sg.SUBCLASSES, "a string, b string"), of("o"), of("d"))
 
 
 # --- checks -------------------------------------------------------------------------------------------------------------------------
@@ -484,7 +484,7 @@ NOT_TYPED = "NOT IN (SELECT node FROM ty)"
 
 
 def _local(t: DataFrame, rows: list[tuple], names: str) -> DataFrame:
-    return t.sparkSession.createDataFrame(rows, names)
+    return inline(t.sparkSession, rows, names)
 
 
 def _half_inverse(t: DataFrame) -> DataFrame:
@@ -709,7 +709,7 @@ def _instance_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stored(sg.graph(spark, sf_dir), "graph", "p").withColumn("o_dt", F.when(F.col("o_kind") == "lit", F.expr(KINDS_SQL)))
     rows = [table(spark, sf_dir, name).agg((F.count("*") * (2 if c == "Nation" else 1)).alias("rows")).select(F.lit(c).alias("c"), "rows") for c, name in SOURCES]
     sources = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
-    return an.instance_quality(t, sg.schema_rows(spark)["domain"], [p for p, _, _ in sg.OBJECT_PROPERTIES], sources, spark.createDataFrame(DTS, "p string, dt string"))
+    return an.instance_quality(t, sg.schema_rows(spark)["domain"], [p for p, _, _ in sg.OBJECT_PROPERTIES], sources, inline(spark, DTS, "p string, dt string"))
 
 
 QUERIES["instance_quality"] = _instance_quality
@@ -840,5 +840,5 @@ y AS (SELECT count(*) FILTER (a) * 100.0::DOUBLE / count(*) AS a, count(*) FILTE
 SELECT round(a, 6) AS label_pct, round(b, 6) AS comment_pct, round(c, 6) AS bilingual_pct, round(a * 0.4 + b * 0.3 + c * 0.3, 6) AS score FROM y""")
 def understandability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and comments of the mapping's classes; it doesn't depend on the tables."""
-    terms = spark.createDataFrame([(c,) for pair in sg.SUBCLASSES for c in pair], "term string")
-    return dm.understandability(terms, spark.createDataFrame(LABELLED, "term string, lang string"), terms.where("term like '%r'"))
+    terms = inline(spark, [(c,) for pair in sg.SUBCLASSES for c in pair], "term string")
+    return dm.understandability(terms, inline(spark, LABELLED, "term string, lang string"), terms.where("term like '%r'"))

@@ -14,7 +14,7 @@ from graphloom.operators import graph as gr
 from graphloom.operators import ingest as ig
 from graphloom.operators import reasoning as rs
 from graphloom.plans import star_graph as sg
-from graphloom.sources.tables import table
+from graphloom.sources.tables import inline, table
 
 # --- coercion and ingest ------------------------------------------------------------------------------------------------------------
 
@@ -58,7 +58,7 @@ def loss_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 l AS (SELECT 'n_sentinel' AS loss, a::BIGINT AS n, a / cells::DOUBLE AS rate, 0.2 AS allowed FROM t UNION ALL SELECT 'n_failed', b::BIGINT, b / cells::DOUBLE, 0.01 FROM t UNION ALL SELECT 'n_unverified', c::BIGINT, c / cells::DOUBLE, 0 FROM t)
 SELECT loss, n, rate, rate <= allowed AS passed FROM l""")
 def loss_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ig.loss_budget(loss_manifest(spark, sf_dir), spark.createDataFrame([("n_sentinel", 0.2), ("n_failed", 0.01)], "loss string, allowed double"))
+    return ig.loss_budget(loss_manifest(spark, sf_dir), inline(spark, [("n_sentinel", 0.2), ("n_failed", 0.01)], "loss string, allowed double"))
 
 
 SAFE = r"regexp_replace(trim({x}), '[^\p{{L}}\p{{M}}\p{{N}}_-]', '_', 'g')"
@@ -77,7 +77,7 @@ def row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH o AS (SELECT 'Order_' || o_orderkey AS s, o_orderpriority AS code, regexp_replace(o_orderpriority, '[^\\p{L}\\p{M}\\p{N}_-]+', '_', 'g') AS c FROM orders)
 SELECT 'Priority_' || c AS s, 'type' AS p, 'Priority' AS o FROM o UNION SELECT s, 'hasPriority', 'Priority_' || c FROM o UNION SELECT 'Priority_' || c, 'priorityOf', s FROM o UNION SELECT 'Priority_' || c, 'label', 'urgent' FROM o WHERE code = '1-URGENT'""")
 def dimension_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = spark.createDataFrame([("1-URGENT", "urgent")], "code string, label string")
+    labels = inline(spark, [("1-URGENT", "urgent")], "code string, label string")
     return ig.promoted_dimension(table(spark, sf_dir, "orders"), F.concat(F.lit("Order_"), F.col("o_orderkey").cast("string")), "o_orderpriority", "Priority", "hasPriority", "priorityOf", "label", labels)
 
 
@@ -249,7 +249,7 @@ def failure_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").selectExpr("concat('S', s_suppkey) as equipment", "concat('P', s_nationkey % 3) as pattern", "s_nationkey as nation", "s_suppkey % 50 as number")
     tags = supplier.selectExpr("equipment", "cast(nation as long) as tag").union(supplier.selectExpr("equipment", "cast(number as long)"))
     alarms = table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr("event_id as alarm", "cast(user_id % 50 as long) as tag", "CASE WHEN event_id % 50 <> 0 THEN ts END as ts")
-    patterns = spark.createDataFrame([("P0", 5, 24, "heat"), ("P1", 20, None, "wear"), ("P2", 1, 96, "leak")], "pattern string, threshold long, hours int, failure string")
+    patterns = inline(spark, [("P0", 5, 24, "heat"), ("P1", 20, None, "wear"), ("P2", 1, 96, "leak")], "pattern string, threshold long, hours int, failure string")
     return ev.failure_alerts(supplier.select("equipment", "pattern"), patterns, tags, alarms, "2024-01-31 00:00:00")
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.sources.tables import inline
 from graphloom.storage import discard, stored
 
 
@@ -93,9 +94,9 @@ def values(left: DataFrame, variables: str | list[str], rows: list) -> DataFrame
     """Join with an inline table of one variable (rows are terms) or several (rows are tuples, None for UNDEF)."""
     names = [variables] if isinstance(variables, str) else variables
     told = [(r,) if isinstance(variables, str) else tuple(r) for r in rows]
-    inline = left.sparkSession.createDataFrame(told, ", ".join(f"{v} string" for v in names))
+    given = inline(left.sparkSession, told, ", ".join(f"{v} string" for v in names))
     undefined = [v for k, v in enumerate(names) if any(r[k] is None for r in told)]
-    return compatible_join(left, F.broadcast(inline), undefined) if undefined else left.join(F.broadcast(inline), names)  # a literal list
+    return compatible_join(left, F.broadcast(given), undefined) if undefined else left.join(F.broadcast(given), names)  # a literal list
 
 
 def group_concat(column: str, separator: str = " ") -> Column:

@@ -21,11 +21,25 @@ def superclasses(subclass: DataFrame) -> DataFrame:
     return transitive(subclass.where("a <> b")).where("a <> b")
 
 
+def _of(triples: DataFrame, names: DataFrame) -> DataFrame:
+    """The triples of a schema column's properties, as a list of literals, so that a table stored by p is read for them only."""
+    return triples.where(F.col("p").isin(sorted({r[0] for r in names.collect()})))  # rows of the schema
+
+
+def concluded(schema: dict[str, DataFrame]) -> list[str]:
+    """The properties of what the rules of derivations can conclude."""
+    places = {
+        "subproperty": ("b",), "equivalent_property": ("a", "b"), "inverse": ("p", "q"), "symmetric": ("p",), "transitive": ("p",), "chain": ("r",), "has_value": ("p",),
+    }
+    return sorted({"type"} | {r[0] for k, columns in places.items() if k in schema for c in columns for r in schema[k].select(c).collect()})
+
+
 def derivations(fresh: DataFrame, known: DataFrame, schema: dict[str, DataFrame]) -> list[tuple[str, DataFrame]]:
     """For each rule (rule, triples) that it derives from triples of which one at least is fresh. Rules whose schema table is absent don't fire.
 
     schema: subclass, equivalent_class, subproperty, equivalent_property (a, b), domain and range (p, c), inverse (p, q), symmetric (p), transitive (p),
     chain (p, q, r: p then q gives r), has_value (c, p, o, o_kind; both ways), some_values and all_values (c, p, d: a value of d gives c; c's values are of d).
+    A rule reads the triples of its own properties; the schema's property names are brought to the driver for that.
     """
     iri = fresh.where("o_kind = 'iri'")
     links, types = iri.where("p <> 'type'"), iri.where("p = 'type'")
@@ -38,28 +52,28 @@ def derivations(fresh: DataFrame, known: DataFrame, schema: dict[str, DataFrame]
         made.append((name, typed(types.join(pairs.select(F.col("a").alias("o"), F.col("b").alias("c")), "o"), "s")))
 
     def renamed(name: str, pairs: DataFrame) -> None:
-        made.append((name, fresh.join(pairs.select(F.col("a").alias("p"), F.col("b").alias("q")), "p").select("s", F.col("q").alias("p"), "o", "o_kind")))
+        made.append((name, _of(fresh, pairs.select("a")).join(pairs.select(F.col("a").alias("p"), F.col("b").alias("q")), "p").select("s", F.col("q").alias("p"), "o", "o_kind")))
 
     def chained(name: str, chain: DataFrame) -> None:
         # where all is fresh, the two ways to have a fresh part are one
         for first, second in ((fresh, known), (known, fresh))[: 1 if fresh is known else 2]:
-            a = first.where("o_kind = 'iri'").join(chain, "p").select("s", F.col("o").alias("m"), "q", "r")
-            b = second.where("o_kind = 'iri'").select(F.col("s").alias("m"), F.col("p").alias("q"), "o")
+            a = _of(first, chain.select("p")).where("o_kind = 'iri'").join(chain, "p").select("s", F.col("o").alias("m"), "q", "r")
+            b = _of(second, chain.select("q")).where("o_kind = 'iri'").select(F.col("s").alias("m"), F.col("p").alias("q"), "o")
             made.append((name, a.join(b, ["m", "q"]).select("s", F.col("r").alias("p"), "o", F.lit("iri").alias("o_kind"))))
 
     def of_values(name: str, axioms: DataFrame, forward: bool) -> None:
         """some_values (forward): a value of d gives c; else all_values: of what is of c, the values are of d."""
         edge = ("o", "d") if forward else ("s", "c")  # where the type that the rule reads stands, and its class
         for first, second in ((fresh, known), (known, fresh))[: 1 if fresh is known else 2]:
-            a = first.where("o_kind = 'iri' and p <> 'type'").join(axioms, "p").select("s", "o", "c", "d")
+            a = _of(first, axioms.select("p")).where("o_kind = 'iri' and p <> 'type'").join(axioms, "p").select("s", "o", "c", "d")
             b = second.where("o_kind = 'iri' and p = 'type'").select(F.col("s").alias(edge[0]), F.col("o").alias(edge[1]))
             given = a.join(b, list(edge))
             made.append((name, typed(given, "s") if forward else typed(given.select("o", F.col("d").alias("c")), "o")))
 
     if "domain" in schema:
-        made.append(("domain", typed(fresh.join(schema["domain"], "p"), "s")))
+        made.append(("domain", typed(_of(fresh, schema["domain"].select("p")).join(schema["domain"], "p"), "s")))
     if "range" in schema:
-        made.append(("range", typed(links.join(schema["range"], "p"), "o")))
+        made.append(("range", typed(_of(links, schema["range"].select("p")).join(schema["range"], "p"), "o")))
     if "subclass" in schema:
         above("subclass", schema["subclass"])
     if "equivalent_class" in schema:
@@ -70,16 +84,18 @@ def derivations(fresh: DataFrame, known: DataFrame, schema: dict[str, DataFrame]
         renamed("equivalent_property", both_ways(schema["equivalent_property"]))
     if "inverse" in schema:
         pairs = schema["inverse"].select("p", "q")
-        made.append(("inverse", swap(links.join(pairs.unionByName(pairs.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct(), "p"), "q")))
+        both = pairs.select(F.explode(F.array("p", "q")))
+        pairs = pairs.unionByName(pairs.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct()
+        made.append(("inverse", swap(_of(links, both).join(pairs, "p"), "q")))
     if "symmetric" in schema:
-        made.append(("symmetric", swap(links.join(schema["symmetric"], "p"), "p")))
+        made.append(("symmetric", swap(_of(links, schema["symmetric"].select("p")).join(schema["symmetric"], "p"), "p")))
     if "transitive" in schema:
         chained("transitive", schema["transitive"].select("p", F.col("p").alias("q"), F.col("p").alias("r")))
     if "chain" in schema:
         chained("chain", schema["chain"])
     if "has_value" in schema:
         told = schema["has_value"].select("c", "p", "o", "o_kind")
-        made.append(("has_value", typed(fresh.join(told, ["p", "o", "o_kind"]), "s")))
+        made.append(("has_value", typed(_of(fresh, told.select("p")).join(told, ["p", "o", "o_kind"]), "s")))
         made.append(("has_value", types.select("s", F.col("o").alias("c")).join(told, "c").select("s", "p", "o", "o_kind")))
     if "some_values" in schema:
         of_values("some_values", schema["some_values"], True)
@@ -96,14 +112,16 @@ def one_step(fresh: DataFrame, known: DataFrame, schema: dict[str, DataFrame]) -
 def fixpoint(triples: DataFrame, schema: dict[str, DataFrame]) -> DataFrame:
     """Triples and all that the rules derive. Each round joins only what the last one added and writes only what is new; it ends when nothing is.
 
-    What is known is the union of the rounds' tables. The first round joins all with all in one way, not in two.
+    What is known is the union of the rounds' tables, stored by p, so that rules read their own properties' files and new triples are compared
+    with those of properties that rules conclude only. The first round joins all with all in one way, not in two.
     """
-    first = stored(triples.select(*SPO).distinct(), "known")
+    first = stored(triples.select(*SPO).distinct(), "known", "p")
+    made = concluded(schema)
     rounds = [first]
     while not rounds[-1].isEmpty():
         known = reduce(DataFrame.unionByName, rounds)
         fresh = known if len(rounds) == 1 else rounds[-1]
-        rounds.append(stored(one_step(fresh, known, schema).join(known, SPO, "left_anti"), "fresh"))
+        rounds.append(stored(one_step(fresh, known, schema).join(known.where(F.col("p").isin(made)), SPO, "left_anti"), "fresh", "p"))
     discard(rounds.pop() if len(rounds) > 1 else None)
     return reduce(DataFrame.unionByName, rounds)
 
@@ -214,12 +232,21 @@ def min_cardinality(triples: DataFrame, p: str, n: int, c: str) -> DataFrame:
     return triples.where(F.col("p") == p).groupBy("s").agg(F.count_distinct("o").alias("n")).where(F.col("n") >= n).select("s", F.lit(c).alias("c"))
 
 
-def prune_noise(triples: DataFrame, data_properties: list[str], object_properties: list[str]) -> DataFrame:
-    """Triples with the reason to drop them, or keep: self sameAs, trivial superclass, literal on an object property, IRI on a data property."""
+def prune_noise(triples: DataFrame, data_properties: list[str], object_properties: list[str], datatypes: dict[str, str] | None = None) -> DataFrame:
+    """Triples with the reason to drop them, or keep: an equality or subclass pair of a term with itself, a trivial superclass, a literal subject, a literal on an object
+    property, an IRI on a data property, and, given the data properties' types, a literal whose o_dt is another (null is another too). Properties of both lists keep their triples.
+
+    s_kind, where the triples have it, tells literal subjects.
+    """
     both = set(data_properties) & set(object_properties)
-    reason = F.when((F.col("p") == "sameAs") & (F.col("s") == F.col("o")), "self_same")
+    loop = F.col("s") == F.col("o")
+    reason = F.when((F.col("p") == "sameAs") & loop, "self_same").when((F.col("p") == "equivalentClass") & loop, "self_equivalent")
+    if "s_kind" in triples.columns:
+        reason = reason.when(F.col("s_kind") == "lit", "literal_subject")
     reason = reason.when((F.col("p") == "subClassOf") & F.col("o").isin("Thing", "Resource"), "trivial_superclass")
-    reason = reason.when((F.col("p") == "subClassOf") & (F.col("s") == F.col("o")), "self_subclass")
+    reason = reason.when((F.col("p") == "subClassOf") & loop, "self_subclass")
+    for p, dt in (datatypes or {}).items():
+        reason = reason.when((F.col("p") == p) & (F.col("o_kind") == "lit") & ~F.col("o_dt").eqNullSafe(F.lit(dt)), "other_datatype")
     reason = reason.when(F.col("p").isin(sorted(set(object_properties) - both)) & (F.col("o_kind") == "lit"), "literal_on_object_property")
     reason = reason.when(F.col("p").isin(sorted(set(data_properties) - both)) & (F.col("o_kind") == "iri"), "iri_on_data_property")
     return triples.withColumn("reason", F.coalesce(reason, F.lit("keep")))

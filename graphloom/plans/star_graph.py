@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.sources.tables import table
+from graphloom.sources.tables import inline, table
 
 #: table: (class, key, {foreign key: (property, class)}, {text column: property}, {number column: property})
 MAPPING = {
@@ -79,7 +79,7 @@ def graph_sql() -> str:
 
 def schema_rows(spark: SparkSession) -> dict[str, DataFrame]:
     """The schema as small tables: subclass, domain, range, inverse."""
-    of = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    of = lambda rows, names: inline(spark, rows, ", ".join(f"{n} string" for n in names))
     return {
         "subclass": of(SUBCLASSES, ("a", "b")),
         "domain": of([(p, d) for p, d, _ in OBJECT_PROPERTIES] + DATA_PROPERTIES, ("p", "c")),

@@ -1,5 +1,5 @@
 """All queries over the driver's tables and their oracles."""
 
-from graphloom import catalogue, catalogue_more
+from graphloom import catalogue, catalogue_audit, catalogue_more  # noqa: F401
 
-QUERIES, ORACLES = catalogue_more.QUERIES, catalogue.ORACLES  # the second module adds to the first one's
+QUERIES, ORACLES = catalogue.QUERIES, catalogue.ORACLES  # the other modules add to the first one's

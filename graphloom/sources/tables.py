@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 NT_LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*$'
 
@@ -82,3 +84,13 @@ def write_property_graph(nodes: DataFrame, rels: DataFrame, path: str) -> None:
     """CSV folders nodes and relationships; arrays and maps as JSON."""
     nodes.select(*[F.to_json(c).alias(c) if not isinstance(nodes.schema[c].dataType, type(nodes.schema["uri"].dataType)) else F.col(c) for c in nodes.columns]).write.option("header", True).csv(f"{path}/nodes")
     rels.write.option("header", True).csv(f"{path}/relationships")
+
+
+def inline(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A few rows of the program as a table with the named and typed columns, no row at all included.
+
+    The plan holds them as a local relation of known size, so a join broadcasts them without a job; rows that go through an RDD have no size, and
+    the other side would be shuffled.
+    """
+    schema = StructType.fromDDL(columns)
+    return spark.createDataFrame(pa.table({f.name: pa.array([r[k] for r in rows]) for k, f in enumerate(schema)}), schema)
