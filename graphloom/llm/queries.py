@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_format, decontamination, language_id, line_dedup, mixing, near_duplicates, quality_classifier, quality_rules, secret_scan, token_counts
-from graphloom.llm.common import table
+from graphloom.llm import chat_format, decontamination, language_id, line_dedup, mixing, near_duplicates, periodic_runs
+from graphloom.llm import quality_classifier, quality_rules, secret_scan, token_counts, token_files, whitening
+from graphloom.llm.common import shared_folder, table
 
 ACCEPT = 0.3
 
@@ -70,9 +73,36 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.learn_whitening(vectors)
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    shares = [] if model is None or model.trace <= 0 else (model.eigenvalues / model.trace).tolist()
+    told = [
+        F.lit(model.n if model else None).cast("long").alias("n"),
+        F.expr("try_cast(deviation as bigint)").alias("deviation"),
+        "whitened",
+        F.get(F.lit(shares).cast("array<double>"), F.col("at")).alias("explained"),
+        F.lit(model.identity_error if model else None).cast("double").alias("identity_error"),
+    ]
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), *told)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic_runs.repeated_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary=public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.with_crc32(token_files.token_rows(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_quality_rules, op2_language_id, op3_token_counts, op4_line_dedup, op5_minhash_near_dedup,
         op6_secret_scan, op7_chat_format, op8_quality_classifier, op9_source_mixing, op10_decontamination,
+        op11_embedding_whitening, op12_periodic_runs, op13_token_files,
     )
     return {f.__name__: f for f in own}
