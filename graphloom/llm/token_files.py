@@ -10,10 +10,8 @@ sequence of ids is found without the id lists.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,48 +25,108 @@ VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END = 2
 #: Words up to so many bytes are remembered, and so many of them at most; memory of a worker doesn't follow the input.
 WORD_BYTES, WORDS_HELD = 64, 500_000
+#: ASCII signs that are neither letters nor digits nor white space, and ends of words made of them that are remembered.
+SIGNS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+SIGNS_HELD = 10_000
+#: Texts are encoded so many characters at a time, and new words so many at once.
+CHUNK_CHARS, WORDS_AT_ONCE = 4_000_000, 20_000
 ENCODINGS = ("dictionary", "delta")
 ROW_GROUP_BYTES, ROW_GROUP_ROWS, PAGE_BYTES, PAGE_ROWS = 32 << 20, 50_000, 128 << 10, 1000
 SCHEMA = "part int, doc_id long, first long, n_tokens long, ids array<int>"
 
 
-class WordIds(dict):
-    """Ids of words by the bytes of a word, encoded when first asked for; common words are kept."""
+class WordIds:
+    """Ids of texts, little-endian 32-bit, by the ids of their words; each word is encoded when first met, and words met again are remembered.
 
-    def __init__(self, encode: Callable[[str], list[int]]) -> None:
-        super().__init__()
-        self.encode = encode
+    encode gives ids and places of tokens in a text. letters, if given, gives the ids of a word of a-z, and then a word of ASCII letters
+    with signs behind is those of its letters in lower case and of its signs.
+    """
 
-    def __missing__(self, word: bytes) -> list[int]:
-        ids = self.encode(word.decode())
-        if len(word) <= WORD_BYTES:
-            if len(self) >= WORDS_HELD:
-                self.clear()
-            self[word] = ids
-        return ids
+    def __init__(self, encode: Callable[[str], tuple[list[int], list[tuple[int, int]]]], letters: Callable[[str], list[int]] | None = None) -> None:
+        self.encode, self.letters, self.held, self.signs, self.again = encode, letters, {}, {b"": b""}, set()
+
+    def _learn(self, words: list[bytes]) -> None:
+        if self.letters is not None:
+            rest = []
+            for w in words:
+                stem = w.rstrip(SIGNS)
+                signs = self.signs.get(w[len(stem) :])
+                if stem.isalpha() and len(w) <= WORD_BYTES and signs is not None:
+                    self.held[w] = np.array(self.letters(stem.lower().decode()), dtype="<i4").tobytes() + signs
+                else:
+                    rest.append(w)
+            words = rest
+        self._learn_together(words)
+
+    def _learn_together(self, words: list[bytes]) -> None:
+        """Encode words with a space between; a token belongs to the word that its first character stands in."""
+        texts = [w.decode() for w in words]
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        ids, places = self.encode(" ".join(texts))
+        owner = np.searchsorted(starts, np.array([a for a, _ in places], dtype=np.int64), side="right") - 1
+        bounds = (4 * np.searchsorted(owner, np.arange(len(words) + 1))).tolist()
+        data = np.array(ids, dtype="<i4").tobytes()
+        self.held.update(zip(words, [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], strict=True))
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        words = [t.encode().split() for t in texts]  # bytes part at white space of ASCII only
+        asked = set().union(*words)
+        known = asked & self.held.keys()
+        new = list(asked - known)
+        if self.letters is not None:
+            tails = {w[len(w.rstrip(SIGNS)) :] for w in new} - self.signs.keys()
+            self._learn_together(own := [t for t in tails if len(t) < 4])
+            self.signs |= {t: self.held[t] for t in own} if len(self.signs) < SIGNS_HELD else {}
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            self._learn(new[at : at + WORDS_AT_ONCE])
+        out = [b"".join(map(self.held.__getitem__, own)) for own in words]
+        self.again |= known
+        for w in new:
+            if len(w) > WORD_BYTES:
+                self.held.pop(w, None)
+        if len(self.held) > WORDS_HELD:
+            self.held = {w: self.held[w] for w in self.again} if len(self.again) < WORDS_HELD // 2 else {}
+            self.again = set()
+        return out
 
 
 @lru_cache(maxsize=2)
-def word_ids(vocabulary: bytes) -> tuple[Callable[[str], list[int]], WordIds | None]:
-    """The encoder of a tokenizer's content, and its memory of words where encoding word by word gives the ids of the whole text.
+def text_encoder(vocabulary: bytes) -> Callable[[list[str]], list[bytes]]:
+    """What gives the ids of whole texts, little-endian 32-bit, by a tokenizer's content.
 
-    That holds if the tokenizer drops white space: then no token, normalisation or merge reaches over a space, and ids of a text are those of its
-    parts between spaces, tabs and line ends, one after another. It is tried on the tokenizer itself, else whole texts are encoded.
+    If the tokenizer drops white space, then no token, normalisation or merge reaches over a space: the ids of a text are those of its parts between
+    spaces, tabs and line ends, one after another, and words are remembered. That is tried on the tokenizer itself; else each text is encoded as it stands.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(vocabulary.decode())
-    encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-    drops = not any(encode(space) for space in (" ", "\t", "\n", "\x0b", "\x0c", "\r", " \n "))
-    apart = all(encode(f"a{space}b") == encode("a") + encode("b") for space in " \t\n\x0b\x0c\r")
-    return encode, WordIds(encode) if drops and apart else None
-
-
-def encoded(text: str, encode: Callable[[str], list[int]], memory: WordIds | None) -> array:
-    """The ids of a whole text."""
-    if memory is None:
-        return array("i", encode(text))
-    return array("i", chain.from_iterable(map(memory.__getitem__, text.encode().split())))
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    spaces = " \t\n\x0b\x0c\r"
+    if any(ids(space) for space in (*spaces, " \n ")) or any(ids(f"a{space}b") != ids("a") + ids("b") for space in spaces):
+        return lambda texts: [np.array(ids(t), dtype="<i4").tobytes() for t in texts]
+
+    def placed(text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        found = tokenizer.encode(text, add_special_tokens=False)
+        return found.ids, found.offsets
+
+    letters = lambda word: [t.id for t in tokenizer.model.tokenize(word)]
+    signs = [bytes([c]).decode() for c in SIGNS]
+    tried = [("Ab", "ab"), ("Z", "z"), ("theQUICKbrown", "thequickbrown"), ("xqzjk", "xqzjk")]
+    parted = all(ids(f"{x}{y}{z}") == letters(low) + ids(f"{y}{z}") for x, low in tried for y in signs for z in ("", "*", "'", ">"))
+    return WordIds(placed, letters if parted and all(ids(x) == letters(low) for x, low in tried) else None).of
+
+
+def chunks(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in lists of about CHUNK_CHARS characters together."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= CHUNK_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def write_token_files(
@@ -91,20 +149,14 @@ def write_token_files(
         held = spark.sparkContext.broadcast(file.read())
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, memory = word_ids(held.value)
+        ids_of, tail = text_encoder(held.value), b"" if end is None else np.array([end], dtype="<i4").tobytes()
         context, first = TaskContext.get(), 0
         part = context.partitionId() if context else 0
         for batch in it:
-            values, sizes = array("i"), []
-            for own in batch.column(1).to_pylist():
-                ids = encoded(own or "", encode, memory)
-                if end is not None:
-                    ids.append(end)
-                values.extend(ids)
-                sizes.append(len(ids))
-            sizes = np.array(sizes, dtype=np.int64)
+            own = [ids + tail for part_ in chunks([t or "" for t in batch.column(1).to_pylist()]) for ids in ids_of(part_)]
+            sizes = np.array([len(ids) // 4 for ids in own], dtype=np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            ids = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(np.frombuffer(values, dtype=np.int32)))
+            ids = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(np.frombuffer(b"".join(own), dtype="<i4")))
             starts = pa.array(first + offsets[:-1])
             first += int(offsets[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), batch.column(0), starts, pa.array(sizes), ids], ["part", "doc_id", "first", "n_tokens", "ids"])

@@ -18,6 +18,7 @@ from graphloom.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = Tokenizer.from_file(VOCABULARY)
 
 # --- whitening ----------------------------------------------------------------------------------------------------------------------
 
@@ -182,15 +183,29 @@ def whole_ids(text):
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n\x0b\x0c\r\x1c\x85  ́'sΣσAé!1<|endoftext|>")), max_size=60))
 def test_ids_word_by_word_are_those_of_the_whole_text(text):
     with open(VOCABULARY, "rb") as file:
-        encode, memory = token_files.word_ids(file.read())
-    assert memory is not None
-    assert token_files.encoded(text, encode, memory).tolist() == encode(text)
+        ids_of = token_files.text_encoder(file.read())
+    assert isinstance(ids_of.__self__, token_files.WordIds)
+    assert [np.frombuffer(x, "<i4").tolist() for x in ids_of([text, "", text])] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in (text, "", text)]
+
+
+def test_few_remembered_words_give_the_same_ids(monkeypatch):
+    monkeypatch.setattr(token_files, "WORDS_HELD", 20)
+    monkeypatch.setattr(token_files, "WORDS_AT_ONCE", 7)
+    monkeypatch.setattr(token_files, "WORD_BYTES", 6)
+    placed = lambda text: (TOKENIZER.encode(text, add_special_tokens=False).ids, TOKENIZER.encode(text, add_special_tokens=False).offsets)
+    memory = token_files.WordIds(placed)
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["the", "of", "Élan", "ΣΑΣ", "don't", "ﬁ", "x.y,z", "🙂🙂", "<|endoftext|>"]) + str(rng.integers(0, 30)) for _ in range(8)) for _ in range(3)]
+        assert [np.frombuffer(x, "<i4").tolist() for x in memory.of(texts)] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(memory.held) <= 20 and all(len(w) <= 6 for w in memory.held)
 
 
 def test_a_tokenizer_that_keeps_spaces_encodes_whole_texts():
     with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as file:
-        encode, memory = token_files.word_ids(file.read())
-    assert memory is None and token_files.encoded("a  b\n", encode, memory).tolist() == encode("a  b\n")
+        ids_of = token_files.text_encoder(file.read())
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode("a  b\n", add_special_tokens=False).ids
+    assert not hasattr(ids_of, "__self__") and np.frombuffer(ids_of(["a  b\n"])[0], "<i4").tolist() == whole
 
 
 def test_token_file_query_has_the_ids_of_whole_texts(spark):
