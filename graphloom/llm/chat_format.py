@@ -130,13 +130,14 @@ def format_reply_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
 def digests(conversations: DataFrame, id_column: str) -> DataFrame:
     """What can be read back from formatted conversations: ids, counts and digests of turns and of learned text.
 
-    Every row is read by itself, so repeated rows and null ids stay; conversations must not be null.
+    Every row is read by itself, so repeated rows and null ids stay; a null conversation has no turns, as an empty one.
     """
 
     def read(frames):
         for frame in frames:
             rows = []
             for key, conversation in zip(frame[id_column], frame.conversation, strict=True):
+                conversation = conversation or ""
                 turns, mask = read_back(conversation)
                 learned = "".join(unescaped(conversation[a:b]) for a, b in mask)
                 sha = [hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{r}\n{t}\n" for r, t in turns), learned)]
