@@ -9,6 +9,10 @@ from graphloom.llm.common import SPACES, WORD_BREAK, words, written
 
 BLOCK_TOKENS = 32
 SHARD_TOKENS = 1_000_000
+#: The least positive target has so many blocks at least, down to blocks of one word.
+LEAST_BLOCKS = 16
+#: Shards that are dealt to in one task; more of a source are dealt to by groups first.
+GROUP_SHARDS = 1000
 MAX_PASSES = 3
 
 
@@ -77,8 +81,9 @@ def mixed(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int =
 
     docs: doc_id, text, source; other columns are ignored, whatever their names. A source is split by a seeded hash into shards of about
     shard_tokens words, so that no task orders a whole hot source. The total is cut into blocks of
-    block_tokens words: Sainte-Laguë deals them to the sources by target, then each source's to its
-    shards by size, at most max_passes times what they hold. A shard takes all its documents as often as its quota has whole passes,
+    block_tokens words, or of the least positive target div LEAST_BLOCKS where that is fewer (one word at least), so a small source comes
+    as near its target as a sixteenth of it, or half a word. Sainte-Laguë deals blocks to the sources by target, then each source's to groups
+    of GROUP_SHARDS shards by size, and each group's to its shards, at most max_passes times what they hold. A shard takes all its documents as often as its quota has whole passes,
     and for the rest blocks in seeded order, the last cut where the quota ends; so no document is taken more
     than max_passes times. Null or empty texts have size 0 and are not taken; a null source is a source; repeated rows count each, and of equal
     ones any may be the cut one.
@@ -90,18 +95,26 @@ def mixed(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int =
     sized = written(sized, "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources, max_passes)
-    cap = F.ceil(F.col("source_size") * max_passes / F.lit(block_tokens))
-    dealt = sainte_lague(targets.withColumn("all", F.lit(1)), F.col("target"), F.sum("source_size").over(Window.partitionBy(F.lit(1))) / block_tokens, cap, ["all"])
+    everything = Window.partitionBy(F.lit(1))
+    least = F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything) / LEAST_BLOCKS)
+    targets = targets.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_tokens), least)).cast("long"))
+    most = lambda size: F.ceil(F.col(size) * max_passes / F.col("block"))
+    dealt = sainte_lague(targets.withColumn("all", F.lit(1)), F.col("target"), F.sum("source_size").over(everything) / F.col("block"), most("source_size"), ["all"])
     dealt = dealt.withColumn("n_shards", F.ceil(F.greatest("source_size", F.lit(1)) / F.lit(shard_tokens)))
     dealt = written(dealt.withColumnsRenamed({"source": "of", "quota": "source_quota"}).drop("all"), "source-quotas")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     placed = sized.join(dealt, F.col("source").eqNullSafe(F.col("of"))).withColumn("order", order)
     placed = placed.withColumn("shard", F.pmod(F.conv(F.substring("order", 1, 8), 16, 10).cast("long"), F.col("n_shards"))).drop("of")
-    held = placed.groupBy("source", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))
-    quotas = sainte_lague(held, F.col("shard_size"), F.col("source_quota"), F.ceil(F.col("shard_size") * max_passes / F.lit(block_tokens)), ["source"])
-    quotas = written(quotas.withColumnsRenamed({"source": "of", "shard": "part"}).drop("source_quota"), "shard-quotas")
+    held = placed.groupBy("source", "shard", "source_quota", "block").agg(F.sum("size").alias("shard_size"))
+    held = written(held.withColumn("batch", F.floor(F.col("shard") / GROUP_SHARDS)), "shards")
+    batches = held.groupBy("source", "source_quota", "block", "batch").agg(F.sum("shard_size").alias("batch_size"))
+    batches = sainte_lague(batches, F.col("batch_size"), F.col("source_quota"), most("batch_size"), ["source"])
+    batches = batches.select(F.col("source").alias("of"), F.col("batch").alias("of_batch"), F.col("quota").alias("batch_quota"))
+    shards = held.drop("source_quota").join(batches, F.col("source").eqNullSafe(F.col("of")) & (F.col("batch") == F.col("of_batch"))).drop("of", "of_batch")
+    quotas = sainte_lague(shards, F.col("shard_size"), F.col("batch_quota"), most("shard_size"), ["source", "batch"])
+    quotas = written(quotas.select(F.col("source").alias("of"), F.col("shard").alias("part"), "shard_size", "quota"), "shard-quotas")
     ready = placed.join(quotas, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("part")))
-    take = F.least(F.col("quota") * block_tokens, F.col("shard_size") * max_passes)
+    take = F.least(F.col("quota") * F.col("block"), F.col("shard_size") * max_passes)
     until = F.sum("size").over(Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ready = ready.withColumns({"take": take, "until": until})
     size, whole = F.col("size"), F.greatest("shard_size", F.lit(1))

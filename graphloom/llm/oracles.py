@@ -112,10 +112,12 @@ def op9() -> str:
                  / ((SELECT sum(w) FROM sources) - coalesce((SELECT sum(b.w) FROM sources b WHERE b.s / b.w < a.s / a.w), 0))) AS level
         FROM sources a),
     targets AS (SELECT source, s, least({passes}.0 * s, level * w) AS target FROM sources, levels),
+    -- the least positive target has 16 blocks, unless a block would be less than a word
+    blocks AS (SELECT greatest(1, least({block}, coalesce(floor(min(target) FILTER (target > 0) / {mixing.LEAST_BLOCKS}), {block})))::BIGINT AS block FROM targets),
     seats AS (
         SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source, k) AS r
-        FROM (SELECT source, target, unnest(range(0, ceil({passes} * s / {block}.0)::BIGINT)) AS k FROM targets)),
-    quotas AS (SELECT source, count(*) AS quota FROM seats WHERE r <= (SELECT round(t / {block}) FROM whole) GROUP BY source),
+        FROM (SELECT source, target, unnest(range(0, ceil({passes} * s / block::DOUBLE)::BIGINT)) AS k FROM targets, blocks)),
+    quotas AS (SELECT source, count(*) AS quota FROM seats WHERE r <= (SELECT round(t / block) FROM whole, blocks) GROUP BY source),
     placed AS (
         SELECT d.*, t.s, t.target, coalesce(q.quota, 0) AS quota,
             ('0x' || substr(o, 1, 8))::BIGINT % ceil(greatest(t.s, 1) / {shard}.0)::BIGINT AS shard
@@ -123,10 +125,10 @@ def op9() -> str:
     shards AS (SELECT source, shard, quota, sum(size)::BIGINT AS held FROM placed GROUP BY source, shard, quota),
     parts AS (
         SELECT source, shard, quota, row_number() OVER (PARTITION BY source ORDER BY held / (2 * k + 1) DESC, shard, k) AS r
-        FROM (SELECT *, unnest(range(0, ceil({passes} * held / {block}.0)::BIGINT)) AS k FROM shards)),
+        FROM (SELECT *, unnest(range(0, ceil({passes} * held / block::DOUBLE)::BIGINT)) AS k FROM shards, blocks)),
     dealt AS (SELECT source, shard, count(*) FILTER (r <= quota) AS n FROM parts GROUP BY source, shard),
     ready AS (
-        SELECT p.*, h.held, least(coalesce(e.n, 0) * {block}, {passes} * h.held) AS take,
+        SELECT p.*, h.held, least(coalesce(e.n, 0) * (SELECT block FROM blocks), {passes} * h.held) AS take,
             sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) AS until
         FROM placed p JOIN shards h ON p.source IS NOT DISTINCT FROM h.source AND p.shard = h.shard
         LEFT JOIN dealt e ON p.source IS NOT DISTINCT FROM e.source AND p.shard = e.shard)

@@ -310,6 +310,7 @@ def mix_brute(rows, block=mixing.BLOCK_TOKENS, passes=mixing.MAX_PASSES, seed=7)
         capped |= over
     target = {s: float(passes * size[s]) if s in capped else level * weight[s] for s in size}
     seats = dict.fromkeys(size, 0)
+    block = max(1, min([block, *[int(t // mixing.LEAST_BLOCKS) for t in target.values() if t > 0]]))
     for _ in range(round(total / block)):
         able = [s for s in size if seats[s] < -(-size[s] * passes // block)]
         if able:
