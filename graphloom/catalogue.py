@@ -37,7 +37,7 @@ def query(sql: str) -> Callable[[Query], Query]:
     return add
 
 
-#: Queries that read the graph several times; it is stored once for them, and their filters are pushed into that table.
+#: Queries that read the graph several times; they share a stored one, whose tables are converted once, and their filters are pushed into it.
 SEVERAL_READS = {
     "justify_rules", "classify_triples", "delta", "rl_fixpoint", "rl_domain_range", "inverse_complete", "lpg_inverse_dedup", "type_pollution", "check_range", "check_domain", "check_cardinality",
     "check_inference", "check_bidirectional", "check_report", "check_report_score", "check_numeric_outliers", "dict_numeric_stats", "check_prop_completeness", "check_relationship_outliers", "mutation_sensitivity", "sparql_bgp", "sparql_orders_per_nation", "class_links", "two_hop_paths", "graph_diff", "swrl_rule", "closure_transitive", "statement_ids", "merged_terms", "intersection_of",
@@ -49,8 +49,8 @@ def on_graph(name: str, sql: str, plan: Callable[[DataFrame, dict[str, DataFrame
     """Register a plan over the graph's triples and its schema tables; sql follows the common table expressions g, ty and e."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        triples = sg.graph(spark, sf_dir)
-        return plan(stored(triples, "graph", "p") if name in SEVERAL_READS else triples, sg.schema_rows(spark))
+        triples = (sg.kept_graph if name in SEVERAL_READS else sg.graph)(spark, sf_dir)
+        return plan(triples, sg.schema_rows(spark))
 
     QUERIES[name] = run
     ORACLES[name] = f"{G}{sql}"
@@ -668,7 +668,8 @@ on_graph(
 )
 on_graph(
     "graph_hash",
-    """, h AS (SELECT sha256(s || '|' || p || '|' || o) AS h FROM (SELECT DISTINCT s, p, o FROM g)),
+    """, line AS (SELECT DISTINCT '<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'lit' THEN '"' || replace(replace(o, '\\', '\\\\'), '"', '\\"') || '"' ELSE '<' || o || '>' END || ' .' AS line FROM g),
+    h AS (SELECT sha256(line) AS h FROM line),
     c AS (SELECT substr(h, 1, 6) || sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY substr(h, 1, 6)),
     d AS (SELECT substr(h, 1, 3) || sha256(string_agg(h, '' ORDER BY h)) AS h, sum(n) AS n FROM c GROUP BY substr(h, 1, 3))
     SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM d""",
@@ -696,9 +697,13 @@ on_graph(
 )
 on_graph(
     "lpg_inverse_dedup", " SELECT s AS start, o AS \"end\", p AS type FROM e",
-    lambda t, k: an.lpg_rels(rs.inverse_complete(t, k["inverse"]), k["inverse"]),
+    lambda t, k: an.lpg_rels(rs.inverse_complete(t, k["inverse"]), k["inverse"], ["inNation", "placedBy"]),
 )
-on_graph("lpg_rels", " SELECT s AS start, o AS \"end\", p AS type FROM e WHERE s <> o", lambda t, k: an.lpg_rels(t, k["inverse"]))
+on_graph(
+    "lpg_rels",
+    """ SELECT CASE WHEN p = 'placedBy' THEN o ELSE s END AS start, CASE WHEN p = 'placedBy' THEN s ELSE o END AS "end", CASE WHEN p = 'placedBy' THEN 'placed' ELSE p END AS type FROM e WHERE s <> o""",
+    lambda t, k: an.lpg_rels(t, k["inverse"].union(k["inverse"].select("q", "p"))),
+)  # pairs are declared both ways, and the lesser name stays
 on_graph("lpg_sparse", " SELECT ty.c, g.p, count(DISTINCT g.s) / (SELECT count(*) FROM ty y WHERE y.c = ty.c)::DOUBLE AS share FROM g JOIN ty ON g.s = ty.node WHERE o_kind = 'lit' GROUP BY ty.c, g.p HAVING count(DISTINCT g.s) / (SELECT count(*) FROM ty y WHERE y.c = ty.c)::DOUBLE < 0.995", lambda t, _: an.sparse_properties(t, 0.995))
 KINDS_SQL = "CASE WHEN p LIKE 's%' AND o IN ('X', '1.00') THEN 'other' WHEN o_num IS NULL THEN 'string' ELSE 'decimal' END"
 SOURCES = [("Customer", "customer"), ("Order", "orders"), ("Part", "part"), ("Nation", "nation")]

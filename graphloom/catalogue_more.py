@@ -236,21 +236,36 @@ on_graph(
     lambda t, _: ev.entailment_cases(t, _local(t, CASES, "case string, s string, p string, o string, expected boolean")),
 )
 
-ALERTS_SQL = """WITH h AS (SELECT 'S' || s_suppkey AS equipment, 'P' || s_nationkey % 3 AS pattern FROM supplier), t AS (SELECT 'S' || s_suppkey AS equipment, s_nationkey AS tag FROM supplier UNION SELECT 'S' || s_suppkey, s_suppkey % 50 FROM supplier),
-a AS (SELECT event_id, user_id % 50 AS tag, CASE WHEN event_id % 50 <> 0 THEN ts END AS ts FROM events WHERE event_type = 'error'),
-p AS (SELECT * FROM (VALUES ('P0', 5, 24, 'heat'), ('P1', 20, 720, 'wear'), ('P2', 1, 96, 'leak')) AS p(pattern, threshold, hours, failure))
-SELECT equipment, pattern, failure, count(*) AS n_alarms FROM h JOIN p USING (pattern) JOIN t USING (equipment) JOIN a USING (tag)
-WHERE a.ts IS NULL OR a.ts >= TIMESTAMP '2024-01-31 00:00:00' - to_hours(hours) GROUP BY equipment, pattern, failure, threshold HAVING count(*) >= threshold"""
+ALERTS_SQL = """WITH h AS (SELECT 'S' || s_suppkey AS equipment, 'P' || s_nationkey % 4 AS pattern FROM supplier), t AS (SELECT 'S' || s_suppkey AS equipment, s_nationkey AS tag FROM supplier UNION SELECT 'S' || s_suppkey, s_suppkey % 50 FROM supplier),
+a AS (SELECT event_id, user_id % 50 AS tag, CASE WHEN event_id % 50 <> 0 THEN ts END AS ts FROM events WHERE event_type = 'error' AND user_id % 50 <> 7),
+p AS (SELECT * FROM (VALUES ('P0', 5, 24, 'heat'), ('P1', 20, NULL, 'wear'), ('P2', 1, 96, 'leak'), ('P3', 0, 1000, 'noise'), ('P9', 1, 1, 'none')) AS p(pattern, threshold, hours, failure)),
+n AS (SELECT equipment, pattern, failure, threshold, count(event_id) FILTER (hours IS NULL OR hours >= 720 OR ts IS NULL OR ts >= TIMESTAMP '2024-01-31 00:00:00' - to_hours(hours)) AS n_alarms
+  FROM h JOIN p USING (pattern) LEFT JOIN t USING (equipment) LEFT JOIN a USING (tag) GROUP BY equipment, pattern, failure, threshold)
+"""
+PATTERNS = [("P0", 5, 24, "heat"), ("P1", 20, None, "wear"), ("P2", 1, 96, "leak"), ("P3", 0, 1000, "noise"), ("P9", 1, 1, "none")]
 
 
-@query(ALERTS_SQL)
+def _patterns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as equipment with a pattern by nation; and the patterns, of which one has no window, one is beyond the longest, and one is nobody's."""
+    holders = table(spark, sf_dir, "supplier").selectExpr("concat('S', s_suppkey) as equipment", "concat('P', s_nationkey % 4) as pattern")
+    return holders, inline(spark, PATTERNS, "pattern string, threshold long, hours int, failure string")
+
+
+@query(f"{ALERTS_SQL} SELECT *, n_alarms >= threshold AS alert FROM n")
 def failure_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as equipment, tagged by nation and number; errors as alarms, tagged by user; the second pattern has no window of its own."""
-    supplier = table(spark, sf_dir, "supplier").selectExpr("concat('S', s_suppkey) as equipment", "concat('P', s_nationkey % 3) as pattern", "s_nationkey as nation", "s_suppkey % 50 as number")
+    """Equipment tagged by nation and number; errors as alarms, tagged by user, none with tag 7."""
+    holders, patterns = _patterns(spark, sf_dir)
+    supplier = table(spark, sf_dir, "supplier").selectExpr("concat('S', s_suppkey) as equipment", "s_nationkey as nation", "s_suppkey % 50 as number")
     tags = supplier.selectExpr("equipment", "cast(nation as long) as tag").union(supplier.selectExpr("equipment", "cast(number as long)"))
-    alarms = table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr("event_id as alarm", "cast(user_id % 50 as long) as tag", "CASE WHEN event_id % 50 <> 0 THEN ts END as ts")
-    patterns = inline(spark, [("P0", 5, 24, "heat"), ("P1", 20, None, "wear"), ("P2", 1, 96, "leak")], "pattern string, threshold long, hours int, failure string")
-    return ev.failure_alerts(supplier.select("equipment", "pattern"), patterns, tags, alarms, "2024-01-31 00:00:00")
+    errors = table(spark, sf_dir, "events").where("event_type = 'error' and user_id % 50 <> 7")
+    alarms = errors.selectExpr("event_id as alarm", "cast(user_id % 50 as long) as tag", "CASE WHEN event_id % 50 <> 0 THEN ts END as ts")
+    return ev.failure_alerts(holders, patterns, tags, alarms, "2024-01-31 00:00:00")
+
+
+@query(f"{ALERTS_SQL} SELECT pattern, failure FROM p WHERE pattern NOT IN (SELECT pattern FROM h)")
+def unassigned_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    holders, patterns = _patterns(spark, sf_dir)
+    return ev.unassigned_patterns(patterns, holders).select("pattern", "failure")
 
 
 def _parity(t: DataFrame, _: dict[str, DataFrame]) -> DataFrame:

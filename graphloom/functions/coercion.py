@@ -51,15 +51,20 @@ def to_boolean(value: Column) -> Column:
 
 
 def to_timestamp(value: Column, order: str | None = None) -> Column:
-    """First format that reads it; an offset or Z after a T form is left out. Day and month before a year, parted by one of / . -, are
+    """First format that reads it. A T form with an offset or Z becomes the time in UTC. Day and month before a year, parted by one of / . -, are
     ambiguous with both in 1..12: null unless order is dmy or mdy (any other counts as unset), and then read by that order alone."""
-    text = F.regexp_replace(F.trim(value), r"^(\d{4}-\d\d-\d\dT.*?)(Z|[+-]\d\d:\d\d)$", "$1")
+    zone = r"^(\d{4}-\d\d-\d\dT.*?)(?:Z|([+-])(\d\d):(\d\d))$"
+    given = F.trim(value)
+    text = F.regexp_replace(given, zone, "$1")
+    sign, hours, minutes = (F.regexp_extract(given, zone, k) for k in (2, 3, 4))
+    behind = F.when(sign == "-", 1).otherwise(-1) * (hours.try_cast("int") * 60 + minutes.try_cast("int"))
     read = lambda of, form: F.try_to_timestamp(of, F.lit(form))
     first, second, year = (F.regexp_extract(text, TWO_PARTS, k) for k in (1, 3, 4))
     by_day, by_month = (read(F.concat_ws("-", year, month, day), "yyyy-M-d") for month, day in ((second, first), (first, second)))
     both = first.try_cast("int").between(1, 12) & second.try_cast("int").between(1, 12)
     parted = by_day if order == "dmy" else by_month if order == "mdy" else F.when(~both, F.coalesce(by_day, by_month))
-    return F.when(text.rlike(TWO_PARTS), parted).otherwise(F.coalesce(*[read(text, f) for f in DATE_FORMATS])).cast("timestamp_ntz")
+    found = F.when(text.rlike(TWO_PARTS), parted).otherwise(F.coalesce(*[read(text, f) for f in DATE_FORMATS])).cast("timestamp_ntz")
+    return F.when(sign == "", found).otherwise(found + F.make_dt_interval(F.lit(0), F.lit(0), behind))
 
 
 def normal_value(value: Column) -> Column:

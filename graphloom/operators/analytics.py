@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.coercion import jaccard, trigrams
 from graphloom.operators import quantiles as qu
 from graphloom.operators.reasoning import superclasses
+from graphloom.sources.tables import ntriples_lines
 
 #: Confidence by source of a statement.
 CONFIDENCE = {"csv": 1.0, "fk_verified": 0.95, "rl": 0.85}
@@ -144,10 +145,17 @@ def lpg_nodes(t: DataFrame, subclass: DataFrame | None = None) -> DataFrame:
     return labels.join(props, "uri", "full")
 
 
-def lpg_rels(t: DataFrame, inverse: DataFrame) -> DataFrame:
-    """start, end, type of edges: loops go, and of an inverse pair only the first property's direction stays."""
+def lpg_rels(t: DataFrame, inverse: DataFrame, canonical: list[str] | None = None) -> DataFrame:
+    """start, end, type of edges: loops go, and of an inverse pair (p, q), declared one way or both, one property's direction stays.
+
+    It is the lesser name's, or that of a property named in canonical. A property that is its own inverse keeps its edges; one with several
+    inverses is turned into the least that stays.
+    """
     e = t.where("o_kind = 'iri' and p <> 'type' and s <> o").select("s", "p", "o")
-    flip = inverse.select(F.col("q").alias("p"), F.col("p").alias("to"))
+    low, high, wanted = F.least("p", "q"), F.greatest("p", "q"), canonical or []
+    turned = high.isin(wanted) & ~low.isin(wanted)
+    pairs = inverse.where("p <> q").select(F.when(turned, low).otherwise(high).alias("p"), F.when(turned, high).otherwise(low).alias("to"))
+    flip = pairs.groupBy("p").agg(F.min("to").alias("to"))
     own = e.join(flip, "p", "left")
     return own.select(F.when(F.col("to").isNull(), F.col("s")).otherwise(F.col("o")).alias("start"), F.when(F.col("to").isNull(), F.col("o")).otherwise(F.col("s")).alias("end"), F.coalesce("to", "p").alias("type")).distinct()
 
@@ -167,13 +175,14 @@ def graph_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def graph_hash(t: DataFrame) -> DataFrame:
-    """One row: n and a digest of the graph, whatever its order: SHA-256 over the sorted SHA-256 of its statements, by chunks.
+    """One row: n and a digest of the graph, whatever its order: SHA-256 over the sorted SHA-256 of its N-Triples lines, by chunks.
 
-    Statements are dealt to 16**6 chunks by the start of their hash, chunks to 16**3 groups, and each level hashes its sorted parts, so no task
-    sorts the whole graph. For graphs without blank nodes.
+    Lines tell IRIs, literals, data types and languages apart, whatever characters terms hold. They are dealt to 16**6 chunks by the start of
+    their hash, chunks to 16**3 groups, and each level hashes its sorted parts, so no task sorts the whole graph. Blank nodes count by
+    their labels; blank.canonical gives labels that do not depend on the given ones.
     """
     level = lambda df, keep, parts: df.groupBy(F.substring(parts, 1, keep).alias("at")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(parts)), ""), 256).alias("h"), F.sum("n").alias("n"))
-    own = t.select("s", "p", "o").distinct().select(F.sha2(F.concat_ws("|", "s", "p", "o"), 256).alias("h"), F.lit(1).alias("n"))
+    own = ntriples_lines(t).distinct().select(F.sha2("value", 256).alias("h"), F.lit(1).alias("n"))
     chunks = level(own, 6, "h").select(F.concat("at", "h").alias("h"), "n")
     groups = level(chunks, 3, "h").select(F.concat("at", "h").alias("h"), "n")
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("digest"))

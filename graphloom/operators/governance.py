@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.analytics import lpg_rels
 from graphloom.operators.reasoning import superclasses
 
 #: Which origins state what is closed (recorded), open (said by people or models) or inferred.
@@ -78,10 +79,8 @@ def graph_context(rels: DataFrame, main: DataFrame) -> DataFrame:
 
 
 def property_graph_check(t: DataFrame, nodes: DataFrame, rels: DataFrame, flipped: DataFrame) -> DataFrame:
-    """what, expected, found, lost of a property graph against its triples: nodes, relationships (loops and the second of an inverse pair (p, q) apart) and property values."""
-    e = t.where("o_kind = 'iri' and p <> 'type' and s <> o").join(flipped.select(F.col("q").alias("p"), F.col("p").alias("to")), "p", "left")
-    edges = e.select(F.when(F.col("to").isNull(), F.col("s")).otherwise(F.col("o")).alias("a"), F.when(F.col("to").isNull(), F.col("o")).otherwise(F.col("s")).alias("b"), F.coalesce("to", "p").alias("p")).distinct()
-    due = [("nodes", t.where("p = 'type' or o_kind = 'lit'").select("s").distinct()), ("relationships", edges), ("values", t.where("o_kind = 'lit'").select("s", "p", "o").distinct())]
+    """what, expected, found, lost of a property graph against its triples: nodes, relationships (loops and the second direction of inverse pairs (p, q) apart) and property values."""
+    due = [("nodes", t.where("p = 'type' or o_kind = 'lit'").select("s").distinct()), ("relationships", lpg_rels(t, flipped)), ("values", t.where("o_kind = 'lit'").select("s", "p", "o").distinct())]
     values = nodes.where("props is not null").select(F.explode(F.map_values("props")).alias("v")).select(F.explode("v").alias("v"))
     count = lambda df, what, name: df.agg(F.count("*").alias(name)).select(F.lit(what).alias("what"), name)
     expected = reduce(DataFrame.unionByName, [count(df, what, "expected") for what, df in due])

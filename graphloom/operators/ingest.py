@@ -15,6 +15,15 @@ from graphloom.operators.reasoning import superclasses
 
 #: Name ends of keys and of audit columns, which make keys last.
 KEY_ENDS, AUDIT_ENDS = ("id", "code"), ("object_id", "program_id", "transaction_id", "wip_entity_id", "archived_employee_num")
+#: Names of time columns, and name ends of classes that their id column lacks.
+TIME_COLUMNS = (
+    "timestamp", "datetime", "measurementdatetime", "testdatetime", "occurrencedatetime",
+    "departuretime", "generationdate", "maintenancedate", "orderdate", "plandate",
+)
+CLASS_ENDS = (
+    "master", "map", "history", "results", "events", "data", "status",
+    "quality", "plan", "result", "monitoring", "management", "transaction",
+)
 
 
 def explicit_key(columns: list[str], wanted: list[str]) -> list[str] | None:
@@ -41,19 +50,38 @@ def detected_key(df: DataFrame, c: str, suffixes: tuple[str, ...] = ("master", "
     return names[max(range(len(names)), key=lambda k: (row[f"c{k}"], -k))]
 
 
-def row_key(key: str | list[str], authoritative: bool = False, time: str | None = None) -> Column:
-    """The local name of a row: its key's parts made safe and joined by _; null without any of them.
+def _told(c: str) -> Column:
+    return F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
 
-    The time column is added to a composite key, unless the key is authoritative, holds a time itself, or the row has none.
+
+def row_time(columns: list[str]) -> Column | None:
+    """The time of a row: the first named time column that it fills, else the first column with date or time in its name that holds 10 characters or more."""
+    held = {c.lower(): c for c in columns}
+    named = [safe_local(_told(held[c])) for c in TIME_COLUMNS if c in held]
+    like = [_told(c) for low, c in held.items() if "date" in low or "time" in low]
+    found = named + [F.when(F.length(c) >= 10, safe_local(c)) for c in like]
+    return F.coalesce(*found) if found else None
+
+
+def row_key(key: str | list[str] | None, authoritative: bool = False, time: str | None = None, c: str | None = None, columns: list[str] | None = None) -> Column:
+    """The local name of a row: its key's parts made safe and joined by _.
+
+    Where the key is not given, or a row lacks a part of it, the name falls back, given the table's columns: to the id column of the class c without
+    its suffix (FooMaster: fooid), then to the first id or code column that the row fills; null if there is none. The time is added to a
+    composite key and to a fallback, unless the key is authoritative, holds a time itself, or the row has none; it is the column time, or
+    else found by row_time in the columns.
     """
-    parts = [key] if isinstance(key, str) else key
-    told = [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in parts]
-    name = F.when(F.forall(F.array(*told), lambda x: x.isNotNull()), F.concat_ws("_", *[safe_local(x) for x in told]))
-    timed = any(x in c.lower() for c in parts for x in ("timestamp", "datetime"))
-    if isinstance(key, str) or authoritative or timed or time is None:
-        return name
-    at = F.nullif(F.trim(F.col(time).cast("string")), F.lit(""))
-    return F.when(name.isNotNull(), F.concat_ws("_", name, safe_local(at)))
+    parts = [key] if isinstance(key, str) else key or []
+    told = [_told(x) for x in parts]
+    own = F.when(F.forall(F.array(*told), lambda x: x.isNotNull()), F.concat_ws("_", *[safe_local(x) for x in told])) if told else F.lit(None).cast("string")
+    held = {x.lower(): x for x in columns or []}
+    bases = [c.lower()[: -len(end)] for end in CLASS_ENDS if c and c.lower().endswith(end)][:1]
+    names = [f"{b}id" for b in bases if b and f"{b}id" in held] + [x for x in held if x.endswith(KEY_ENDS)]
+    fallback = F.coalesce(*[safe_local(_told(held[x])) for x in names]) if names else F.lit(None).cast("string")
+    at = safe_local(_told(time)) if time else row_time(columns or [])
+    timed = lambda name: name if authoritative or at is None else F.when(name.isNotNull(), F.concat_ws("_", name, at))
+    holds = any(x.lower() in TIME_COLUMNS or "timestamp" in x.lower() or "datetime" in x.lower() for x in parts)
+    return F.coalesce(own if isinstance(key, str) or holds else timed(own), timed(fallback))
 
 
 def fk_class(column: str, patterns: dict[str, str], ends: dict[str, str]) -> str | None:

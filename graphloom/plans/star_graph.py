@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans import graph_store
 from graphloom.sources.tables import inline, table
 
 #: table: (class, key, {foreign key: (property, class)}, {text column: property}, {number column: property})
@@ -38,28 +39,44 @@ def _defect(fk: str) -> tuple[str, str]:
     return (fk, fk)
 
 
+def table_triples(rows: DataFrame, name: str) -> list[DataFrame]:
+    """The triples of one table of MAPPING, a branch for each predicate (two for the defects of status)."""
+    own, key, fks, texts, numbers = MAPPING[name]
+    none = F.lit(None).cast("double")
+    s = F.concat(F.lit(f"{own}_"), F.col(key).cast("string"))
+
+    def branch(p: str, o: Column, kind: str, num: Column = none) -> DataFrame:
+        return rows.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), num.alias("o_num")).where("o is not null")
+
+    parts = [branch("type", F.lit(own), "iri")]
+    parts += [branch(p, F.concat(F.lit(f"{target}_"), F.expr(_defect(fk)[0]).cast("string")), "iri") for fk, (p, target) in fks.items()]
+    for c, p in texts.items():
+        if p == "status":
+            parts.append(branch(p, F.when(F.col("o_orderkey") % 89 != 0, F.col(c)), "lit"))
+            parts.append(branch(p, F.when(F.col("o_orderkey") % 83 == 0, F.lit("X")), "lit"))
+        else:
+            parts.append(branch(p, F.col(c), "lit"))
+    exact = lambda c: F.col(c).cast("decimal(18,2)")
+    return parts + [branch(p, exact(c).cast("string"), "lit", exact(c).cast("double")) for c, p in numbers.items()]
+
+
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples s, p, o, o_kind (iri or lit), o_num (double).
 
     Each predicate is a branch that scans its own columns, so a filter on p leaves the others' tables unread. The keys of MAPPING are unique in
     their tables, so no triple is made twice and none has to be compared with others.
     """
-    none = F.lit(None).cast("double")
-    parts = []
-    for name, (own, key, fks, texts, numbers) in MAPPING.items():
-        s = F.concat(F.lit(f"{own}_"), F.col(key).cast("string"))
-        rows = table(spark, sf_dir, name)
-        branch = lambda p, o, kind, num=none: rows.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), num.alias("o_num")).where("o is not null")  # noqa: B023, E731
-        parts.append(branch("type", F.lit(own), "iri"))
-        parts += [branch(p, F.concat(F.lit(f"{target}_"), F.expr(_defect(fk)[0]).cast("string")), "iri") for fk, (p, target) in fks.items()]
-        for c, p in texts.items():
-            if p == "status":
-                parts.append(branch(p, F.when(F.col("o_orderkey") % 89 != 0, F.col(c)), "lit"))
-                parts.append(branch(p, F.when(F.col("o_orderkey") % 83 == 0, F.lit("X")), "lit"))
-            else:
-                parts.append(branch(p, F.col(c), "lit"))
-        parts += [branch(p, F.col(c).cast("decimal(18,2)").cast("string"), "lit", F.col(c).cast("decimal(18,2)").cast("double")) for c, p in numbers.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [x for name in MAPPING for x in table_triples(table(spark, sf_dir, name), name)])
+
+
+def kept_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same triples from the shared store: tables whose files have not changed since they were converted are not read again."""
+
+    def convert(name: str) -> graph_store.Conversion:
+        return lambda spark, path: reduce(DataFrame.unionByName, table_triples(spark.read.parquet(path), name))
+
+    of = lambda name: (convert(name), f"{name}: {MAPPING[name]}, {_defect('o_custkey')[0]}, version 1")
+    return graph_store.load(spark, {f"{sf_dir}/{name}.parquet": of(name) for name in MAPPING})[0]
 
 
 def graph_sql() -> str:

@@ -7,16 +7,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-NT_LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*$'
+#: A line of N-Triples: white space between terms may be absent, and a comment may follow.
+NT_NODE = r'<[^<>"\s]*>|_:[^\s<>"]*[^\s<>".]'
+NT_LITERAL = r'"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^<>"\s]*>)?'
+NT_LINE = rf'^\s*({NT_NODE})\s*<([^<>"\s]*)>\s*({NT_NODE}|{NT_LITERAL})\s*\.\s*(?:#.*)?$'
+NT_NOTHING = r"^\s*(?:#.*)?$"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV table with a header, every cell a string; a byte order mark in the first name is dropped."""
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+def read_csv(spark: SparkSession, path: str, lines_in_cells: bool = True) -> DataFrame:
+    """A CSV table with a header, every cell a string; a byte order mark in the first name is dropped.
+
+    Quoted cells may hold commas, line ends and doubled quotes; backslashes are plain. Where no cell holds a line end, lines_in_cells=False
+    lets Spark split a large file among tasks.
+    """
+    df = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", lines_in_cells).csv(path)
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
@@ -30,7 +38,7 @@ def distinct_files(spark: SparkSession, path: str, preferred: list[str] | None =
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Triples s, p, o, o_kind, o_dt, o_lang of N-Triples files, escapes decoded; comments and malformed lines are skipped."""
+    """Triples s, p, o, o_kind, o_dt, o_lang of N-Triples files, escapes decoded; comments are skipped, and malformed lines too, which malformed_ntriples returns."""
     part = lambda k: F.regexp_extract("value", NT_LINE, k)
     rows = spark.read.text(path).where(F.col("value").rlike(NT_LINE)).select(part(1).alias("s"), part(2).alias("p"), part(3).alias("raw"))
     literal = F.col("raw").startswith('"')
@@ -46,6 +54,12 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     ).distinct()
 
 
+def malformed_ntriples(spark: SparkSession, path: str) -> DataFrame:
+    """path, value of the lines of N-Triples files that are neither a triple nor a comment nor blank."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return lines.where(~F.col("value").rlike(NT_LINE) & ~F.col("value").rlike(NT_NOTHING))
+
+
 #: Escapes of N-Triples by their letter.
 ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 ESCAPE = r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"
