@@ -351,12 +351,12 @@ ENTAILED = f"""{UP}, b AS (SELECT s, p, o FROM g UNION SELECT e.o, i.q, e.s FROM
     f AS (SELECT s, p, o FROM d UNION SELECT s, 'type', up.b FROM d JOIN up ON d.p = 'type' AND d.o = up.a UNION SELECT x.s, 'inRegionOf', y.o FROM e x JOIN e y ON x.o = y.s WHERE x.p = 'inNation' AND y.p = 'inRegion')"""
 
 
-def _entailed(t: DataFrame, k: dict[str, DataFrame]) -> DataFrame:
+def _entailed(t: DataFrame, k: dict[str, DataFrame], kept: bool = False) -> DataFrame:
     chain = inline(t.sparkSession, CHAIN, "p string, q string, r string")
-    return rs.fixpoint(t, k | {"chain": chain})
+    return rs.fixpoint(t, k | {"chain": chain}, kept)
 
 
-on_graph("rl_fixpoint", f"{ENTAILED} SELECT s, p, o FROM f", lambda t, k: _entailed(t, k).select("s", "p", "o"))
+on_graph("rl_fixpoint", f"{ENTAILED} SELECT s, p, o FROM f", lambda t, k: _entailed(t, k, True).select("s", "p", "o"))
 on_graph("rl_domain_range", f" SELECT s, c FROM g JOIN {DOM} USING (p) UNION SELECT o, c FROM e JOIN {RAN} USING (p)", lambda t, k: rs.one_step(t, t, {x: k[x] for x in ("domain", "range")}).select("s", F.col("o").alias("c")).distinct())
 on_graph(
     "rl_chain", " SELECT DISTINCT x.s, y.o FROM e x JOIN e y ON x.o = y.s WHERE x.p = 'inNation' AND y.p = 'inRegion'",
@@ -382,9 +382,9 @@ on_graph(
 )
 on_graph(
     "classify_triples", f"{ENTAILED} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN s = o OR (p = 'type' AND o = 'Agent') THEN 'trivial' WHEN p = 'type' AND o NOT IN ('Party', 'Customer') THEN 'suspicious' ELSE 'meaningful' END AS kind FROM f WHERE (s, p, o) NOT IN (SELECT s, p, o FROM g)) GROUP BY kind",
-    lambda t, k: rs.classified(rs.delta(_entailed(t, k), t), ["Agent"], ["Party", "Customer"]).groupBy("kind").agg(F.count("*").alias("n")),
+    lambda t, k: rs.classified(rs.delta(_entailed(t, k, True), t), ["Agent"], ["Party", "Customer"]).groupBy("kind").agg(F.count("*").alias("n")),
 )
-on_graph("delta", f"{ENTAILED} SELECT p, count(*) AS n FROM f WHERE (s, p, o) NOT IN (SELECT s, p, o FROM g) GROUP BY p", lambda t, k: rs.delta(_entailed(t, k), t).groupBy("p").agg(F.count("*").alias("n")))
+on_graph("delta", f"{ENTAILED} SELECT p, count(*) AS n FROM f WHERE (s, p, o) NOT IN (SELECT s, p, o FROM g) GROUP BY p", lambda t, k: rs.delta(_entailed(t, k, True), t).groupBy("p").agg(F.count("*").alias("n")))
 on_graph(
     "explosion_risk", " SELECT transitive_pct, symmetric_pct, CASE WHEN transitive_pct > 10 THEN 'HIGH' WHEN transitive_pct > 2 OR symmetric_pct > 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM (SELECT count(*) FILTER (p = 'inRegion') * 100.0 / count(*) AS transitive_pct, count(*) FILTER (p = 'placedBy') * 100.0 / count(*) AS symmetric_pct FROM g)",
     lambda t, _: rs.explosion_risk(t, ["inRegion"], ["placedBy"]),

@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.catalogue import CHAIN, ENTAILED, G, ORACLES, QUERIES, Query, _values
+from graphloom.catalogue import CHAIN, DOM, ENTAILED, G, ORACLES, QUERIES, RAN, SUB, Query, _values
 from graphloom.operators import consistency as cs
 from graphloom.operators import maintenance as mt
 from graphloom.operators import reasoning as rs
 from graphloom.operators import rule_engine as re_
+from graphloom.operators import tiers as ti
 from graphloom.plans import star_graph as sg
 from graphloom.sources.tables import inline
 from graphloom.storage import shared_folder, stored
@@ -182,3 +183,64 @@ ORACLES["incremental_run"] = f"""{G}, pl AS (SELECT o_orderkey, 'Order_' || o_or
 w AS (SELECT s, o FROM e WHERE p IN ('inNation', 'inRegion') UNION SELECT x.s, y.o FROM e x JOIN e y ON x.o = y.s WHERE x.p = 'inNation' AND y.p = 'inRegion'),
 fr AS (SELECT c FROM pl WHERE c IN (SELECT node FROM ty) GROUP BY c HAVING count(DISTINCT s) >= 3)
 SELECT s, 'within' AS p, o FROM w UNION SELECT pl.s, 'reaches', w.o FROM pl JOIN w ON pl.c = w.s UNION SELECT c, 'type', 'Frequent' FROM fr UNION SELECT pl.s, 'type', 'Busy' FROM pl JOIN fr USING (c)"""
+
+
+# --- justifications with premises ---------------------------------------------------------------------------------------------------
+
+WHY = f""", d AS (SELECT s, c AS o, 1 AS rank, ['(' || s || ', ' || p || ', _) stated', '(' || p || ', domain, ' || c || ') in the schema'] AS why FROM g JOIN {DOM} USING (p)),
+r AS (SELECT o AS s, c AS o, 2 AS rank, ['(_, ' || p || ', ' || o || ') stated', '(' || p || ', range, ' || c || ') in the schema'] AS why FROM e JOIN {RAN} USING (p)),
+b AS (SELECT node AS s, b AS o, 3 AS rank, ['(' || node || ', type, ' || a || ') stated', '(' || a || ', subClassOf, ' || b || ') in the schema'] AS why FROM ty JOIN {SUB} ON c = a),
+made AS (SELECT node AS s, c AS o, 0 AS rank, []::VARCHAR[] AS why FROM ty UNION ALL FROM d UNION ALL FROM r UNION ALL FROM b),
+best AS (SELECT * FROM made QUALIFY row_number() OVER (PARTITION BY s, o ORDER BY rank, why) = 1),
+asked AS (SELECT s, o FROM d UNION SELECT s, o FROM r UNION SELECT s, o FROM b UNION SELECT node, 'Agent' FROM ty),
+told AS (SELECT s, o, CASE rank WHEN 0 THEN 'already_exists' WHEN 1 THEN 'domain' WHEN 2 THEN 'range' WHEN 3 THEN 'subclass' ELSE 'unknown' END AS rule, coalesce(array_to_string(why, '; '), '') AS premises, CASE WHEN rank IS NULL THEN 'low' ELSE 'high' END AS confidence FROM asked LEFT JOIN best USING (s, o))"""
+
+
+def _asked(t: DataFrame, k: dict[str, DataFrame]) -> DataFrame:
+    """Types that three rules conclude in a step, and a type of everything, which some of them do not explain."""
+    step = rs.one_step(t, t, {x: k[x] for x in ("domain", "range", "subclass")}).select("s", "p", "o")
+    return step.union(t.where("p = 'type'").select("s", "p", F.lit("Agent"))).distinct()
+
+
+def _told(found: DataFrame) -> DataFrame:
+    return found.select("s", "o", "rule", F.array_join("premises", "; ").alias("premises"), "confidence")
+
+
+@on_kept_graph(f"{WHY} SELECT * FROM told")
+def justify_premises(t: DataFrame, k: dict[str, DataFrame]) -> DataFrame:
+    return _told(rs.justified(_asked(t, k), t, k))
+
+
+@on_kept_graph(f"{WHY} SELECT * FROM told WHERE s = 'Customer_7' AND o = 'Party'")
+def justify_one(t: DataFrame, k: dict[str, DataFrame]) -> DataFrame:
+    """One triple explained."""
+    return _told(rs.justified(inline(t.sparkSession, [("Customer_7", "type", "Party")], "s string, p string, o string"), t, k))
+
+
+# --- tiers --------------------------------------------------------------------------------------------------------------------------
+
+DECLARED = [(c,) for c in ("Region", "Nation", "Customer", "Supplier", "Part", "Order", "Depot", "RouteMap")]
+ENDS = " OR ".join(f"c LIKE '%{e}'" for e in ti.TRANSACTION_ENDS)
+TIERS_SQL = f""", n AS (SELECT c, count(DISTINCT node) AS n FROM (VALUES {_values(DECLARED)}) AS v(c) LEFT JOIN ty USING (c) GROUP BY c),
+tier AS (SELECT c, n, CASE WHEN c = 'Region' THEN 'catalog' WHEN n = 0 THEN 'inferred' WHEN n > {ti.MASTER_MOST} OR {ENDS} THEN 'transaction' ELSE 'master' END AS tier FROM n)"""
+
+
+def _tiers(t: DataFrame) -> DataFrame:
+    return ti.class_tiers(t, inline(t.sparkSession, DECLARED, "c string"), ["Region"])
+
+
+@on_kept_graph(f"{TIERS_SQL} SELECT * FROM tier")
+def class_tiers(t: DataFrame, _: dict[str, DataFrame]) -> DataFrame:
+    return _tiers(t)
+
+
+ALLOWED = [(k, m, x) for k, own in ti.TIERS.items() for m, x in zip(("dangling", "coverage", "orphan"), own, strict=True)]
+
+
+@on_kept_graph(f"""{TIERS_SQL}, al AS (SELECT tier, metric, allowed::DOUBLE AS allowed FROM (VALUES {_values(ALLOWED)}) AS al(tier, metric, allowed)), dm AS (SELECT DISTINCT p, c FROM {DOM}),
+m AS (SELECT c, 'orphan' AS metric, count(*) FILTER (node NOT IN (SELECT o FROM e)) / count(*)::DOUBLE AS value, c NOT IN (SELECT c FROM {RAN}) AS exempt FROM ty GROUP BY c
+  UNION ALL SELECT c, 'dangling', count(*) FILTER (o NOT IN (SELECT node FROM ty)) / count(*)::DOUBLE, false FROM e JOIN ty ON e.s = ty.node GROUP BY c
+  UNION ALL SELECT ty.c, 'coverage', count(*) FILTER ((node, p) IN (SELECT s, p FROM g)) * 100.0::DOUBLE / count(*), false FROM ty JOIN dm ON dm.c = ty.c GROUP BY ty.c)
+SELECT c, tier, metric, round(value, 6) AS value, allowed, exempt OR CASE metric WHEN 'coverage' THEN value >= allowed ELSE value <= allowed END AS passed FROM m JOIN tier USING (c) JOIN al USING (tier, metric)""")
+def tier_report(t: DataFrame, k: dict[str, DataFrame]) -> DataFrame:
+    return ti.tier_report(t, _tiers(t), k["domain"], k["range"])

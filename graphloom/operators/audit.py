@@ -78,7 +78,9 @@ def interlinking(schema: DataFrame, own: str, vocabularies: list[str]) -> DataFr
         F.count_distinct(F.when(F.col("p") == "imports", F.col("o"))).alias("n_imports"),
     )
     terms = iris.select("o").distinct().join(imports, F.col("o") == F.col("prefix"), "left_anti")
-    below = terms.join(imports, F.col("o").startswith(F.col("prefix")), "left_semi")  # imports are few: a broadcast
+    lengths = sorted(r[0] for r in imports.select(F.length("prefix")).distinct().collect())  # of the prefixes that a schema imports
+    starts = terms.select("o", F.explode(F.array(*[F.substring("o", 1, n) for n in lengths]).cast("array<string>")).alias("prefix"))
+    below = starts.join(imports, "prefix", "left_semi").select("o").distinct()
     known = below.join(schema.select(F.col("s").alias("o")).distinct().withColumn("own", F.lit(True)), "o", "left")
     of_imports = known.agg(F.count("*").alias("n_referenced"), F.count("own").alias("n_resolved"))
     one = counted.join(F.broadcast(of_imports))  # one row each

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import quantiles as qu
 from graphloom.operators.reasoning import superclasses
+from graphloom.operators.rules import indexed
+from graphloom.storage import stored
 
 #: Strings that stand for a missing value, and shares of bad rows under which a check passes.
 INVALID_STRINGS = ("n/a", "na", "null", "undefined", "none", "nan", "-", "")
@@ -288,10 +290,12 @@ def scored(checked: DataFrame) -> DataFrame:
 
 
 def run_regressions(runs: DataFrame) -> DataFrame:
-    """run of scored runs (run, passed, total) worse than the one before: fewer passes, or, where the number of checks changed, more failures."""
-    from pyspark.sql import Window
+    """run of scored runs (run, passed, total) worse than the one before: fewer passes, or, where the number of checks changed, more failures.
 
-    before = lambda c: F.lag(c).over(Window.orderBy("run"))  # noqa: E731 (a history has a row a run)
-    held = runs.withColumns({"had": before("passed"), "of": before("total")})
+    Runs are numbered over ranges of partitions, and each meets the one before by number, so no task orders a whole history.
+    """
+    placed = stored(indexed(runs.select("run", "passed", "total"), ["run"], "_place"), "runs")
+    earlier = placed.select((F.col("_place") + 1).alias("_place"), F.col("passed").alias("had"), F.col("total").alias("of"))
+    held = placed.join(earlier, "_place")
     fewer = F.when(F.col("of") == F.col("total"), F.col("passed") < F.col("had")).otherwise(F.col("total") - F.col("passed") > F.col("of") - F.col("had"))
     return held.where(F.col("had").isNotNull() & fewer).select("run")

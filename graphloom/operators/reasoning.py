@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import components, transitive
@@ -109,13 +109,13 @@ def one_step(fresh: DataFrame, known: DataFrame, schema: dict[str, DataFrame]) -
     return reduce(DataFrame.unionByName, [df for _, df in derivations(fresh, known, schema)]).distinct()
 
 
-def fixpoint(triples: DataFrame, schema: dict[str, DataFrame]) -> DataFrame:
+def fixpoint(triples: DataFrame, schema: dict[str, DataFrame], kept: bool = False) -> DataFrame:
     """Triples and all that the rules derive. Each round joins only what the last one added and writes only what is new; it ends when nothing is.
 
     What is known is the union of the rounds' tables, stored by p, so that rules read their own properties' files and new triples are compared
-    with those of properties that rules conclude only. The first round joins all with all in one way, not in two.
+    with those of properties that rules conclude only. The first round joins all with all in one way, not in two. kept: the triples are read from a table and hold none twice, so they are not stored first.
     """
-    first = stored(triples.select(*SPO).distinct(), "known", "p")
+    first = triples.select(*SPO) if kept else stored(triples.select(*SPO).distinct(), "known", "p")
     made = concluded(schema)
     rounds = [first]
     while not rounds[-1].isEmpty():
@@ -282,6 +282,48 @@ def justify(derived: DataFrame, before: DataFrame, schema: dict[str, DataFrame])
     return derived.select(*key).join(best, key, "left").select(*key, F.coalesce(F.get(names, F.col("rank")), F.lit("unknown")).alias("rule"))
 
 
+def justified(derived: DataFrame, before: DataFrame, schema: dict[str, DataFrame]) -> DataFrame:
+    """s, p, o, rule, premises, confidence of derived triples: the first rule, in fixed order, that yields one from the triples before, and what it yields it from.
+
+    premises are texts of the stated triples and the axiom, the least of a rule's possible ones; confidence is high, or low for unknown. Each rule starts from
+    the derived triples and looks for its premises, so a single triple (to explain one) costs lookups of its own terms, not a pass over all conclusions.
+    """
+    key = ["s", "p", "o"]
+    own, held = derived.select(*key).distinct(), before.select(*key)
+    known = lambda s, p, o: held.select(F.col("s").alias(s), F.col("p").alias(p), F.col("o").alias(o))
+    told = lambda *terms: F.concat(F.lit("("), F.concat_ws(", ", *terms), F.lit(")"))
+    stated, axiom = (lambda *x: F.concat(told(*x), F.lit(" stated"))), (lambda *x: F.concat(told(*x), F.lit(" in the schema")))
+    types, links = own.where("p = 'type'"), own.where("p <> 'type'")
+    any_ = F.lit("_")
+    found: list[tuple[str, DataFrame, list[Column]]] = [("already_exists", own.join(held, key, "left_semi"), [])]
+    if "domain" in schema:
+        on = types.join(schema["domain"].select(F.col("p").alias("q"), F.col("c").alias("o")), "o").join(known("s", "q", "_v"), ["s", "q"], "left_semi")
+        found.append(("domain", on, [stated("s", "q", any_), axiom("q", F.lit("domain"), "o")]))
+    if "range" in schema:
+        reached = before.where("o_kind = 'iri'").select(F.col("o").alias("s"), F.col("p").alias("q"))
+        on = types.join(schema["range"].select(F.col("p").alias("q"), F.col("c").alias("o")), "o").join(reached, ["s", "q"], "left_semi")
+        found.append(("range", on, [stated(any_, "q", "s"), axiom("q", F.lit("range"), "o")]))
+    if "subclass" in schema:
+        on = types.join(schema["subclass"].select(F.col("a").alias("q"), F.col("b").alias("o")), "o").join(known("s", "_p", "q").where("_p = 'type'"), ["s", "q"], "left_semi")
+        found.append(("subclass", on, [stated("s", F.lit("type"), "q"), axiom("q", F.lit("subClassOf"), "o")]))
+    if "inverse" in schema:
+        both = schema["inverse"].select("p", "q").union(schema["inverse"].select("q", "p")).distinct()
+        on = links.join(both, "p").join(known("o", "q", "s"), ["s", "q", "o"], "left_semi")
+        found.append(("inverse", on, [stated("o", "q", "s"), axiom("p", F.lit("inverseOf"), "q")]))
+    if "symmetric" in schema:
+        on = links.join(schema["symmetric"].select("p"), "p").join(known("o", "p", "s"), key, "left_semi")
+        found.append(("symmetric", on, [stated("o", "p", "s"), axiom("p", F.lit("type"), F.lit("SymmetricProperty"))]))
+    if "transitive" in schema:
+        on = links.join(schema["transitive"].select("p"), "p").join(known("s", "p", "q"), ["s", "p"]).join(known("q", "p", "o"), ["q", "p", "o"], "left_semi")
+        found.append(("transitive", on, [stated("s", "p", "q"), stated("q", "p", "o"), axiom("p", F.lit("type"), F.lit("TransitiveProperty"))]))
+    none = F.array().cast("array<string>")
+    rows = [df.select(*key, F.lit(RULE_ORDER.index(rule)).alias("rank"), (F.array(*why) if why else none).alias("premises")) for rule, df, why in found]
+    best = reduce(DataFrame.unionByName, rows).groupBy(*key).agg(F.min(F.struct("rank", "premises")).alias("x"))
+    names = F.array(*[F.lit(r) for r in RULE_ORDER])
+    out = own.join(best, key, "left").select(*key, F.coalesce(F.get(names, F.col("x.rank")), F.lit("unknown")).alias("rule"), F.coalesce("x.premises", none).alias("premises"))
+    return out.withColumn("confidence", F.when(F.col("rule") == "unknown", "low").otherwise("high"))
+
+
 def classified(added: DataFrame, trivial_classes: list[str], known_classes: list[str]) -> DataFrame:
     """added with kind: trivial (self link, universal class), suspicious (type of no known class), meaningful."""
     is_type = F.col("p") == "type"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.storage import stored
 
 
-def _indexed(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def indexed(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with its row number from 0 by order. Rows are ranged over partitions; each is numbered from where the ones before end."""
     ranged = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
@@ -19,9 +19,9 @@ def _indexed(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 def rotation(source: DataFrame, s: Column, s_order: list[str], target: DataFrame, o: Column, o_order: list[str], keep: Column | None = None) -> DataFrame:
     """Row i of the source pairs with row i mod N of the target; rows that keep skips still count in i. N is read once."""
-    right = _indexed(target.select("*", o.alias("_o")), o_order, "_j").select("_o", "_j")
+    right = indexed(target.select("*", o.alias("_o")), o_order, "_j").select("_o", "_j")
     n = right.count()
-    left = _indexed(source, s_order, "_i")
+    left = indexed(source, s_order, "_i")
     left = left if keep is None else left.where(keep)
     return left.select(s.alias("s"), (F.col("_i") % max(n, 1)).alias("_j")).join(right, "_j").select("s", F.col("_o").alias("o"))
 
@@ -59,6 +59,6 @@ def with_synthetic_fk(source: DataFrame, column: str, s_order: list[str], target
     """source with a column of target keys by rotation; unchanged if it has the column."""
     if column in source.columns:
         return source
-    right = _indexed(target.select(F.col(pk).alias(column)), [column], "_j")
+    right = indexed(target.select(F.col(pk).alias(column)), [column], "_j")
     n = right.count()
-    return _indexed(source, s_order, "_i").withColumn("_j", F.col("_i") % max(n, 1)).join(right, "_j").drop("_i", "_j")
+    return indexed(source, s_order, "_i").withColumn("_j", F.col("_i") % max(n, 1)).join(right, "_j").drop("_i", "_j")

@@ -327,7 +327,7 @@ def test_chains_constraints_and_profiles(spark):
     from graphloom.operators import governance as gv
 
     rules = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "a"), ("c", "d"), ("x", "y")], "cause string, effect string")
-    assert {tuple(r) for r in ev.causal_chains(rules, "a").collect()} == {("a>b>c>d", False), ("a>b>a", True)} and ev.causal_chains(rules, "q").count() == 0
+    assert {tuple(r) for r in ev.causal_chains(rules, "a").collect()} == {("a(change)>b", False), ("a(change)>b>c", False), ("a(change)>b>c>d", False), ("a(change)>b>a", True)} and ev.causal_chains(rules, "q").count() == 0
     meta = spark.createDataFrame([("Person", "+R", "+U", "+I"), ("Student", "-R", "+U", "-I")], "c string, rigidity string, unity string, identity string")
     sub = spark.createDataFrame([("Person", "Student"), ("Student", "Person")], "a string, b string")
     assert {tuple(r) for r in gv.ontoclean(meta, sub).collect()} == {("C1_rigidity", "Person", "Student"), ("C3_identity", "Person", "Student")}
