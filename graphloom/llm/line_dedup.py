@@ -47,7 +47,7 @@ def line_dedup(pages: DataFrame, host: str = "source", max_ratio: float = MAX_RA
     handled whole. A page that would lose all its words (a near copy of many, or a page of nothing but boilerplate)
     keeps its whole text, n_dropped 0; to choose among such pages is the near deduplication's part. With
     each_row, every row is a page, also a repeated one, and a page of nothing but boilerplate keeps an
-    empty text: the rule of op4's SQL. The column text is found in any case; an existing column n_dropped is
+    empty text. The column text is found in any case; an existing column n_dropped is
     replaced, and other columns may have any name. An empty table gives an empty result.
 
     The hosts' lines are joined by host: broadcast by Spark below spark.sql.autoBroadcastJoinThreshold; beyond it pages are

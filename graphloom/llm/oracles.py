@@ -62,19 +62,22 @@ def op1() -> str:
 
 def op4() -> str:
     return f"""
-    WITH lines AS (
-        SELECT source, doc_id, unnest(list_distinct(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x, {WS})) > 0), lambda x: trim(x, {WS})))) AS line
-        FROM documents),
-    totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+    -- rows of equal text are one page, and a page that would lose all its words stays whole
+    WITH page AS (SELECT DISTINCT source, coalesce(text, '') AS text FROM documents),
+    lines AS (
+        SELECT source, unnest(list_distinct(list_transform(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, {WS})) > 0), lambda x: trim(x, {WS})))) AS line
+        FROM page),
+    totals AS (SELECT source, count(*) AS pages FROM page GROUP BY source),
     found AS (
         SELECT l.source, l.line FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
         GROUP BY l.source, l.line, t.pages HAVING count(*) >= {line_dedup.MIN_PAGES} AND count(*) > t.pages * {line_dedup.MAX_RATIO}),
     keyed AS (SELECT source, list(line) AS found FROM found GROUP BY source),
     done AS (
-        SELECT doc_id, d.source, string_split(text, chr(10)) AS old,
+        SELECT doc_id, d.source, text, string_split(text, chr(10)) AS old,
             list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(k.found, []), trim(x, {WS}))) AS new
         FROM documents d LEFT JOIN keyed k ON d.source IS NOT DISTINCT FROM k.source)
-    SELECT doc_id, source, array_to_string(new, chr(10)) AS text, coalesce(len(old) - len(new), 0)::BIGINT AS n_dropped FROM done"""
+    SELECT doc_id, source, CASE WHEN has THEN array_to_string(new, chr(10)) ELSE text END AS text, CASE WHEN has THEN len(old) - len(new) ELSE 0 END::BIGINT AS n_dropped
+    FROM (SELECT *, coalesce(len(list_filter(new, lambda x: length(trim(x, {WS})) > 0)) > 0, false) AS has FROM done)"""
 
 
 def op5() -> str:
