@@ -99,20 +99,19 @@ def duplicate_keys(df: DataFrame, key: list[str], prefix: str) -> DataFrame:
 
 
 def _edit_blocks(column: str) -> Column:
-    """Keys of which two texts at edit distance 1 or 0 share one: with the shorter's length L, the first L/2 characters or the last L - L/2 are equal."""
+    """Keys of which two texts at edit distance 1 or 0 share one: hashes of the text and of it without each of its characters.
+
+    Texts that share a key are at distance 2 at most, so a long common part puts no others together.
+    """
     x = F.col(column)
-    keys = []
-    for shorter in (0, 1):
-        n = F.length(x) - shorter
-        half = F.floor(n / 2).cast("int")
-        keys += [F.concat(F.lit("p"), n.cast("string"), F.lit("|"), F.substring(x, F.lit(1), half)), F.concat(F.lit("s"), n.cast("string"), F.lit("|"), F.when(n > 0, F.right(x, n - half)).otherwise(""))]
-    return F.explode(F.array_distinct(F.array(*keys)))
+    without = F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.xxhash64(F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1))))
+    return F.explode(F.array_distinct(F.concat(F.array(F.xxhash64(x)), without)))
 
 
 def fk_ladder(values: DataFrame, column: str, master: DataFrame, key: str, edit: bool = True, prefix: bool = True, compatibility: bool = False) -> DataFrame:
     """value, match, stage of distinct foreign values: exact, then normalised, then edit distance at most 1, then an
-    unambiguous prefix of 3 or more characters. The least key wins ties of the first three; edits are blocked by length and
-    either half; prefixes are joined by their first three characters."""
+    unambiguous prefix of 3 or more characters. The least key wins ties of the first three; edits are sought for
+    values without an earlier match, by what is left without one character; prefixes are joined by their first three characters."""
     own = values.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().withColumn("norm", normal_key(F.col("value"), compatibility))
     known = master.where(F.col(key).isNotNull()).select(F.col(key).alias("match")).distinct().withColumn("m_norm", normal_key(F.col("match"), compatibility))
     steps = [
@@ -120,7 +119,8 @@ def fk_ladder(values: DataFrame, column: str, master: DataFrame, key: str, edit:
         own.join(known, F.col("norm") == F.col("m_norm")).select("value", "match", F.lit(2).alias("stage")),
     ]
     if edit:
-        blocks, m_blocks = own.withColumn("block", _edit_blocks("norm")), known.withColumn("block", _edit_blocks("m_norm"))
+        rest = own.join(steps[0].unionByName(steps[1]).select("value"), "value", "left_anti")
+        blocks, m_blocks = rest.withColumn("block", _edit_blocks("norm")), known.withColumn("block", _edit_blocks("m_norm"))
         met = blocks.join(m_blocks, "block").where((F.abs(F.length("norm") - F.length("m_norm")) <= 1) & (F.levenshtein("norm", "m_norm", 1) >= 0))
         steps.append(met.select("value", "match", F.lit(3).alias("stage")).distinct())
     if prefix:
