@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.pairs import dealt_join
 from graphloom.storage import stored
 
 
@@ -50,9 +51,9 @@ def via_chain(upstream: DataFrame, then: DataFrame, key: str, value: str, order:
 
 
 def bucket_join(left: DataFrame, s: Column, left_bucket: Column, right: DataFrame, o: Column, right_bucket: Column) -> DataFrame:
-    """Every pair that shares a bucket; an equi-join, so that adaptive execution can split hot buckets."""
+    """Every pair that shares a bucket; the pairs of a bucket are spread over tasks."""
     a, b = left.select(s.alias("s"), left_bucket.alias("_b")), right.select(o.alias("o"), right_bucket.alias("_b"))
-    return a.join(b, "_b").select("s", "o")
+    return dealt_join(a, b, ["_b"]).select("s", "o")
 
 
 def with_synthetic_fk(source: DataFrame, column: str, s_order: list[str], target: DataFrame, pk: str, o_order: list[str]) -> DataFrame:
