@@ -7,6 +7,7 @@ from graphloom.operators import graph as gr
 from graphloom.operators import pairs as pa
 from graphloom.operators import profile as pr
 from graphloom.operators import ranges as rg
+from graphloom.operators import reasoning as rs
 from graphloom.operators import rules as ru
 
 
@@ -55,3 +56,12 @@ def test_intervals_of_a_hot_bin_are_spread(spark, small_blocks):
     points, spans = spark.range(60).selectExpr("1 as g", "id as p", "id % 5 as x"), spark.range(40).selectExpr("1 as g", "id as s", "0 as low", "10 as high")
     most, total = most_in_a_task(rg.range_join(points, spans, ["g"], "x", "low", "high"))
     assert total == 2400 and most < 1200
+
+
+def test_pairs_of_a_rule_are_spread_and_distinct(spark, small_blocks):
+    t = spark.range(60).selectExpr("concat('s', id) as s", "'in' as p", "'n' as o").union(spark.createDataFrame([("s1", "in", "m"), ("s2", "in", "m")], "s string, p string, o string"))
+    body = gr.match(t, "?a", "in", "?n"), gr.match(t, "?b", "in", "?n")
+    found = rs.rule_body(*body, where=F.col("a") != F.col("b"), head=("?a", "near", "?b"), on_head=True)
+    most, total = most_in_a_task(found)
+    assert total == 60 * 59 and most < 1200
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in rs.rule_body(*body, where=F.col("a") != F.col("b"), head=("?a", "near", "?b")).collect()}
