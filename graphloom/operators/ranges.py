@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.pairs import dealt_join
+
 #: Bin widths are powers of two whose exponents differ by this, so that points meet few widths.
 LEVEL_STEP = 3
 #: The least width is two to this power; shorter intervals use it.
@@ -34,7 +36,7 @@ def range_join(points: DataFrame, intervals: DataFrame, on: list[str], point: st
 
     Each interval falls in a class of lengths, whose bins are at least as wide as it is, so it touches two bins at most, however long it is.
     A point has one bin for each class of lengths that occurs. The join is on bins, then on the exact bounds: no pair is met twice, and none
-    outside neighbouring bins. Adaptive execution splits a hot bin. The driver is told the classes of lengths (some tens at most) and the points' extent.
+    outside neighbouring bins. The pairs of a hot bin are spread over tasks. The driver is told the classes of lengths (some tens at most) and the points' extent.
     """
     if closed not in ("both", "left", "right", "neither") or how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"closed {closed}, how {how}")
@@ -56,7 +58,7 @@ def range_join(points: DataFrame, intervals: DataFrame, on: list[str], point: st
     above = F.col("_at") >= F.col("_low") if closed in ("both", "left") else F.col("_at") > F.col("_low")
     below = F.col("_at") <= F.col("_high") if closed in ("both", "right") else F.col("_at") < F.col("_high")
     within = F.coalesce(above, F.col("_low").isNull()) & F.coalesce(below, F.col("_high").isNull()) & ~F.isnan("_at")
-    met = left.join(right, [*on, "_level", "_bin"]).where(within)
+    met = dealt_join(left, right, [*on, "_level", "_bin"]).where(within)
     rest = [c for c in intervals.columns if c not in on]
     inner = met.select(*points.columns, *rest)
     if how == "inner":
