@@ -9,6 +9,7 @@ from graphloom.operators import profile as pr
 from graphloom.operators import ranges as rg
 from graphloom.operators import reasoning as rs
 from graphloom.operators import rules as ru
+from graphloom.plans import graph_store as gs
 
 
 @pytest.fixture
@@ -65,3 +66,12 @@ def test_pairs_of_a_rule_are_spread_and_distinct(spark, small_blocks):
     most, total = most_in_a_task(found)
     assert total == 60 * 59 and most < 1200
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in rs.rule_body(*body, where=F.col("a") != F.col("b"), head=("?a", "near", "?b")).collect()}
+
+
+def test_files_of_the_store_have_one_property_and_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(gs, "ROWS_A_FILE", 300)
+    spark.range(1000).selectExpr("concat('s', id) as s").write.parquet(str(tmp_path / "rows"))
+    convert = lambda spark, path: spark.read.parquet(path).selectExpr("s", "'p' as p", "s as o").union(spark.read.parquet(path).selectExpr("s", "'q' as p", "'x' as o"))
+    kept, fresh = gs.kept_table(spark, str(tmp_path / "rows"), convert, "two properties")
+    files = kept.groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.count_distinct("p").alias("ps")).collect()
+    assert fresh and kept.count() == 2000 and all(f.n <= 300 and f.ps == 1 for f in files)
