@@ -34,17 +34,27 @@ def _sha(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("\x1e")) for p in parts]), 256)
 
 
+def _told() -> Column:
+    return F.lower(F.hex("said"))
+
+
 def _sides(t: DataFrame) -> DataFrame:
-    """node, said, other: what is said of each blank node, once from each side; other is the blank node at the other end, and said holds all else."""
+    """node, said, other of t, distinct: what is said of each blank node, once from each side; other is the blank node at the other end, and said is the hash of all else, as bytes."""
     extra = [F.col(c) if c in t.columns else F.lit(None).cast("string") for c in ("o_dt", "o_lang")]
     loop = (F.col("s") == F.col("o")).cast("string")
     out = t.where(_is_blank("s")).select(F.col("s").alias("node"), _sha(F.lit("out"), "p", F.when(~F.col("_b"), F.col("o")), F.when(~F.col("_b"), F.col("o_kind")), *extra, F.when(F.col("_b"), loop)).alias("said"), F.when(F.col("_b"), F.col("o")).alias("other"))
     into = t.where(F.col("_b")).select(F.col("o").alias("node"), _sha(F.lit("in"), "p", F.when(~_is_blank("s"), F.col("s")), F.when(_is_blank("s"), loop)).alias("said"), F.when(_is_blank("s"), F.col("s")).alias("other"))
-    return out.unionByName(into)
+    return out.unionByName(into).withColumn("said", F.unhex("said")).distinct()
+
+
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sums of the hashes h of each group, which add up with other sums of it."""
+    part = lambda k: F.sum(F.conv(F.substring("h", 1 + k * PART, PART), 16, 10).cast("decimal(38,0)")).alias(f"h{k}")
+    return rows.groupBy(*keys).agg(F.count("h").alias("n"), *[part(k) for k in range(3)])
 
 
-def _refined(colours: DataFrame, sides: DataFrame) -> DataFrame:
-    """try, node, colour to a fixpoint: (try, node, colour) and sides (try, node, said, other, known), known being the colour of a settled other.
+def _refined(colours: DataFrame, fixed: DataFrame, sides: DataFrame) -> DataFrame:
+    """try, node, colour to a fixpoint: (try, node, colour), the sums of sides that no round changes (try, node, n, h0, h1, h2), and the others (try, node, said, other).
 
     A round replaces a colour by a hash of it and of all sides; it ends when no try gains a colour.
     """
@@ -52,8 +62,8 @@ def _refined(colours: DataFrame, sides: DataFrame) -> DataFrame:
     count = held.select("try", "colour").distinct().count()
     while True:
         own = sides.join(held.select("try", F.col("node").alias("other"), F.col("colour").alias("beside")), ["try", "other"], "left")
-        each = own.select("try", "node", _sha("said", F.coalesce("known", "beside")).alias("h"))
-        sums = each.groupBy("try", "node").agg(*_set_hash("h"))
+        moving = _summed(own.select("try", "node", _sha(_told(), "beside").alias("h")), "try", "node")
+        sums = moving.unionByName(fixed).groupBy("try", "node").agg(*[F.sum(c).cast("string").alias(c) for c in ("n", "h0", "h1", "h2")])
         after = held.join(sums, ["try", "node"], "left").select("try", "node", _sha("colour", "n", "h0", "h1", "h2").alias("colour"))
         after = stored(after, "colours")
         discard(held)
@@ -70,30 +80,44 @@ def canonical(t: DataFrame) -> DataFrame:
     go. Repeated triples become one. Each round and each choice is a step over all unsettled nodes together; a component in which
     many nodes stay alike after many choices (a large regular graph of blank nodes) takes a try for each way to order them.
     """
+    return relabelled(t).distinct()
+
+
+def relabelled(t: DataFrame) -> DataFrame:
+    """The triples of canonical as a bag, for what drops repeated ones itself.
+
+    Only triples of blank nodes are dealt to tasks; what names none is passed on as it comes. Sides without a blank node at the other end, most in usual
+    graphs, are summed once, before the rounds.
+    """
     columns = [c for c in ("s", "p", "o", "o_kind", "o_dt", "o_lang") if c in t.columns]
-    own = t.select(*columns).distinct().withColumn("_b", _is_blank("o") & (F.col("o_kind") != "lit"))
-    sides = stored(_sides(own), "sides")
-    nodes = sides.select("node").distinct().withColumn("try", F.lit(""))
-    first = _refined(nodes.select("try", "node", F.sha2(F.lit(""), 256).alias("colour")), sides.select(F.lit("").alias("try"), "node", "said", "other", F.lit(None).cast("string").alias("known")))
+    own = t.select(*columns).withColumn("_b", F.coalesce(_is_blank("o") & (F.col("o_kind") != "lit"), F.lit(False)))
+    sides = _sides(own)
+    fixed = stored(_summed(sides.where("other is null").select("node", _sha(_told(), F.lit(None).cast("string")).alias("h")), "node"), "fixed")
+    moving = stored(sides.where("other is not null"), "moving")
+    nodes = fixed.select("node").union(moving.select("node")).distinct()
+    of = lambda df: df.select(F.lit("").alias("try"), "*")
+    first = _refined(of(nodes).withColumn("colour", F.sha2(F.lit(""), 256)), of(fixed), of(moving))
     named = stored(first.select("node", "colour", F.count("*").over(Window.partitionBy("colour")).alias("n")), "named")
     settled, open_ = named.where("n = 1").select("node", "colour"), named.where("n > 1").select("node", "colour")
     labels = settled
     if not open_.isEmpty():
-        labels = settled.unionByName(_settled_components(open_, settled, sides))
+        labels = settled.unionByName(_settled_components(open_, settled, fixed, moving))
     labels = stored(labels.select("node", F.concat(F.lit("_:c"), "colour").alias("label")), "labels")
     to = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
-    out = own.join(to("s"), "s", "left").join(to("o").withColumn("_b", F.lit(True)), ["o", "_b"], "left")
-    out = out.withColumns({"s": F.coalesce("_s", "s"), "o": F.coalesce("_o", "o")}).select(*columns)
-    discard(sides, named)
-    return out
+    plain = own.where(~F.coalesce(_is_blank("s"), F.lit(False)))
+    after = own.where(_is_blank("s")).join(to("s"), "s", "left").withColumn("s", F.coalesce("_s", "s")).select(*columns, "_b").unionByName(plain.where("_b").select(*columns, "_b"))
+    named_o = after.where("_b").join(to("o"), "o", "left").withColumn("o", F.coalesce("_o", "o"))
+    discard(fixed, moving, named)
+    return reduce(DataFrame.unionByName, [x.select(*columns) for x in (named_o, after.where("not _b"), plain.where("not _b"))])
 
 
-def _settled_components(open_: DataFrame, settled: DataFrame, sides: DataFrame) -> DataFrame:
+def _settled_components(open_: DataFrame, settled: DataFrame, fixed: DataFrame, sides: DataFrame) -> DataFrame:
     """node, colour of unsettled nodes, each its own: the certificate of its component, its place among copies, and its colour there."""
-    inner = sides.join(open_.select("node"), "node", "left_semi").join(open_.select(F.col("node").alias("other"), F.lit(True).alias("_open")), "other", "left")
-    known = settled.select(F.col("node").alias("other"), F.col("colour").alias("known"))
-    local = stored(inner.join(known, "other", "left").select("node", "said", F.when(F.col("_open"), F.col("other")).alias("other"), "known"), "local")
-    links = local.where("other is not null and node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    inner = sides.join(open_.select("node"), "node", "left_semi").join(settled.select(F.col("node").alias("other"), F.col("colour").alias("known")), "other", "left")
+    known = _summed(inner.where("known is not null").select("node", _sha(_told(), "known").alias("h")), "node")
+    still = stored(known.unionByName(fixed.join(open_.select("node"), "node", "left_semi")).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n", "h0", "h1", "h2")]), "still")
+    local = stored(inner.where("known is null").select("node", "said", "other"), "local")
+    links = local.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
     grouped = open_.select("node").join(components(links), "node", "left") if not links.isEmpty() else open_.select("node", F.lit(None).cast("string").alias("component"))
     part = stored(grouped.select("node", F.coalesce("component", "node").alias("part")), "parts")
     # a try is a part with the choices made so far
@@ -108,7 +132,7 @@ def _settled_components(open_: DataFrame, settled: DataFrame, sides: DataFrame)
         more = tries.join(chosen, "try").where("colour = chosen").select("try", F.col("node").alias("first"))
         split = tries.join(more, "try").select(F.sha2(F.concat_ws("\x1f", "try", "first"), 256).alias("try"), "part", "node", F.when(F.col("node") == F.col("first"), _sha(F.lit("first"), "colour")).otherwise(F.col("colour")).alias("colour"))
         split = stored(split, "split")
-        refined = _refined(split.select("try", "node", "colour"), split.select("try", "node").join(local, "node").select("try", "node", "said", "other", "known"))
+        refined = _refined(split.select("try", "node", "colour"), *[split.select("try", "node").join(x, "node") for x in (still, local)])
         new = refined.join(split.select("try", "node", "part"), ["try", "node"])
         done = tries.join(chosen, "try", "left_anti")
         all_ = stored(new.select("try", "part", "node", "colour").unionByName(done.select("try", "part", "node", "colour")), "tries")
