@@ -27,7 +27,7 @@ def _repaired(t: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     spaced, missing = (F.col("p") == "supplierBalance") & F.col("s").endswith("3"), (F.col("p") == "supplierBalance") & F.col("s").endswith("7")
     given = given.withColumn("o", F.when(spaced, F.concat(F.lit(" "), "o")).when(missing, "n/a").otherwise(F.col("o")))
     given = given.withColumn("o_dt", F.when(spaced | missing, "string").otherwise(F.col("o_dt")))
-    return sr.repaired(given, inline(t.sparkSession, SHAPES, "shape string, c string, p string, kind string, value string, fallback string"))
+    return sr.repaired(given, inline(t.sparkSession, SHAPES, "shape string, c string, p string, kind string, value string, fallback string"), kept=True)
 
 
 @on_kept_graph(f"""{STATES}

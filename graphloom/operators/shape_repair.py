@@ -26,31 +26,37 @@ def converted(value: Column, dt: Column) -> Column:
     return F.when(dt == "decimal", plain).when(dt == "integer", to_integer(value).cast("string")).when(dt == "boolean", to_boolean(value).cast("string")).when(dt == "dateTime", stamp).otherwise(value)
 
 
-def _members(t: DataFrame, shapes: DataFrame, *kinds: str) -> DataFrame:
-    """s with the shapes (of some kinds) of its classes."""
-    types = t.where("p = 'type'").select("s", F.col("o").alias("c")).distinct()
-    return types.join(shapes.where(F.col("kind").isin(*kinds)), "c").drop("c").distinct()
+def _names(shapes: DataFrame, column: str, *kinds: str) -> list[str]:
+    """What shapes (of some kinds) name in a column; read on the driver, as shapes are a schema's."""
+    return sorted({r[0] for r in shapes.where(F.col("kind").isin(*kinds)).select(column).collect() if r[0] is not None})
 
 
-def violations(t: DataFrame, shapes: DataFrame) -> DataFrame:
+def violations(t: DataFrame, shapes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """shape, kind, s, p, o, o_kind, o_dt, value, fallback of what breaks shapes (shape, c, p, kind, value, fallback) of a class c.
 
     kind datatype: a literal that is not of data type value; class: a node that is not of class value (types as stated); max and min: more or
     fewer than value different values, for max a row for each value beyond, those kept being of the right data type first, then the least; for min a row without a value.
+    t: all triples of the nodes to judge; known: a table with the types of what they point to, t itself unless given. A value is judged before it is
+    asked whether its node has the class, so only what may break a shape meets the types.
     """
-    own = t.where("p <> 'type'").select(*COLUMNS).distinct()
-    each = own.join(_members(t, shapes, "datatype", "class", "max"), ["s", "p"])
-    literal = each.where("kind = 'datatype' and o_kind = 'lit'")
-    wrong = literal.where(~F.col("o_dt").eqNullSafe(F.col("value")) | converted(F.col("o"), F.col("value")).isNull())
-    of = t.where("p = 'type'").select(F.col("s").alias("o"), F.col("o").alias("value")).distinct()
-    unfit = each.where("kind = 'class' and o_kind = 'iri'").join(of, ["o", "value"], "left_anti")
-    types = shapes.where("kind = 'datatype'").select("p", F.col("value").alias("dt")).groupBy("p").agg(F.min("dt").alias("dt"))
-    many = each.where("kind = 'max'").join(types, "p", "left")
+    types = t.where((F.col("p") == "type") & F.col("o").isin(_names(shapes, "c", "datatype", "class", "max", "min"))).select("s", F.col("o").alias("c"))
+    own = lambda *kinds: t.where((F.col("p") != "type") & F.col("p").isin(_names(shapes, "p", *kinds))).select(*COLUMNS)
+    of_kind = lambda kind: shapes.where(F.col("kind") == kind)
+    in_class = lambda df: df.join(types, ["s", "c"], "left_semi").drop("c").distinct()
+    literal = own("datatype").where("o_kind = 'lit'").join(of_kind("datatype"), "p")
+    wrong = in_class(literal.where(~F.col("o_dt").eqNullSafe(F.col("value")) | converted(F.col("o"), F.col("value")).isNull()))
+    of = (t if known is None else known).where((F.col("p") == "type") & F.col("o").isin(_names(shapes, "value", "class"))).select(F.col("s").alias("o"), F.col("o").alias("value"))
+    unfit = in_class(own("class").where("o_kind = 'iri'").join(of_kind("class"), "p").join(of, ["o", "value"], "left_anti"))
+    values = own("max", "min").repartition("s", "p").distinct()
+    counts = values.groupBy("s", "p").agg(F.count("*").alias("_n"))
+    crowded = in_class(counts.join(of_kind("max"), "p").where(F.col("_n") > F.col("value").try_cast("int")).drop("_n"))
+    dts = shapes.where("kind = 'datatype'").select("p", F.col("value").alias("dt")).groupBy("p").agg(F.min("dt").alias("dt"))
+    many = values.join(crowded, ["s", "p"]).join(dts, "p", "left")
     badly = F.col("dt").isNotNull() & (~F.col("o_dt").eqNullSafe(F.col("dt")) | converted(F.col("o"), F.col("dt")).isNull())
-    place = F.row_number().over(Window.partitionBy("shape", "s").orderBy(badly, "o", "o_kind", "o_dt"))
+    place = F.row_number().over(Window.partitionBy("shape", "s", "p", "value", "fallback").orderBy(badly, "o", "o_kind", "o_dt"))
     beyond = many.withColumn("_place", place).where(F.col("_place") > F.col("value").try_cast("int")).drop("_place", "dt")
-    few = _members(t, shapes, "min").join(own.groupBy("s", "p").agg(F.count("*").alias("_n")), ["s", "p"], "left")
-    few = few.where(F.coalesce("_n", F.lit(0)) < F.col("value").try_cast("int")).drop("_n")
+    few = types.join(of_kind("min"), "c").drop("c").join(counts, ["s", "p"], "left")
+    few = few.where(F.coalesce("_n", F.lit(0)) < F.col("value").try_cast("int")).drop("_n").distinct()
     few = few.withColumns({c: F.lit(None).cast("string") for c in ("o", "o_kind", "o_dt")})
     return reduce(DataFrame.unionByName, [x.select(*VIOLATION, "value", "fallback") for x in (wrong, unfit, beyond, few)])
 
@@ -80,18 +86,24 @@ def candidates(found: DataFrame, t: DataFrame, shapes: DataFrame, disjoint: Data
     return reduce(DataFrame.unionByName, rows).withColumn("cost", cost[F.col("action")])
 
 
-def repaired(t: DataFrame, shapes: DataFrame, disjoint: DataFrame | None = None, infer_types: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repaired(t: DataFrame, shapes: DataFrame, disjoint: DataFrame | None = None, infer_types: bool = False, kept: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(graph, log, rest): the repaired triples (s, p, o, o_kind, o_dt), each change (round, shape, action, s, p, o, new, new_dt), and the violations without a repair.
 
     Each round gives every violation its cheapest repair (COSTS; by name on ties); of several for one value the least by shape counts, so a value changes
     once a round. Rounds go on while a repair changes the graph, and a change is made once only, so they end: a value that a shape gets by its fallback
     and loses by another stays lost. No violation is left in rest that has a repair which was not tried.
+
+    Only the properties that shapes name are judged. The whole of them is judged once; a later round judges the nodes that the last one touched: those that
+    changed, and with infer_types those that got a type and what points to them. Their triples are kept apart, the others stay as given. kept: t is read from a table that
+    stays; else what is judged is stored first.
     """
-    graph = stored(t.select(*COLUMNS).distinct(), "shaped", "p")
+    judged = F.coalesce(F.col("p").isin(["type", *_names(shapes, "p", "datatype", "class", "max", "min")]), F.lit(False))
+    base = t.where(judged).select(*COLUMNS) if kept else stored(t.where(judged).select(*COLUMNS).distinct(), "shaped")
+    moved, dirty, known = base.limit(0), None, base
+    found = fresh = stored(violations(base, shapes), "violations")
     log: list[DataFrame] = []
     while True:
-        found = stored(violations(graph, shapes), "violations")
-        ways = candidates(found, graph, shapes, disjoint, infer_types)
+        ways = candidates(fresh, known, shapes, disjoint, infer_types)
         best = Window.partitionBy("s", "p", "o", "o_kind", "o_dt", F.when(F.col("action") == "add", F.col("shape"))).orderBy("cost", "action", "shape", "new")
         chosen = ways.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(*LOG, "kind", "o_kind", "o_dt")
         done = reduce(DataFrame.unionByName, log).drop("round") if log else None
@@ -100,14 +112,29 @@ def repaired(t: DataFrame, shapes: DataFrame, disjoint: DataFrame | None = None,
             chosen = chosen.alias("x").join(done.alias("y"), same, "left_anti")
         chosen = stored(chosen, "repairs")
         if chosen.isEmpty():
+            other = t.where(~judged).select(*COLUMNS)
+            graph = (base if dirty is None else base.join(dirty, "s", "left_anti").unionByName(moved)).unionByName(other).distinct()
             empty = chosen.select(F.lit(0).alias("round"), *LOG)
             return graph, reduce(DataFrame.unionByName, log) if log else empty, found.select("shape", "kind", "s", "p", "o")
         log.append(chosen.select(F.lit(len(log) + 1).alias("round"), *LOG))
+        typed = (F.col("action") == "add") & (F.col("kind") == "class")
+        touched = chosen.where(~typed).select("s")
+        if infer_types:
+            retyped = chosen.where(typed).select("o").distinct()
+            pointing = base.unionByName(moved).where("o_kind = 'iri' and p <> 'type'").join(retyped, "o", "left_semi").select("s")
+            touched = touched.union(retyped).union(pointing)
+        touched = stored(touched.distinct(), "touched")
+        first = touched if dirty is None else stored(touched.join(dirty, "s", "left_anti"), "touched")
+        was = moved if first.isEmpty() else moved.unionByName(base.join(first, "s", "left_semi").distinct())
         lost = chosen.where("action in ('cast', 'drop', 'choose')").select("s", "p", "o", "o_kind", "o_dt").distinct()
         on = reduce(lambda x, y: x & y, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in COLUMNS])
-        kept = graph.alias("x").join(lost.alias("y"), on, "left_anti")
+        left = was.alias("x").join(lost.alias("y"), on, "left_anti")
         values = chosen.where("action = 'cast' or (action = 'add' and kind = 'min')").select("s", "p", F.col("new").alias("o"), F.lit("lit").alias("o_kind"), F.col("new_dt").alias("o_dt"))
-        types = chosen.where("action = 'add' and kind = 'class'").select(F.col("o").alias("s"), F.lit("type").alias("p"), F.col("new").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"))
-        after = stored(kept.unionByName(values).unionByName(types).distinct(), "shaped", "p")
-        discard(graph, found)
-        graph = after
+        types = chosen.where(typed).select(F.col("o").alias("s"), F.lit("type").alias("p"), F.col("new").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"))
+        now = stored(left.unionByName(values).unionByName(types).distinct(), "moved")
+        dirty, before = (first if dirty is None else stored(dirty.union(first), "dirty")), (moved, dirty, first, found, fresh)
+        known = base.unionByName(now) if infer_types else base  # types are only added
+        fresh = stored(violations(now.join(touched, "s", "left_semi"), shapes, known), "violations")
+        found = stored(found.join(touched, "s", "left_anti").unionByName(fresh), "violations")
+        discard(*(x for x in (*before, touched) if x is not dirty))
+        moved = now

@@ -49,3 +49,14 @@ def test_random_graphs_end_with_no_repairable_violation(spark, seed):
         if r.p == "size" and r.s in items:
             sizes.setdefault(r.s, []).append((float(r.o), r.o_dt))
     assert all(len(sizes[s]) == 1 and sizes[s][0][1] == "decimal" for s in items)
+
+
+def test_later_rounds_judge_only_what_changed(spark, monkeypatch):
+    facts = [*FACTS, *[f for k in range(20) for f in ((f"ok{k}", "type", "Item", "iri", None), (f"ok{k}", "size", "1", "lit", "decimal"))], ("a", "name", "x", "lit", "string")]
+    seen, real = [], sr.violations
+    monkeypatch.setattr(sr, "violations", lambda t, *rest: (seen.append({r.s for r in t.select("s").collect()}), real(t, *rest))[1])
+    graph, _, rest = sr.repaired(spark.createDataFrame(facts, T), spark.createDataFrame(SHAPES, SHAPE))
+    assert len(seen) == 3 and len(seen[0]) > 20 and seen[1] == {"a", "b"} and seen[2] == {"a", "b"}
+    rows = [tuple(r) for r in graph.collect()]
+    assert len(rows) == len(set(rows)) and set(facts) - set(rows) == {("a", "size", " 1_000.50 ", "lit", "string"), ("a", "size", "7", "lit", "decimal"), ("a", "made", "2024-01-02", "lit", "string"), ("b", "size", "N/A", "lit", None), ("b", "ok", "YES", "lit", "string")}
+    assert {r.s for r in rest.collect() if r.kind == "min"} == {"a", "b", *[f"ok{k}" for k in range(20)]}
