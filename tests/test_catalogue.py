@@ -32,3 +32,18 @@ def test_query_has_the_rows_of_its_oracle(spark, con, name):
     at = [rel.columns.index(c) for c in columns]
     want = sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
     assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == want
+
+
+def test_the_inference_check_reads_the_kept_graph_as_it_is(spark, monkeypatch):
+    from graphloom import catalogue
+    from graphloom.operators import reasoning as rs
+
+    class Reached(Exception):
+        pass
+
+    def first(df, name, by=None):
+        raise Reached(name)
+
+    monkeypatch.setattr(rs, "stored", first)
+    with pytest.raises(Reached, match="fresh"):  # the first table written is a round of the fixpoint, not the graph again
+        catalogue.QUERIES["check_inference"](spark, "/root/testdata/sf0.001")
