@@ -141,29 +141,67 @@ def dead_checks(trials: DataFrame, fired: DataFrame, relevant: DataFrame, unprob
     return each.where("n_caught = 0").join(fired, "check", "left_anti").select("check", "exposure", "n_baseline_failing", verdict.alias("verdict"))
 
 
+#: Rounds of folding at most; what would fold later stays, which only costs time.
+FOLDS = 3
+
+
+def _folded(both: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(core, hung, rounds): edges (a, b; both ways) without the trees that hang from them by one edge and hold no source.
+
+    A round folds each node with one edge into its neighbour: rounds hold node, parent and n, the nodes folded into it before. hung (node, n): the nodes
+    folded into a node of the core.
+    """
+    core, rounds = both, []
+    hung = both.select(F.col("a").alias("node"), F.lit(0).cast("long").alias("n")).limit(0)
+    for _ in range(FOLDS):
+        single = core.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("_n"), F.min("b").alias("parent")).where("_n = 1").drop("_n").join(sources, "node", "left_anti")
+        turned = single.select(F.col("node").alias("parent"), F.col("parent").alias("node"))
+        single = single.join(turned.where("node < parent"), ["node", "parent"], "left_anti")  # of two with one edge between them, one stays
+        leaves = stored(single.join(hung, "node", "left").select("node", "parent", F.coalesce("n", F.lit(0)).alias("n")), "folded")
+        if leaves.isEmpty():
+            break
+        rounds.append(leaves)
+        gone = leaves.select("node")
+        new = leaves.groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("n") + 1).alias("n"))
+        hung = stored(hung.join(gone, "node", "left_anti").unionByName(new).groupBy("node").agg(F.sum("n").alias("n")), "hung")
+        core = core.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti")
+        core = stored(core.select("a", "b"), "core")
+    return core, hung, rounds
+
+
 def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """node, betweenness over undirected edges (a, b), from the given sources (node): the share of shortest paths that pass a node, summed over sources and targets, times nodes / sources.
 
-    Divided by (n - 1)(n - 2), as both ways of a pair are counted. Paths are counted level by level outward and their shares carried back, each level one join
-    and one table, so rows grow with sources times nodes; ends of a path don't count. Nodes that no path passes have 0.
+    Divided by (n - 1)(n - 2), as both ways of a pair are counted. Trees that hang by one edge are first folded into what they hang from: every path to
+    them passes it. In the rest, paths are counted level by level outward and their shares carried back, each level one join
+    and one table, so rows grow with sources times nodes of the rest; ends of a path don't count. Nodes that no path passes have 0.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "both")
-    at = stored(distances(edges, sources), "distances")
+    sources = stored(sources.select("node").distinct(), "sources")
+    core, hung, folds = _folded(both, sources)
+    at = stored(distances(core, sources), "distances")
     deepest = at.agg(F.max("d")).first()[0] or 0
     near = at.select("source", F.col("node").alias("a"), F.col("d").alias("from"))
     far = at.select("source", F.col("node").alias("b"), F.col("d").alias("to"))
-    dag = stored(near.join(both, "a").join(far, ["source", "b"]).where(F.col("to") == F.col("from") + 1).select("source", "a", "b", "to"), "paths", "to")
+    dag = stored(near.join(core, "a").join(far, ["source", "b"]).where(F.col("to") == F.col("from") + 1).select("source", "a", "b", "to"), "paths", "to")
     counts = [stored(at.where("d = 0").select("source", "node", F.lit(1.0).alias("ways")), "ways")]
     for d in range(1, deepest + 1):
         step = dag.where(F.col("to") == d).join(counts[-1].withColumnRenamed("node", "a"), ["source", "a"])
         counts.append(stored(step.groupBy("source", F.col("b").alias("node")).agg(F.sum("ways").alias("ways")), "ways"))
-    shares = [counts[deepest].withColumn("share", F.lit(0.0))]
+    beneath = F.coalesce("n", F.lit(0)).cast("double")
+    shares = [stored(counts[deepest].join(hung, "node", "left").select("source", "node", "ways", beneath.alias("share")), "shares")]
     for d in range(deepest, 0, -1):
         beyond = shares[-1].select("source", F.col("node").alias("b"), ((1 + F.col("share")) / F.col("ways")).alias("part"))
         back = dag.where(F.col("to") == d).join(beyond, ["source", "b"]).groupBy("source", F.col("a").alias("node")).agg(F.sum("part").alias("part"))
-        shares.append(stored(counts[d - 1].join(back, ["source", "node"], "left").withColumn("share", F.coalesce(F.col("ways") * F.col("part"), F.lit(0.0))).drop("part"), "shares"))
-    passed = reduce(DataFrame.unionByName, shares).where("source <> node").groupBy("node").agg(F.sum("share").alias("share"))
+        own = counts[d - 1].join(back, ["source", "node"], "left").join(hung, "node", "left")
+        shares.append(stored(own.select("source", "node", "ways", (F.coalesce(F.col("ways") * F.col("part"), F.lit(0.0)) + beneath).alias("share")), "shares"))
+    passed = [reduce(DataFrame.unionByName, shares).where("source <> node").groupBy("node").agg(F.sum("share").alias("share"))]
+    reached = at.groupBy(F.col("node").alias("parent")).agg(F.count("*").alias("sources"))
+    for leaves in reversed(folds):  # a source that reaches what a tree hangs from reaches all of the tree
+        own = stored(leaves.where("n > 0").join(reached, "parent").select("node", "n", "sources"), "reached")
+        passed.append(own.select("node", (F.col("n") * F.col("sources")).cast("double").alias("share")))
+        reached = reached.unionByName(own.select(F.col("node").alias("parent"), "sources"))
     nodes = both.select(F.col("a").alias("node")).distinct()
-    n, k = nodes.count(), at.select("source").distinct().count()
+    n, k = nodes.count(), sources.count()
     scale = n / (k * (n - 1) * (n - 2)) if k and n > 2 else 0.0
-    return nodes.join(passed, "node", "left").select("node", (F.coalesce("share", F.lit(0.0)) * scale).alias("betweenness"))
+    return nodes.join(reduce(DataFrame.unionByName, passed), "node", "left").select("node", (F.coalesce("share", F.lit(0.0)) * scale).alias("betweenness"))

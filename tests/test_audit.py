@@ -47,6 +47,18 @@ def test_betweenness_counts_every_shortest_path(spark):
     assert au.betweenness(inline(spark, [], "a string, b string"), inline(spark, [], "node string")).count() == 0
 
 
+def test_betweenness_folds_trees_that_hang_by_one_edge(spark, monkeypatch):
+    walked = []
+    real = au.distances
+    monkeypatch.setattr(au, "distances", lambda edges, sources: walked.append(edges.count()) or real(edges, sources))
+    # a ring with trees of depth 5 and 1, of which one holds a source; and a pair of its own
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "h1"), ("h1", "h2"), ("h2", "h3"), ("h3", "h4"), ("h4", "h5"), ("h2", "i"), *[("c", f"k{x}") for x in range(5)], ("x", "y"), ("k1", "l1"), ("k1", "l2")]
+    for sources in (["a", "l1"], ["y", "k0", "h4"]):
+        got = au.betweenness(inline(spark, edges, "a string, b string"), inline(spark, [(s,) for s in sources], "node string")).collect()
+        assert {r.node: pytest.approx(r.betweenness) for r in got} == shares(edges, sources)
+    assert walked[0] == 16  # both ways: the ring, two edges to the source, two that three rounds leave of the long tree; the pair folds
+
+
 def test_inverses_fit_by_both_sides(spark):
     properties = [("p", "A", "B"), ("q", "B", "A"), ("low", "C", "A"), ("off", "D", "A"), ("any", "Thing", "A"), ("half", None, "A"), ("bare", None, None), ("bare2", None, None)]
     pairs = [("p", "q"), ("p", "low"), ("p", "off"), ("p", "any"), ("p", "half"), ("bare", "bare2"), ("unknown", "q")]
