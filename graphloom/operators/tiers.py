@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.sources.tables import inline
+from graphloom.storage import dealt
 
 #: Of each tier, the share of dangling edges allowed, the percentage of declared properties filled, and the share of unreferenced instances allowed.
 TIERS = {
@@ -24,7 +25,9 @@ TRANSACTION_ENDS = (
 
 
 def _types(t: DataFrame) -> DataFrame:
-    return t.where("p = 'type'").select("s", F.col("o").alias("c")).distinct()
+    """(s, c), each once. The rows are counted first and dealt by subject, as nearly all differ: a task before the shuffle keeps none, one after it a bounded number."""
+    types = t.where("p = 'type'").select("s", F.col("o").alias("c"))
+    return dealt(types, ["s"], types.count()).distinct()
 
 
 def class_tiers(t: DataFrame, declared: DataFrame, catalog: list[str] | None = None, most: int = MASTER_MOST) -> DataFrame:

@@ -1,5 +1,8 @@
 """Tiers of classes and justifications with premises."""
 
+from pyspark.sql import functions as F
+
+from graphloom import storage
 from graphloom.operators import checks as ck
 from graphloom.operators import reasoning as rs
 from graphloom.operators import tiers as ti
@@ -20,6 +23,14 @@ def test_tiers_and_what_they_allow(spark):
     assert found == {("Machine", "orphan"): (0.5, True), ("RunLog", "orphan"): (1.0, True), ("Zone", "orphan"): (1.0, True), ("RunLog", "dangling"): (0.333333, False), ("Machine", "coverage"): (50.0, False), ("RunLog", "coverage"): (100.0, True)}
 
 
+def test_a_task_holds_a_bounded_number_of_types(spark, monkeypatch):
+    monkeypatch.setattr(storage, "ROWS_A_TASK", 100, raising=False)
+    t = spark.range(2000).selectExpr("concat('s', id % 1000) as s", "'type' as p", "concat('C', id % 2) as o", "'iri' as o_kind")
+    tasks = [r[1] for r in ti._types(t).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 1000 and max(tasks) < 150
+    assert {tuple(r) for r in ti.class_tiers(t, t.select(F.col("o").alias("c"))).collect()} == {("C0", 500, "master"), ("C1", 500, "master")}
+
+
 def test_justifications_tell_their_premises(spark):
     before = spark.createDataFrame([("a", "owns", "b", "iri"), ("b", "owns", "c", "iri"), ("x", "type", "Dog", "iri"), ("n", "near", "m", "iri"), ("b", "name", "B", "lit")], SPO)
     of = lambda rows, columns: spark.createDataFrame(rows, columns)
