@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.operators.dimensions import distances
 from graphloom.operators.graph import transitive
 from graphloom.operators.reasoning import inverse_complete, superclasses
-from graphloom.storage import stored
+from graphloom.storage import discard, stored
 
 THING = "Thing"
 
@@ -169,16 +169,11 @@ def _folded(both: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame,
     return core, hung, rounds
 
 
-def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """node, betweenness over undirected edges (a, b), from the given sources (node): the share of shortest paths that pass a node, summed over sources and targets, times nodes / sources.
+def _walked(core: DataFrame, hung: DataFrame, sources: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(at, shares): distances (source, node, d), and (source, node, share), a table a level, of shortest paths of core (a, b; both ways): how many nodes' paths from the source pass a node, those that hang from it included.
 
-    Divided by (n - 1)(n - 2), as both ways of a pair are counted. Trees that hang by one edge are first folded into what they hang from: every path to
-    them passes it. In the rest, paths are counted level by level outward and their shares carried back, each level one join
-    and one table, so rows grow with sources times nodes of the rest; ends of a path don't count. Nodes that no path passes have 0.
+    Paths are counted level by level outward and their shares carried back, each level one join and one table.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "both")
-    sources = stored(sources.select("node").distinct(), "sources")
-    core, hung, folds = _folded(both, sources)
     at = stored(distances(core, sources), "distances")
     deepest = at.agg(F.max("d")).first()[0] or 0
     near = at.select("source", F.col("node").alias("a"), F.col("d").alias("from"))
@@ -195,6 +190,21 @@ def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
         back = dag.where(F.col("to") == d).join(beyond, ["source", "b"]).groupBy("source", F.col("a").alias("node")).agg(F.sum("part").alias("part"))
         own = counts[d - 1].join(back, ["source", "node"], "left").join(hung, "node", "left")
         shares.append(stored(own.select("source", "node", "ways", (F.coalesce(F.col("ways") * F.col("part"), F.lit(0.0)) + beneath).alias("share")), "shares"))
+    discard(dag, *counts)
+    return at, shares
+
+
+def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """node, betweenness over undirected edges (a, b), from the given sources (node): the share of shortest paths that pass a node, summed over sources and targets, times nodes / sources.
+
+    Divided by (n - 1)(n - 2), as both ways of a pair are counted. Trees that hang by one edge are first folded into what they hang from: every path to
+    them passes it. In the rest, paths are counted level by level, so rows grow with sources times nodes of the rest; ends of a path don't count.
+    Nodes that no path passes have 0. exact_betweenness takes every node as a source.
+    """
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "both")
+    sources = stored(sources.select("node").distinct(), "sources")
+    core, hung, folds = _folded(both, sources)
+    at, shares = _walked(core, hung, sources)
     passed = [reduce(DataFrame.unionByName, shares).where("source <> node").groupBy("node").agg(F.sum("share").alias("share"))]
     reached = at.groupBy(F.col("node").alias("parent")).agg(F.count("*").alias("sources"))
     for leaves in reversed(folds):  # a source that reaches what a tree hangs from reaches all of the tree
@@ -205,3 +215,87 @@ def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     n, k = nodes.count(), sources.count()
     scale = n / (k * (n - 1) * (n - 2)) if k and n > 2 else 0.0
     return nodes.join(reduce(DataFrame.unionByName, passed), "node", "left").select("node", (F.coalesce("share", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+#: Rounds of folding at most where every node is a source; what would fold later is walked, which only costs time.
+WHOLE_FOLDS = 64
+#: Rows (source, node) that one batch of sources makes at most, about.
+BATCH_ROWS = 200_000_000
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    """(node, other) of links (a, b) from either end."""
+    return links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+
+
+def _hanging() -> tuple[Column, Column]:
+    return F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("squares", F.lit(0.0)).alias("squares")
+
+
+def _folded_whole(links: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(core, hung, rounds): links (a < b) without the trees that hang from them by one link; of a tree of its own one node stays, without links.
+
+    A round folds each node with one link into its neighbour: rounds hold node, parent, n and squares, the nodes folded into it before and the sum of the squared
+    sizes of the branches that they make. hung (node, n, squares): the same of the nodes that stay. A round deals the links twice: by node, to find nodes
+    with one link, and by link, where those meet their own.
+    """
+    core, rounds, none = links, [], (F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("squares"))
+    hung = stored(links.limit(0).select(F.col("a").alias("node"), *none), "hung")
+    for _ in range(WHOLE_FOLDS):
+        single = _ends(core).groupBy("node").agg(F.count("*").alias("k"), F.min("other").alias("other")).where("k = 1")
+        told = single.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "node")
+        # of two nodes with one link between them, the greater is folded
+        met = stored(core.withColumn("node", F.lit(None).cast("string")).unionByName(told).groupBy("a", "b").agg(F.max("node").alias("node")), "links")
+        leaves = met.where("node is not null").select("node", F.when(F.col("node") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("parent"))
+        if leaves.isEmpty():
+            break
+        # of the first round, nothing hangs from a node yet
+        own = leaves.join(hung, "node", "left").select("node", "parent", *_hanging()) if rounds else leaves.select("node", "parent", *none)
+        rounds.append(stored(own, "folded"))
+        branch = (F.col("n") + 1).cast("double")
+        new = rounds[-1].groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("n") + 1).alias("n"), F.sum(branch * branch).alias("squares"))
+        if len(rounds) > 1:
+            new = hung.join(leaves.select("node"), "node", "left_anti").unionByName(new).groupBy("node").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares"))
+        hung = stored(new, "hung")
+        core = met.where("node is null").select("a", "b")
+    return core, hung, rounds
+
+
+def exact_betweenness(edges: DataFrame) -> DataFrame:
+    """node, betweenness over undirected edges (a, b): the share of shortest paths that pass a node, summed over all pairs of other nodes, divided by (n - 1)(n - 2), as both ways of a pair are counted.
+
+    A node that is cut from n nodes in branches of sizes b by taking it from a tree that hangs there lies between all that it parts: n (2 N - n - 2) - sum of b squared, of a
+    component of N nodes. So trees are folded, in time proportional to their links, and a forest is done with that. Only what stays, without nodes of one link, is
+    walked from each of its nodes, each standing for those that hang from it; that is quadratic in what stays, and goes in batches of sources.
+    """
+    links = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    core, hung, folds = _folded_whole(links)
+    inner = stored(_ends(core).select("node").distinct(), "core")
+    kept = stored(inner.join(hung, "node", "left").select("node", *_hanging()), "kept")  # nodes that stay with links
+    alone = hung.join(inner, "node", "left_anti").select("node", "n", "squares", (F.col("n") + 1).alias("total"), F.lit(0.0).alias("walks"))
+    walked, n_inner = [], inner.count()
+    both = core.unionByName(core.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    batches = -(-n_inner * n_inner // BATCH_ROWS)
+    for k in range(batches):
+        at, shares = _walked(both, hung, inner.where(F.pmod(F.xxhash64("node"), F.lit(batches)) == k))
+        totals = stored(at.join(kept, "node").groupBy("source").agg(F.sum(F.col("n") + 1).alias("total")), "totals")
+        weights = kept.select(F.col("node").alias("source"), (F.col("n") + 1).alias("weight"))
+        passed = reduce(DataFrame.unionByName, shares).where("source <> node").join(kept.select("node", "n"), "node").join(weights, "source").groupBy("node").agg(F.sum((F.col("share") - F.col("n")) * F.col("weight")).alias("walks"))
+        walked.append((totals.withColumnRenamed("source", "node"), stored(passed, "walks")))
+        discard(at, *shares)
+    held = alone
+    if walked:
+        totals, walks = (reduce(DataFrame.unionByName, x) for x in zip(*walked, strict=True))
+        walks = walks.groupBy("node").agg(F.sum("walks").alias("walks"))
+        held = held.unionByName(kept.join(totals, "node").join(walks, "node", "left").select("node", "n", "squares", "total", F.coalesce("walks", F.lit(0.0)).alias("walks")))
+    held = stored(held, "held")
+    found, above = [held], held.select(F.col("node").alias("parent"), "total")
+    for leaves in reversed(folds):  # what hangs from a node is of its component
+        own = stored(leaves.where("n > 0").join(above, "parent").select("node", "n", "squares", "total", F.lit(0.0).alias("walks")), "held")
+        found.append(own)
+        above = above.unionByName(own.select(F.col("node").alias("parent"), "total"))
+    n = held.count() + sum(leaves.count() for leaves in folds)
+    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    lies = F.col("n").cast("double") * (2 * F.col("total") - F.col("n") - 2) - F.col("squares") + F.col("walks")
+    ends = [leaves.where("n = 0").select("node", F.lit(0.0).alias("betweenness")) for leaves in folds]
+    return reduce(DataFrame.unionByName, [*[x.select("node", (lies * scale).alias("betweenness")) for x in found], *ends])

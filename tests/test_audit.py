@@ -1,11 +1,14 @@
 """Audits against brute force and hand-built cases."""
 
+import random
 from collections import defaultdict, deque
 
 import pytest
 
 from graphloom.operators import audit as au
 from graphloom.operators import reasoning as rs
+from graphloom.plans import star_graph as sg
+from graphloom.queries import QUERIES
 from graphloom.sources.tables import inline
 
 
@@ -59,6 +62,25 @@ def test_betweenness_folds_trees_that_hang_by_one_edge(spark, monkeypatch):
     assert walked[0] == 16  # both ways: the ring, two edges to the source, two that three rounds leave of the long tree; the pair folds
 
 
+def test_exact_betweenness_takes_every_node_as_a_source(spark, monkeypatch):
+    rng = random.Random(5)
+    ring = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "h1"), ("h1", "h2"), ("h2", "h3"), ("h2", "i"), *[("c", f"k{x}") for x in range(4)], ("k1", "l1"), ("x", "y"), ("g", "g"), ("b", "a")]
+    forest = [("o1", "c1"), ("o2", "c1"), ("o3", "c2"), ("c1", "n1"), ("c2", "n1"), ("n1", "r"), ("n2", "r"), ("o4", "c9")]
+    mixed = [(f"v{rng.randrange(14)}", f"v{rng.randrange(14)}") for _ in range(17)] + [(f"v{rng.randrange(14)}", f"t{x}") for x in range(5)]
+    for edges, rows in ((ring + forest, 10**6), (mixed, 100)):  # in one batch of sources, and in several
+        monkeypatch.setattr(au, "BATCH_ROWS", rows)
+        got = {r.node: r.betweenness for r in au.exact_betweenness(inline(spark, edges, "a string, b string")).collect()}
+        assert got == {v: pytest.approx(x) for v, x in shares(edges, sorted({v for e in edges for v in e if e[0] != e[1]})).items()}
+    assert au.exact_betweenness(inline(spark, [], "a string, b string")).count() == 0
+
+
+def test_the_query_of_betweenness_leaves_no_source_out(spark, monkeypatch):
+    monkeypatch.setattr(au, "distances", None)  # the tables' graph is a forest: folding does it all
+    edges = [(r.s, r.o) for r in sg.graph(spark, "/root/testdata/sf0.001").where("o_kind = 'iri' and p <> 'type'").select("s", "o").collect()]
+    got = {r.node: r.betweenness for r in QUERIES["betweenness"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {v: pytest.approx(x, abs=1e-9) for v, x in shares(edges, sorted({v for e in edges for v in e})).items()}
+
+
 def test_inverses_fit_by_both_sides(spark):
     properties = [("p", "A", "B"), ("q", "B", "A"), ("low", "C", "A"), ("off", "D", "A"), ("any", "Thing", "A"), ("half", None, "A"), ("bare", None, None), ("bare2", None, None)]
     pairs = [("p", "q"), ("p", "low"), ("p", "off"), ("p", "any"), ("p", "half"), ("bare", "bare2"), ("unknown", "q")]
