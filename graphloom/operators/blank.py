@@ -34,17 +34,37 @@ def _sha(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("\x1e")) for p in parts]), 256)
 
 
-def _told() -> Column:
-    return F.lower(F.hex("said"))
+def _bytes(sha: Column) -> Column:
+    """Half of a hash, as bytes: what is dealt to tasks, as hexadecimal digits don't compress."""
+    return F.unhex(F.substring(sha, 1, 32))
+
+
+def _key(c: str) -> Column:
+    """A node's name as 16 bytes, however long it is."""
+    return _bytes(F.sha2(F.col(c), 256))
+
+
+def _hexed(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.lower(F.hex(c)) for c in columns})
+
+
+def _once(t: DataFrame) -> DataFrame:
+    """t without repeated rows. Only 64-bit hashes are dealt to tasks: rows whose hash is not met twice are passed on as they come, the few others are compared."""
+    key = F.xxhash64(*t.columns)
+    repeated = stored(t.select(key.alias("key")).repartition("key").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+    if repeated.isEmpty():
+        return t
+    keyed = t.withColumn("key", key)
+    return keyed.join(repeated, "key", "left_anti").drop("key").unionByName(keyed.join(repeated, "key", "left_semi").drop("key").distinct())
 
 
 def _sides(t: DataFrame) -> DataFrame:
-    """node, said, other of t, distinct: what is said of each blank node, once from each side; other is the blank node at the other end, and said is the hash of all else, as bytes."""
+    """node, said, other, out of t, which has no repeated triples: what is said of each blank node, once from each side; other is the blank node at the other end, and said is the hash of all else."""
     extra = [F.col(c) if c in t.columns else F.lit(None).cast("string") for c in ("o_dt", "o_lang")]
     loop = (F.col("s") == F.col("o")).cast("string")
-    out = t.where(_is_blank("s")).select(F.col("s").alias("node"), _sha(F.lit("out"), "p", F.when(~F.col("_b"), F.col("o")), F.when(~F.col("_b"), F.col("o_kind")), *extra, F.when(F.col("_b"), loop)).alias("said"), F.when(F.col("_b"), F.col("o")).alias("other"))
-    into = t.where(F.col("_b")).select(F.col("o").alias("node"), _sha(F.lit("in"), "p", F.when(~_is_blank("s"), F.col("s")), F.when(_is_blank("s"), loop)).alias("said"), F.when(_is_blank("s"), F.col("s")).alias("other"))
-    return out.unionByName(into).withColumn("said", F.unhex("said")).distinct()
+    out = t.where(_is_blank("s")).select(_key("s").alias("node"), _sha(F.lit("out"), "p", F.when(~F.col("_b"), F.col("o")), F.when(~F.col("_b"), F.col("o_kind")), *extra, F.when(F.col("_b"), loop)).alias("said"), F.when(F.col("_b"), _key("o")).alias("other"), F.lit(True).alias("out"))
+    into = t.where(F.col("_b")).select(_key("o").alias("node"), _sha(F.lit("in"), "p", F.when(~_is_blank("s"), F.col("s")), F.when(_is_blank("s"), loop)).alias("said"), F.when(_is_blank("s"), _key("s")).alias("other"), F.lit(False).alias("out"))
+    return out.unionByName(into)
 
 
 def _summed(rows: DataFrame, *keys: str) -> DataFrame:
@@ -62,7 +82,7 @@ def _refined(colours: DataFrame, fixed: DataFrame, sides: DataFrame) -> DataFram
     count = held.select("try", "colour").distinct().count()
     while True:
         own = sides.join(held.select("try", F.col("node").alias("other"), F.col("colour").alias("beside")), ["try", "other"], "left")
-        moving = _summed(own.select("try", "node", _sha(_told(), "beside").alias("h")), "try", "node")
+        moving = _summed(own.select("try", "node", _sha("said", "beside").alias("h")), "try", "node")
         sums = moving.unionByName(fixed).groupBy("try", "node").agg(*[F.sum(c).cast("string").alias(c) for c in ("n", "h0", "h1", "h2")])
         after = held.join(sums, ["try", "node"], "left").select("try", "node", _sha("colour", "n", "h0", "h1", "h2").alias("colour"))
         after = stored(after, "colours")
@@ -83,38 +103,102 @@ def canonical(t: DataFrame) -> DataFrame:
     return relabelled(t).distinct()
 
 
-def relabelled(t: DataFrame) -> DataFrame:
-    """The triples of canonical as a bag, for what drops repeated ones itself.
+def _marked(t: DataFrame) -> DataFrame:
+    """The columns of t that make a triple, and _b: whether its object is a blank node."""
+    columns = [c for c in ("s", "p", "o", "o_kind", "o_dt", "o_lang") if c in t.columns]
+    return t.select(*columns).withColumn("_b", F.coalesce(_is_blank("o") & (F.col("o_kind") != "lit"), F.lit(False)))
 
-    Only triples of blank nodes are dealt to tasks; what names none is passed on as it comes. Sides without a blank node at the other end, most in usual
-    graphs, are summed once, before the rounds.
+
+def _labels(own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(labels, fixed, moving) of marked triples, none repeated: (node, label), the sums of sides without a blank node at the other end (node, x0, x1, n), and the other sides.
+
+    Sides without a blank node at the other end, most in usual graphs, are summed once, and as none is repeated, by exclusive or, which takes two numbers. A node
+    whose sums are its own is settled by them. Only the others' sides are looked at in rounds.
     """
-    columns = [c for c in ("s", "p", "o", "o_kind", "o_dt", "o_lang") if c in t.columns]
-    own = t.select(*columns).withColumn("_b", F.coalesce(_is_blank("o") & (F.col("o_kind") != "lit"), F.lit(False)))
     sides = _sides(own)
-    fixed = stored(_summed(sides.where("other is null").select("node", _sha(_told(), F.lit(None).cast("string")).alias("h")), "node"), "fixed")
-    moving = stored(sides.where("other is not null"), "moving")
-    nodes = fixed.select("node").union(moving.select("node")).distinct()
+    moving = stored(sides.where("other is not null").select("node", F.unhex("said").alias("said"), "other", "out"), "moving")
+    part = lambda k: F.bit_xor(F.coalesce(F.conv(F.substring("said", 1 + k * PART, PART), 16, 10).cast("long"), F.lit(0))).alias(f"x{k}")
+    ends = moving.select("node", F.lit(None).cast("string").alias("said"))  # so that nodes without such a side have a row too
+    fixed = stored(sides.where("other is null").select("node", "said").unionByName(ends).groupBy("node").agg(part(0), part(1), F.count("said").alias("n")), "fixed")
+    first = fixed.select("node", _bytes(_sha(*[F.col(c).cast("string") for c in ("n", "x0", "x1")])).alias("colour"))
+    shared = stored(first.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour"), "shared")
+    settled, open_ = first, None
+    if not shared.isEmpty():
+        settled, open_ = stored(first.join(shared, "colour", "left_anti").select("node", "colour"), "settled"), stored(first.join(shared, "colour", "left_semi").select("node", "colour"), "open")
+    labels = settled.select("node", F.lower(F.hex("colour")).alias("colour"))
+    if open_ is not None:
+        labels = labels.unionByName(_opened(open_, settled, moving))
+    labels = stored(labels.select("node", F.concat(F.lit("_:c"), "colour").alias("label")), "labels")
+    discard(shared, *([settled, open_] if open_ is not None else []))
+    return labels, fixed, moving
+
+
+def _opened(open_: DataFrame, settled: DataFrame, moving: DataFrame) -> DataFrame:
+    """node, colour (in digits) of nodes that share their colours, each its own: refined by their links with settled nodes and each other, then by choices."""
+    own = stored(_hexed(moving.join(open_.select("node"), "node", "left_semi"), "said").select("node", "said", "other"), "sides")
+    near = settled.join(own.select(F.col("other").alias("node")).distinct(), "node", "left_semi")
+    known = stored(_hexed(near, "node", "colour"), "known")
+    sides, alike = _hexed(own, "node", "other"), _hexed(open_, "node", "colour")
+    met = sides.join(known.select(F.col("node").alias("other"), F.col("colour").alias("beside")), "other", "left")
+    # what a node's own sums say is in its first colour
+    fixed = stored(_summed(met.where("beside is not null").select("node", _sha("said", "beside").alias("h")), "node"), "fixed")
+    local = stored(met.where("beside is null").select("node", "said", "other"), "moving")
     of = lambda df: df.select(F.lit("").alias("try"), "*")
-    first = _refined(of(nodes).withColumn("colour", F.sha2(F.lit(""), 256)), of(fixed), of(moving))
+    first = _refined(of(alike), of(fixed), of(local))
     named = stored(first.select("node", "colour", F.count("*").over(Window.partitionBy("colour")).alias("n")), "named")
-    settled, open_ = named.where("n = 1").select("node", "colour"), named.where("n > 1").select("node", "colour")
-    labels = settled
-    if not open_.isEmpty():
-        labels = settled.unionByName(_settled_components(open_, settled, fixed, moving))
-    labels = stored(labels.select("node", F.concat(F.lit("_:c"), "colour").alias("label")), "labels")
-    to = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    found, left = named.where("n = 1").select("node", "colour"), named.where("n > 1").select("node", "colour")
+    if not left.isEmpty():
+        found = found.unionByName(_settled_components(left, found, fixed, local))
+    return found.select(F.unhex("node").alias("node"), "colour")
+
+
+def relabelled(t: DataFrame) -> DataFrame:
+    """The triples of canonical as a bag, for what drops repeated ones itself.
+
+    Only triples of blank nodes are dealt to tasks; what names none is passed on as it comes.
+    """
+    own = _marked(t)
+    columns = [c for c in own.columns if c != "_b"]
+    labels, fixed, moving = _labels(_once(own.where(_is_blank("s") | F.col("_b"))))
+    to = lambda c: labels.select(F.col("node").alias("_key"), F.col("label").alias(f"_{c}"))
     plain = own.where(~F.coalesce(_is_blank("s"), F.lit(False)))
-    after = own.where(_is_blank("s")).join(to("s"), "s", "left").withColumn("s", F.coalesce("_s", "s")).select(*columns, "_b").unionByName(plain.where("_b").select(*columns, "_b"))
-    named_o = after.where("_b").join(to("o"), "o", "left").withColumn("o", F.coalesce("_o", "o"))
-    discard(fixed, moving, named)
+    after = own.where(_is_blank("s")).withColumn("_key", _key("s")).join(to("s"), "_key", "left").withColumn("s", F.coalesce("_s", "s")).select(*columns, "_b").unionByName(plain.where("_b").select(*columns, "_b"))
+    named_o = after.where("_b").withColumn("_key", _key("o")).join(to("o"), "_key", "left").withColumn("o", F.coalesce("_o", "o"))
+    discard(fixed, moving)
     return reduce(DataFrame.unionByName, [x.select(*columns) for x in (named_o, after.where("not _b"), plain.where("not _b"))])
 
 
+def sums(t: DataFrame) -> DataFrame:
+    """One row, n and three sums that identify t as canonical gives it, whatever its order, labels and repeats; sums of graphs that share no triple and no blank node add up.
+
+    What canonical says of a node is its label with the sums of its sides, and its links with other blank nodes, so no relabelled triple is made or dealt; a line without a
+    blank node is hashed where it is read.
+    """
+    own = _marked(t)
+    columns = [c for c in own.columns if c != "_b"]
+    blank = F.coalesce(_is_blank("s"), F.lit(False)) | F.col("_b")
+    labels, fixed, moving = _labels(_once(own.where(blank)))
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    links = moving.where("out").join(label("node"), "node").join(label("other"), "other")
+    parts = [
+        _once(own.where(~blank).select(*columns)).select(_sha(F.lit("line"), *columns).alias("h"), F.lit(1).cast("long").alias("count")),
+        fixed.join(label("node"), "node").select(_sha(F.lit("node"), "_node", *[F.col(c).cast("string") for c in ("n", "x0", "x1")]).alias("h"), F.col("n").alias("count")),
+        links.select(_sha(F.lit("link"), "_node", F.hex("said"), "_other").alias("h"), F.lit(1).cast("long").alias("count")),
+    ]
+    part = lambda k: F.sum(F.conv(F.substring("h", 1 + k * PART, PART), 16, 10).cast("decimal(38,0)"))
+    return stored(reduce(DataFrame.unionByName, parts).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), *[F.coalesce(part(k), F.lit(0)).cast("decimal(38,0)").alias(f"h{k}") for k in range(3)]), "sums")
+
+
+def digest(*parts: DataFrame) -> DataFrame:
+    """One row, n and digest, of the sums of the parts of a graph."""
+    total = reduce(DataFrame.unionByName, parts).agg(*[F.sum(c).alias(c) for c in ("n", "h0", "h1", "h2")])
+    return total.select("n", _sha(*[F.col(c).cast("string") for c in ("n", "h0", "h1", "h2")]).alias("digest"))
+
+
 def _settled_components(open_: DataFrame, settled: DataFrame, fixed: DataFrame, sides: DataFrame) -> DataFrame:
     """node, colour of unsettled nodes, each its own: the certificate of its component, its place among copies, and its colour there."""
     inner = sides.join(open_.select("node"), "node", "left_semi").join(settled.select(F.col("node").alias("other"), F.col("colour").alias("known")), "other", "left")
-    known = _summed(inner.where("known is not null").select("node", _sha(_told(), "known").alias("h")), "node")
+    known = _summed(inner.where("known is not null").select("node", _sha("said", "known").alias("h")), "node")
     still = stored(known.unionByName(fixed.join(open_.select("node"), "node", "left_semi")).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n", "h0", "h1", "h2")]), "still")
     local = stored(inner.where("known is null").select("node", "said", "other"), "local")
     links = local.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
