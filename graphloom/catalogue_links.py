@@ -17,7 +17,7 @@ from graphloom.operators import ranges as rg
 from graphloom.plans import star_graph as sg
 from graphloom.sources import tables as st
 from graphloom.sources.tables import inline, table
-from graphloom.storage import shared_folder
+from graphloom.storage import shared_folder, stored
 from graphloom.streaming.incremental import resolved_references, run_to_table
 
 
@@ -183,15 +183,15 @@ def blank_digests(t: DataFrame, _: dict[str, DataFrame]) -> DataFrame:
 
     Triples that name neither are the same in all three graphs, so their sums are made once.
     """
-    blank = "^(Customer|Nation)_"
-    named = F.col("s").rlike(blank) | ((F.col("o_kind") == "iri") & F.col("o").rlike(blank))
+    blank = lambda c: F.col(c).startswith("Customer_") | F.col(c).startswith("Nation_")
+    named = blank("s") | ((F.col("o_kind") == "iri") & blank("o"))
 
     def labelled(rows: DataFrame, prefix: str) -> DataFrame:
-        to = lambda c: F.when(F.col(c).rlike(blank), F.concat(F.lit("_:"), F.md5(F.concat(F.lit(prefix), c)))).otherwise(F.col(c))
+        to = lambda c: F.when(blank(c), F.concat(F.lit("_:"), F.md5(F.concat(F.lit(prefix), c)))).otherwise(F.col(c))
         own = rows.select(to("s").alias("s"), "p", F.when(F.col("o_kind") == "iri", to("o")).otherwise(F.col("o")).alias("o"), "o_kind")
         return own.withColumn("o_kind", F.when(F.col("o").startswith("_:"), "bnode").otherwise(F.col("o_kind")))
 
-    told, plain = t.where(named), bl.sums(t.where(~named).select("s", "p", "o", "o_kind"))
+    told, plain = stored(t.where(named).select("s", "p", "o", "o_kind"), "told"), bl.sums(t.where(~named).select("s", "p", "o", "o_kind"))
     turned = told.withColumn("o", F.when((F.col("p") == "inRegion") & (F.col("s") == "Nation_0"), F.lit("Region_4")).otherwise(F.col("o")))
     one, two, other = (bl.digest(bl.sums(labelled(rows, prefix)), plain).select("n", F.col("digest").alias(name)) for rows, prefix, name in ((told, "a", "one"), (told, "b", "two"), (turned, "a", "other")))
     return one.join(two, "n").join(other, "n").select("n", (F.col("one") == F.col("two")).alias("equal"), (F.col("one") == F.col("other")).alias("equal_changed"))

@@ -185,7 +185,7 @@ def sums(t: DataFrame) -> DataFrame:
         fixed.join(label("node"), "node").select(_sha(F.lit("node"), "_node", *[F.col(c).cast("string") for c in ("n", "x0", "x1")]).alias("h"), F.col("n").alias("count")),
         links.select(_sha(F.lit("link"), "_node", F.hex("said"), "_other").alias("h"), F.lit(1).cast("long").alias("count")),
     ]
-    part = lambda k: F.sum(F.conv(F.substring("h", 1 + k * PART, PART), 16, 10).cast("decimal(38,0)"))
+    part = lambda k: F.sum(F.conv(F.substring("h", 1 + k * PART, PART), 16, 10).cast("long").cast("decimal(38,0)"))
     return stored(reduce(DataFrame.unionByName, parts).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), *[F.coalesce(part(k), F.lit(0)).cast("decimal(38,0)").alias(f"h{k}") for k in range(3)]), "sums")
 
 
